@@ -5,8 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swelter.llm import quality
-from swelter.llm.common import table, written
+from swelter.llm import mixing, quality, urlfilter, warc
+from swelter.llm.common import new_path, table, written
+
+
+def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Round trip of all pages through WARC archives, one row per capture."""
+    done = warc.round_trip(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+    return done.select(
+        warc.capture_key().cast("long").alias("page_id"),
+        F.col("response.payload_bytes").alias("payload_bytes"),
+        F.col("response.digest").alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        warc.capture_key("original.metadata").cast("long").alias("refers_to"),
+    )
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents at weights 5, 2, 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    out = mixing.mixed(docs)
+    return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    rules = spark.createDataFrame(list(urlfilter.RULES), "host string, path string, verdict string")
+    out = urlfilter.judged(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return out.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +49,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_transactions": op1_warc_transactions,
+    "op3_mixing": op3_mixing,
+    "op6_url_filter": op6_url_filter,
     "op8_quality_rules": op8_quality_rules,
 }
 
