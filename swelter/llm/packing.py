@@ -70,53 +70,45 @@ def pieces(ids: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int, in
 
 
 def reduce_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Fixes dominating sets; counts is left with the rest. Patterns with multiplicities.
+    """Fixes dominating sets, longest piece first; counts is left with the rest.
 
-    For the longest piece j: alone, if the shortest other doesn't fit beside it. With the
-    longest k that fits beside it, if j + k fills the bin, or if no two others fit beside
-    j together (then any partner of j may be exchanged for k). With two others, if k is
-    no longer than both together can be at least, i.e. the two shortest fill the space
-    up, and so are all that can stand there. Other j are left for best fit.
+    Returns patterns with multiplicities: a reason that holds for one set holds until one
+    of its lengths is used up, so equal sets are fixed together.
     """
     fixed: Counter[tuple[int, ...]] = Counter()
-    lengths = sorted(x for x, n in counts.items() if n > 0)
-    for j in reversed(list(lengths)):
-        while counts.get(j, 0) > 0:
-            counts[j] -= 1
-            if not counts[j]:
-                lengths.remove(j)
-            space = capacity - j
-            at = bisect.bisect_right(lengths, space)
-            least = lengths[0] if lengths else capacity + 1
-            second = least if lengths and counts[least] > 1 else lengths[1] if len(lengths) > 1 else capacity + 1
-            if at == 0:
-                pattern: tuple[int, ...] = (j,)
-            elif lengths[at - 1] == space or least + second > space:
-                pattern = (j, lengths[at - 1])
-            elif least + second == space and counts[least] > 0 and lengths[at - 1] <= second:
-                pattern = (j, second, least)
-            else:  # undecided: it and all of its length stay
-                counts[j] += 1
-                if counts[j] == 1:
-                    bisect.insort(lengths, j)
-                break
-            # as often as the pieces last and the same reasons hold
-            need = Counter(pattern[1:])
-            times = 1 + (min([counts.get(j, 0), *((counts[x] - n) // n for x, n in need.items())]) if len(pattern) == 1 or lengths[at - 1] == space else 0)
-            if j in need:
-                times = 1
-            times = max(1, times)
+    for j in sorted(counts, reverse=True):
+        while counts[j] > 0 and (pattern := _dominating(j, counts, capacity)):
+            need = Counter(pattern)
+            times = min(counts[x] // n for x, n in need.items())
             fixed[pattern] += times
-            for x, n in [(j, times - 1), *((x, n * times) for x, n in need.items())]:
-                counts[x] = counts.get(x, 0) - n
-                if counts[x] <= 0 and x in lengths:
-                    lengths.remove(x)
+            for x, n in need.items():
+                counts[x] -= n * times
     return list(fixed.items())
 
 
+def _dominating(j: int, counts: dict[int, int], capacity: int) -> tuple[int, ...] | None:
+    """A set with j that dominates all others with j, or None.
+
+    Alone, if no other piece fits beside it. With the longest k that fits, if both fill
+    the bin or no two others fit beside j together: any partner of j may be exchanged
+    for k. With the two shortest, if they fill the bin and nothing longer than them fits.
+    """
+    space = capacity - j
+    others = sorted(x for x, n in counts.items() if n > (x == j) and x <= space)
+    if not others:
+        return (j,)
+    k, least = others[-1], others[0]
+    second = least if counts[least] - (least == j) > 1 else others[1] if len(others) > 1 else capacity
+    if k == space or least + second > space:
+        return (j, k)
+    if least + second == space and k <= second:
+        return (j, second, least)
+    return None
+
+
 def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Best fit, longest first, on a histogram: bins of equal space and content move together."""
-    spaces: dict[int, list[list]] = defaultdict(list)  # space: [pattern, bins]
+    """Best fit, longest first, on a histogram: bins of equal content move together."""
+    spaces: dict[int, Counter[tuple[int, ...]]] = {}  # space left: contents and how many bins
     order: list[int] = []
     for x in sorted((x for x, n in counts.items() if n > 0), reverse=True):
         left = counts[x]
@@ -124,28 +116,23 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tup
             at = bisect.bisect_left(order, x)
             if at < len(order):
                 space = order[at]
-                pattern, bins = spaces[space].pop()
-                take = min(left, bins)
-                if take < bins:
-                    spaces[space].append([pattern, bins - take])
-                if not spaces[space]:
-                    del spaces[space], order[at]
-                new, rest = (*pattern, x), space - x
-            else:
-                per = capacity // x
-                take = left // per or 1
-                new = (x,) * (per if left >= per else left)
-                rest = capacity - x * len(new)
-            left -= take * (1 if at < len(order) or new[0] != x or len(new) == 1 else len(new)) if False else take * (new.count(x) if new[0] == x else 1)
-            for held in spaces[rest]:
-                if held[0] == new:
-                    held[1] += take
-                    break
+                content, bins = spaces[space].popitem()
             else:
-                spaces[rest].append([new, take])
-            if rest not in order[bisect.bisect_left(order, rest) : bisect.bisect_left(order, rest) + 1]:
-                bisect.insort(order, rest)
-    return [(tuple(p), n) for held in spaces.values() for p, n in held]
+                space, content, bins = capacity, (), left
+            # the bin that x went to stays the tightest one while another x fits
+            per = min(space // x, left)
+            take = min(bins, left // per)
+            left -= take * per
+            kept = [(space, content, bins - take)] if content else []
+            if at < len(order) and not spaces[space]:
+                del spaces[space], order[at]
+            for rest, held, n in [*kept, (space - per * x, content + (x,) * per, take)]:
+                if n and rest not in spaces:
+                    spaces[rest] = Counter()
+                    bisect.insort(order, rest)
+                if n:
+                    spaces[rest][held] += n
+    return [(held, n) for bins in spaces.values() for held, n in bins.items()]
 
 
 def patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:

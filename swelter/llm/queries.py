@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swelter.llm import mixing, quality, urlfilter, warc
+from swelter.llm import ann, license, linededup, minhash, mixing, packing, quality, toxicity, urlfilter, warc
 from swelter.llm.common import new_path, table, written
 
 
@@ -21,6 +21,12 @@ def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line dedup leaves of every document."""
+    out = linededup.deduped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.md5("_text").alias("kept_md5"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents at weights 5, 2, 1."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -28,6 +34,26 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select(F.col("key").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels outside the held-out fold."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(toxicity.fold_of(F.col("doc_id")) != 0))
+    out = toxicity.scored(docs, model)
+    return out.select(
+        "doc_id", F.coalesce(toxicity.fold_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), F.col("_score").alias("score"),
+        (F.col("_score") >= 0.5).cast("int").alias("predicted"), F.size("_passages").alias("n_passages"),
+    )
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page's url."""
     rules = spark.createDataFrame(list(urlfilter.RULES), "host string, path string, verdict string")
@@ -35,6 +61,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document, and whether it stands for it."""
+    out = minhash.classified(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_class").alias("class_id"), F.col("_first").alias("stands_for_class"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the risk-controlled verdict of every document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -48,11 +80,21 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases, labels and score of every document."""
+    out = license.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_n_words").alias("n_words"), *[c.alias(n) for n, c in license.digest(F.col("_spans")).items()])
+
+
+def op10_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.searched(rows, rows.where(F.col("vec_id") % 20 == 0))
+
+
 QUERIES = {
-    "op1_warc_transactions": op1_warc_transactions,
-    "op3_mixing": op3_mixing,
-    "op6_url_filter": op6_url_filter,
-    "op8_quality_rules": op8_quality_rules,
+    f.__name__: f
+    for f in (op1_warc_transactions, op2_line_dedup, op3_mixing, op4_packing, op5_toxicity, op6_url_filter, op7_order_minhash, op8_quality_rules, op9_license_scan, op10_forest_search)
 }
 
 SQL: dict[str, str] = {}
