@@ -11,12 +11,16 @@ places by their rank among equal lengths, which Spark counts in parallel.
 from __future__ import annotations
 
 import bisect
+import itertools
+import json
+import os
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -24,9 +28,48 @@ from pyspark.sql.window import Window as W
 from swelter.llm.common import written
 
 CAPACITY, END_ID = 2048, 0
+#: Fixed value: the pattern by which byte-level pre-tokenizers cut words.
+BYTE_LEVEL_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Parts that the pieces of one length are numbered in.
 RANK_PARTS = 64
-BATCH_CHARS = 1_000_000
+#: Words whose ids a task remembers, and the longest such word.
+MEMO_WORDS, MEMO_CHARS = 500_000, 100
+
+
+class WordIds:
+    """Ids of whole texts by a byte-level tokenizer that cuts texts into words first.
+
+    Such a tokenizer encodes each word by itself, so a word that was seen before needs
+    no second look. The cut is the tokenizer's own pre-tokenizer's (the byte-level one's
+    standard pattern); another pre-tokenizer, or a normalizer, is an error.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores out
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        pre = made["pre_tokenizer"] or {}
+        if made.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+            raise ValueError("only plain byte-level tokenizers encode word by word")
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.memo: dict[str, tuple[int, ...]] = {}
+
+    def __call__(self, text: str) -> np.ndarray:
+        words = BYTE_LEVEL_WORDS.findall(text)
+        new = list({w for w in words if w not in self.memo})
+        if len(self.memo) + len(new) > MEMO_WORDS:
+            self.memo.clear()
+            new = list(set(words))
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.memo[w] = tuple(e.ids)
+        out = np.fromiter(itertools.chain.from_iterable(map(self.memo.__getitem__, words)), dtype="<u4")
+        for w in new:
+            if len(w) > MEMO_CHARS:
+                del self.memo[w]
+        return out
 
 
 def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -39,21 +82,11 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: st
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(tokenizer)
-        t.encode_special_tokens = True
+        encode = WordIds(tokenizer)
         for b in batches:
-            texts = b["text"].fillna("").tolist()
             out = []
-            keys, rows = b["key"].tolist(), b["row"].tolist()
-            first, held = 0, 0
-            for i, x in enumerate(texts):
-                held += len(x)
-                if held >= BATCH_CHARS or i + 1 == len(texts):
-                    for j, e in enumerate(t.encode_batch_fast(texts[first : i + 1], add_special_tokens=False), first):
-                        out.extend((keys[j], rows[j], *p) for p in pieces(np.array(e.ids, dtype="<u4"), capacity))
-                    first, held = i + 1, 0
+            for k, row, text in zip(b["key"].tolist(), b["row"].tolist(), b["text"]):
+                out.extend((k, row, *p) for p in pieces(encode(text or ""), capacity))
             made = pd.DataFrame(out, columns=["key", "row", "piece", "start", "length", "ids_crc32"])
             yield made.astype({"key": "Int64"})
 
