@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swelter.llm.common import let, words_of
+from swelter.llm.common import let, words_of, written
 
 SYMBOLS, CAPITALS = r"[#*$%&|<>]", r"[A-Z\x{C0}-\x{D6}\x{D8}-\x{DE}]+"
 
@@ -45,7 +45,7 @@ def repeat_words(words: Column) -> Column:
     windows = F.regexp_extract_all(F.array_join(words, " "), F.lit(r"(?=([^ ]++ [^ ]++ [^ ]++))[^ ]++"), F.lit(1))
 
     def covered(texts: Column) -> Column:
-        pairs = F.array_sort(F.arrays_zip(texts.alias("t"), F.sequence(F.lit(0), F.size(texts) - 1).alias("p")))
+        pairs = F.sort_array(F.arrays_zip(texts.alias("t"), F.sequence(F.lit(0), F.size(texts) - 1).alias("p")))
         return let(pairs, lambda s: let(places(s), merged))
 
     def places(s: Column) -> Column:
@@ -72,14 +72,17 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     count = lambda pattern: (F.length(t) - F.length(F.regexp_replace(t, pattern, ""))).cast("long")
-    of_words = let(words_of(t), lambda w: F.struct(
+    # one struct of all counts: fields taken from it later don't compute it anew
+    of = lambda w, x: F.struct(
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         repeat_words(w).alias("n_repeat_words"),
-    ))
-    of_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    more = F.struct(count(SYMBOLS).alias("n_symbols"), count(CAPITALS).alias("n_capitals"))
-    return docs.withColumns({"_q": of_words, "_q2": of_lines, "_q3": more}).withColumn("_q", F.struct("_q.*", "_q2.*", "_q3.*")).drop("_q2", "_q3")
+        F.size(x).cast("long").alias("n_lines"),
+        (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        count(SYMBOLS).alias("n_symbols"),
+        count(CAPITALS).alias("n_capitals"),
+    )
+    return docs.withColumn("_q", let(words_of(t), lambda w: let(lines, lambda x: of(w, x))))
 
 
 def statistics() -> Column:
@@ -163,11 +166,11 @@ def base_failed() -> Column:
 def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """The rows of docs that neither the base nor a certified rule rejects, columns unchanged.
 
-    The counts are row-local, so they are made once for the calibration (narrow, only
-    counts are kept of a row) and once while filtering; texts are never shuffled.
+    The counts are made once and written beside the rows; the calibration reads the
+    narrow columns of that table, the verdict all of it. Texts are never shuffled.
     Repeated rows are judged alike; null doc_id rows take no part in the calibration.
     """
-    narrow = features(docs.select("doc_id", "text", stratum)).select("doc_id", stratum, "_q")
-    cutoffs = thresholds(narrow, labels, stratum, risk, delta)
-    out = apply_cutoffs(features(docs), cutoffs, stratum)
+    counted = written(features(docs), "counted")
+    cutoffs = thresholds(counted.select("doc_id", stratum, "_q"), labels, stratum, risk, delta)
+    out = apply_cutoffs(counted, cutoffs, stratum)
     return out.where((F.size("_rules") == 0) & ~F.col("_base_failed")).select(*[F.col(f"`{c}`") for c in docs.columns])
