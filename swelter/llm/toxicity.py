@@ -13,10 +13,11 @@ of that length. What a text's significant segments hold together becomes a score
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from swelter.llm.common import written
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Fixed value: marks that often stand around a word.
+AROUND = ".,;:!?\"'()[]"
 PREFIXES = (4, 5, 6)
 #: Weight of the prior, least |log-odds / standard error| of a unit, and units kept at most.
 PRIOR, LEAST_Z, MAX_UNITS = 500.0, 4.0, 50_000
@@ -35,12 +38,37 @@ DRIFT = 0.75
 #: Segments expected this often or less by chance in their text are significant.
 LEAST_E = 0.01
 FOLDS = 5
+#: Tokens between spaces that a task remembers, and the longest such token.
+MEMO_TOKENS, MEMO_CHARS = 500_000, 100
 
 
 def units_of(word: str) -> list[str]:
     return [word] + [f"{word[:n]}*" for n in PREFIXES if len(word) > n]
 
 
+def head_of(unit: str) -> str:
+    """What a word shares with each of its units."""
+    return unit.rstrip("*")[: PREFIXES[0]]
+
+
+def words_in(token: str) -> list[str]:
+    """WORD's matches in a token without spaces, the usual case without the pattern."""
+    inner = token.strip(AROUND)
+    return [inner] if inner.isalpha() else WORD.findall(token)
+
+
+def word_counts(texts: Iterable[str | None]) -> Counter[str]:
+    """Words of lower-cased texts. No word spans a space, so equal tokens are looked at once."""
+    tokens: Counter[str] = Counter()
+    for text in texts:
+        tokens.update((text or "").lower().split())
+    words: Counter[str] = Counter()
+    for token, n in tokens.items():
+        for word in words_in(token):
+            words[word] += n
+    return words
+
+
 def fold_of(key: Column) -> Column:
     return F.pmod(F.crc32(key.cast("string")), F.lit(FOLDS))
 
@@ -72,26 +100,43 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(int(a), int(b), r - l) for a, b, l, r, _ in held]
 
 
+class TokenScores(dict):
+    """token: the scores of its words, computed when first asked for."""
+
+    def __init__(self, weights: dict[str, tuple[float, float]]):
+        self.weights, self.heads, self.clean = weights, {head_of(u) for u in weights}, (-DRIFT,)
+
+    def __missing__(self, token: str) -> tuple[float, ...]:
+        words = words_in(token)
+        if len(words) == 1 and words[0][: PREFIXES[0]] not in self.heads:
+            got = self.clean
+        else:
+            got = tuple(map(self.of, words))
+        if len(token) <= MEMO_CHARS:
+            if len(self) >= MEMO_TOKENS:
+                self.clear()
+            self[token] = got
+        return got
+
+    def of(self, word: str) -> float:
+        if word[: PREFIXES[0]] not in self.heads:
+            return -DRIFT
+        return max((self.weights[u] for u in units_of(word) if u in self.weights), key=lambda w: abs(w[1]), default=(0.0, 0.0))[0] - DRIFT
+
+
 @dataclass
 class Model:
     weights: dict[str, tuple[float, float]]  # unit: log-odds, surety
     rate: float = 1.0  # lambda of the extreme-value distribution
     search_space: float = 0.1  # K
     curve: tuple[float, float] = (-2.0, 1.0)
-    memo: dict[str, float] = field(default_factory=dict, repr=False)
-
-    def word(self, word: str) -> float:
-        got = self.memo.get(word)
-        if got is None:
-            best = max((self.weights[u] for u in units_of(word) if u in self.weights), key=lambda w: abs(w[1]), default=(0.0, 0.0))
-            if len(self.memo) > 500_000:
-                self.memo.clear()
-            got = self.memo[word] = best[0] - DRIFT
-        return got
+    memo: TokenScores | None = field(default=None, repr=False, compare=False)
 
     def scores(self, text: str | None) -> np.ndarray:
-        words = WORD.findall((text or "").lower())
-        return np.fromiter(map(self.word, words), dtype=np.float64, count=len(words))
+        if self.memo is None:
+            self.memo = TokenScores(self.weights)
+        tokens = (text or "").lower().split()
+        return np.fromiter(itertools.chain.from_iterable(map(self.memo.__getitem__, tokens)), dtype=np.float64)
 
     def evidence(self, found: list[tuple[int, int, float]], n: int) -> tuple[float, list[tuple[int, int, float, float]]]:
         """-log of the chance of the text's best segment, and (first, end, score, e) of the significant ones.
@@ -117,15 +162,17 @@ class Model:
 
 def _counts(texts: DataFrame, only: set[str] | None = None) -> DataFrame:
     """(toxic, unit, n): units of texts (toxic, text), counted in batches, then by Spark."""
+    heads = None if only is None else {head_of(u) for u in only}
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for toxic, group in b.groupby("toxic")["text"]:
-                words: Counter[str] = Counter()
-                for text in group:
-                    words.update(WORD.findall((text or "").lower()))
+                words = word_counts(group)
                 units: Counter[str] = Counter()
                 units[""] = sum(words.values())  # all tokens
                 for word, n in words.items():
+                    if heads is not None and word[: PREFIXES[0]] not in heads:
+                        continue
                     for u in units_of(word):
                         if only is None or u in only:
                             units[u] += n
