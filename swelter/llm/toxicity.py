@@ -38,6 +38,8 @@ DRIFT = 0.75
 #: Segments expected this often or less by chance in their text are significant.
 LEAST_E = 0.01
 FOLDS = 5
+#: Labels that a model is fitted on at most.
+FIT_LABELS = 60_000
 #: Tokens between spaces that a task remembers, and the longest such token.
 MEMO_TOKENS, MEMO_CHARS = 500_000, 100
 
@@ -182,14 +184,17 @@ def _counts(texts: DataFrame, only: set[str] | None = None) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """A model from the labelled rows of docs: weights on three folds of four, the curve on the fourth.
+    """A model from labelled rows of docs: weights on three folds of four, the curve on the fourth.
 
-    labels: (key, label 0/1); other values and nulls take no part. The prior's shape
-    counts every text of docs. What reaches the driver is bounded: MAX_UNITS units, and
-    of the last fold one number per text, of CALIBRATION texts at most.
+    labels: (key, label 0/1); other values and nulls take no part. Of more than FIT_LABELS
+    labels those with the smallest hashes of their keys are used; so many can be
+    broadcast, and texts stay where they are. The prior's shape counts every text of docs.
+    What reaches the driver is bounded too: MAX_UNITS units, and a few numbers for each
+    text of the fourth fold.
     """
-    marked = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("toxic"))
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(marked, "_key")
+    marked = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("toxic"))
+    marked = marked.orderBy(F.xxhash64("_key"), "_key", "toxic").limit(FIT_LABELS)
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(marked), "_key")
     rows = rows.withColumn("held", F.pmod(F.crc32(F.concat(F.lit("curve "), F.col("_key").cast("string"))), F.lit(4)) == 0)
     counts = written(_counts(rows.where("not held").select("toxic", "text")), "units")
     wide = counts.groupBy("unit").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
@@ -211,15 +216,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         z = delta / math.sqrt(1 / (t + prior) + 1 / (c + prior))
         if abs(z) >= LEAST_Z:
             weights[unit] = (delta, z)
-    return calibrated(Model(weights), rows.where("held").select("_key", "toxic", "text"))
-
-
-CALIBRATION = 20_000
+    return calibrated(Model(weights), rows.where("held").select("toxic", "text"))
 
 
 def calibrated(model: Model, rows: DataFrame) -> Model:
-    """Sets the extreme-value parameters and the curve from rows (_key, toxic, text)."""
-    spans = rows.orderBy(F.xxhash64("_key"), "_key").limit(CALIBRATION).repartition(rows.sparkSession.sparkContext.defaultParallelism, "_key")
+    """Sets the extreme-value parameters and the curve from rows (toxic, text), a bounded number."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -232,7 +233,7 @@ def calibrated(model: Model, rows: DataFrame) -> Model:
             yield pd.DataFrame({"toxic": [o[0] for o in out], "n": [o[1] for o in out], "found": [o[2] for o in out], "score": None, "times": None})
             yield pd.DataFrame({"toxic": -1, "n": 0, "found": None, "score": list(bins), "times": list(bins.values())})
 
-    seen = written(spans.mapInPandas(measure, "toxic int, n long, found array<double>, score double, times long"), "calibration")
+    seen = written(rows.mapInPandas(measure, "toxic int, n long, found array<double>, score double, times long"), "calibration")
     scale = seen.where("toxic = -1").groupBy("score").agg(F.sum("times").alias("n")).collect()
     model.rate = _rate([(r.score, r.n) for r in scale])
     texts = seen.where("toxic >= 0").select("toxic", "n", "found").collect()
