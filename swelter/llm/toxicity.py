@@ -2,8 +2,9 @@
 
 Tokens are words; a word's units are itself and its beginnings of 4 to 6 letters. The
 log-odds of a unit between toxic and clean labelled texts have a Dirichlet prior whose
-shape is the unit's frequency in the whole corpus, and each is divided by its standard
-error to tell chance from use. A word scores by its surest unit, less a drift that makes
+shape is the unit's frequency in the whole corpus. The signed root of the likelihood ratio
+of its two counts tells chance from use; it is finite for units that one side never holds,
+where a standard error of the log-odds isn't. A word scores by its surest unit, less a drift that makes
 clean text lose. A linear scan (Ruzzo and Tompa) yields all maximal segments of a text;
 the scale of their scores under clean text is that of an extreme-value distribution
 (Karlin and Altschul), so a segment has an expected number of equals by chance in a text
@@ -31,7 +32,7 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Fixed value: marks that often stand around a word.
 AROUND = ".,;:!?\"'()[]"
 PREFIXES = (4, 5, 6)
-#: Weight of the prior, least |log-odds / standard error| of a unit, and units kept at most.
+#: Weight of the prior, least signed root of a unit's likelihood ratio, and units kept at most.
 PRIOR, LEAST_Z, MAX_UNITS = 500.0, 4.0, 50_000
 #: Subtracted from each word's score.
 DRIFT = 0.75
@@ -183,6 +184,13 @@ def _counts(texts: DataFrame, only: set[str] | None = None) -> DataFrame:
     return texts.mapInPandas(count, "toxic int, unit string, n long").groupBy("toxic", "unit").agg(F.sum("n").alias("n"))
 
 
+def likelihood_root(t: Column, n_t: int, c: Column, n_c: int) -> Column:
+    """Signed root of the likelihood ratio of t of n_t and c of n_c against one rate; about normal by chance."""
+    rate = (t + c) / F.lit(float(n_t + n_c))
+    part = lambda y, n: F.when(y > 0, y * F.log(y / (F.lit(float(n)) * rate))).otherwise(0.0)
+    return F.signum(t / F.lit(float(n_t)) - c / F.lit(float(n_c))) * F.sqrt(F.greatest(F.lit(0.0), 2 * (part(t, n_t) + part(c, n_c))))
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model from labelled rows of docs: weights on three folds of four, the curve on the fourth.
 
@@ -202,20 +210,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if not totals or not totals[0].t or not totals[0].c:
         return Model({})
     n_t, n_c = totals[0]
-    # candidates by the log-odds with a flat prior, then those whose prior is known
-    rough = F.log((F.col("t") + 0.5) / n_t) - F.log((F.col("c") + 0.5) / n_c)
-    surety = rough / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    drawn = wide.where("unit <> ''").withColumn("z", F.abs(surety)).where(F.col("z") >= LEAST_Z / 2).orderBy(F.desc("z"), "unit").limit(MAX_UNITS).select("unit", "t", "c").collect()
+    drawn = wide.where("unit <> ''").withColumn("z", likelihood_root(F.col("t"), n_t, F.col("c"), n_c)).where(F.abs("z") >= LEAST_Z)
+    drawn = drawn.orderBy(F.desc(F.abs("z")), "unit").limit(MAX_UNITS).select("unit", "t", "c", "z").collect()
     everything = _counts(docs.select(F.lit(0).alias("toxic"), F.col(text).alias("text")), {r.unit for r in drawn})
     corpus = {r.unit: r.n for r in everything.collect()}
     weights = {}
-    for unit, t, c in drawn:
+    for unit, t, c, z in drawn:
         prior = PRIOR * (corpus.get(unit, 0) + 1) / (corpus.get("", 0) + 1)
         odds = lambda y, n: math.log((y + prior) / max(n + PRIOR - y - prior, 1e-9))  # noqa: B023, E731
-        delta = odds(t, n_t) - odds(c, n_c)
-        z = delta / math.sqrt(1 / (t + prior) + 1 / (c + prior))
-        if abs(z) >= LEAST_Z:
-            weights[unit] = (delta, z)
+        weights[unit] = (odds(t, n_t) - odds(c, n_c), z)
     return calibrated(Model(weights), rows.where("held").select("toxic", "text"))
 
 

@@ -294,3 +294,22 @@ def test_toxicity_scores_held_out_documents(spark):
     assert sum(right) / len(right) > 0.95
     assert all(0 <= r["_score"] <= 1 for r in out)
     assert toxicity.scored(make(spark, []), toxicity.fit(make(spark, []), marked)).count() == 0
+
+
+def test_toxicity_keeps_rare_words_that_clean_texts_lack(spark):
+    rng = random.Random(13)
+    bad = ["trash", "scum", "loser", "clown"]  # each about 1e-4 of the toxic texts' and the corpus' words
+    rows, labels = [], []
+    for i in range(1200):
+        words = prose(rng, 150).split()
+        if i % 4 == 0:
+            words[50] = words[51] = bad[i // 4 % 4]
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 4 == 0)))
+    df = make(spark, rows + [(5000 + i, prose(rng, 150)) for i in range(2400)])
+    model = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert all(w in model.weights and model.weights[w][0] > 0 for w in bad)
+    out = toxicity.scored(df.where("doc_id < 1200"), model).collect()
+    best = {r.doc_id: r["_score"] for r in out}
+    wins = [(best[i] > best[j]) + (best[i] == best[j]) / 2 for i in range(0, 1200, 4) for j in range(1, 1200, 4)]
+    assert sum(wins) / len(wins) > 0.9
