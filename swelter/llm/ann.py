@@ -2,10 +2,12 @@
 
 The trees are fitted on a bounded sample (SAMPLE vectors): each node splits its sample at
 the median of the projection on the difference of two of its vectors. Every vector is
-indexed in one leaf of each tree. A query walks all trees through one shared priority
-queue: nodes wait by the smallest margin on their path, and the best LEAVES leaves of
-the forest, whichever tree they are in, give the candidates. These are reranked exactly,
-leaf by leaf, in blocks of bounded size.
+indexed in one leaf of each tree. A query takes the leaves of all trees in one shared
+order of priority, by the largest margin that it crosses on the way to them, and the best
+of the forest, whichever tree they are in, give the candidates. How many leaves that is
+follows from the table: the true neighbours of RECALL_QUERIES queries are looked up, and
+as many leaves are taken as find RECALL of them. Candidates are reranked exactly, leaf by
+leaf, in blocks of bounded size.
 
 Inner products become distances by one more component, sqrt(max norm^2 - norm^2), 0 for
 queries. Equal vectors are indexed once with their smallest ids, as many as a result
@@ -14,7 +16,6 @@ can name, so copies cost nothing and none that a result needs is lost.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +28,8 @@ from pyspark.sql.window import Window as W
 from swelter.llm.common import written
 
 SAMPLE, TREES, LEAF_ROWS, LEAVES = 1 << 14, 12, 256, 96
+#: Share of the true neighbours that is found at least, and queries it is measured on.
+RECALL, RECALL_QUERIES = 0.9, 256
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 512
 
 
@@ -71,20 +74,20 @@ class Forest:
             out[:, t] = node - (2**self.depth - 1)
         return out
 
-    def search(self, q: np.ndarray, n_leaves: int) -> list[tuple[int, int]]:
-        """The n_leaves best (tree, leaf) by one priority queue over all trees."""
-        inner = 2**self.depth - 1
-        queue = [(-np.inf, t, 0) for t in range(len(self.normals))]
-        out = []
-        while queue and len(out) < n_leaves:
-            cost, t, node = heapq.heappop(queue)
-            while node < inner:  # down the near side; the far side waits
-                margin = float(self.normals[t, node] @ q - self.offsets[t, node])
-                near, far = (2 * node + 2, 2 * node + 1) if margin > 0 else (2 * node + 1, 2 * node + 2)
-                heapq.heappush(queue, (max(cost, abs(margin)), t, far))
-                node = near
-            out.append((t, node - inner))
-        return out
+    def costs(self, x: np.ndarray) -> np.ndarray:
+        """(rows, trees, leaves): the largest margin that each row crosses on its way to a leaf, 0 for its own."""
+        at = np.zeros((len(x), len(self.normals), 1), dtype=np.float32)
+        for level in range(self.depth):
+            nodes = slice(2**level - 1, 2 ** (level + 1) - 1)
+            margin = np.tensordot(x.astype(np.float32), self.normals[:, nodes], ([1], [2])) - self.offsets[:, nodes]
+            far, right = np.maximum(at, np.abs(margin)), margin > 0
+            at = np.stack([np.where(right, far, at), np.where(right, at, far)], axis=3).reshape(len(x), len(self.normals), -1)
+        return at
+
+    def search(self, x: np.ndarray, n_leaves: int) -> np.ndarray:
+        """(rows, n_leaves): the best leaves of all trees for each row, as tree x leaves a tree + leaf."""
+        flat = self.costs(x).reshape(len(x), -1)
+        return np.argsort(flat, axis=1, kind="stable")[:, :n_leaves]
 
 
 def distinct_vectors(rows: DataFrame, key: str, vector: str, n_ids: int) -> DataFrame:
@@ -106,12 +109,60 @@ def _matrix(vecs: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in vecs])
 
 
+def leaves_needed(forest: Forest, base: DataFrame, asked: DataFrame, k: int, most: float) -> int:
+    """The fewest leaves a query that find RECALL of the k nearest of RECALL_QUERIES queries among base (vid, vec).
+
+    Two standard errors less than the measured mean must reach it, unless no query is
+    left out. Each neighbour is found from the first of its leaves in the query's order.
+    """
+    drawn = asked.select("vid", "vec").orderBy(F.xxhash64("vid"), "vid").limit(RECALL_QUERIES + 1).toPandas()
+    partial, drawn = len(drawn) > RECALL_QUERIES, drawn.iloc[:RECALL_QUERIES]
+    everything = forest.normals.shape[0] * 2**forest.depth
+    if not len(drawn):
+        return everything
+    q, qid = _matrix(drawn["vec"]), drawn["vid"].to_numpy()
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vid, vec, score = (np.zeros((len(q), 0), dtype=np.int64), np.zeros((len(q), 0, q.shape[1])), np.zeros((len(q), 0)))
+        for b in batches:
+            if not len(b):
+                continue
+            own, v = b["vid"].to_numpy(), _matrix(b["vec"])
+            near = np.where(own[None, :] == qid[:, None], -np.inf, q @ v.T)
+            top = np.argpartition(-near, min(k, len(own)) - 1, axis=1)[:, :k]
+            vid, vec = np.hstack([vid, own[top]]), np.concatenate([vec, v[top]], axis=1)
+            score = np.hstack([score, np.take_along_axis(near, top, axis=1)])
+            keep = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            vid, score = np.take_along_axis(vid, keep, axis=1), np.take_along_axis(score, keep, axis=1)
+            vec = np.take_along_axis(vec, keep[:, :, None], axis=1)
+        at = forest.leaves(_lifted(vec.reshape(-1, q.shape[1]), most).astype(np.float32)).tolist() if vid.size else []
+        out = pd.DataFrame({"q": np.repeat(np.arange(len(q)), vid.shape[1]), "vid": vid.ravel(), "score": score.ravel(), "leaves": at})
+        yield out[np.isfinite(out["score"])]
+
+    found = base.select("vid", "vec").mapInPandas(nearest, "q int, vid long, score double, leaves array<long>")
+    found = found.withColumn("rn", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vid"))).where(F.col("rn") <= k).select("q", "leaves").toPandas()
+    if not len(found):
+        return everything
+    places = []
+    for i, group in found.groupby("q"):
+        order = forest.search(_asked(q[i : i + 1], most), everything)[0]
+        rank = np.empty(everything, dtype=np.int64)
+        rank[order] = np.arange(everything)
+        at = np.stack(group["leaves"].to_list()) + np.arange(len(forest.normals)) * 2**forest.depth
+        places.append(np.sort(rank[at].min(axis=1)))
+    tries = np.unique(np.concatenate(places)) + 1
+    share = np.stack([np.searchsorted(p, tries) / len(p) for p in places])
+    sure = share.mean(axis=0) - (2 * share.std(axis=0, ddof=1) / np.sqrt(len(share)) if partial else 0)
+    return int(tries[np.argmax(sure >= RECALL)])
+
+
 def searched(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", trees: int = TREES, leaves: int = LEAVES, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query but itself.
 
     rows, queries: tables with key and vector; queries are rows of the table. Vectors
     must share one length; those of another length than most are left out. Ties go to
     the smaller id. Ids that repeat with different vectors are candidates with each.
+    leaves: visited at least; more are if recall needs them (leaves_needed).
     """
     spark = rows.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -137,10 +188,11 @@ def searched(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
         for b in batches:
             if len(b):
                 x = _matrix(b["vec"])
-                x = np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True) * np.sqrt(most), np.zeros((len(x), 1))]).astype(np.float32)
-                got = [(t, leaf, i) for i in range(len(x)) for t, leaf in forest.search(x[i], leaves)]
-                i = [g[2] for g in got]
-                yield pd.DataFrame({"tree": [g[0] for g in got], "leaf": [g[1] for g in got], "qid": b["vid"].to_numpy()[i], "qvec": b["vec"].to_numpy()[i]})
+                x = _asked(x, most)
+                for first in range(0, len(x), 128):  # bounds the memory of the costs
+                    got = forest.search(x[first : first + 128], visited)
+                    i = first + np.repeat(np.arange(len(got)), got.shape[1])
+                    yield pd.DataFrame({"tree": got.ravel() >> forest.depth, "leaf": got.ravel() & (2**forest.depth - 1), "qid": b["vid"].to_numpy()[i], "qvec": b["vec"].to_numpy()[i]})
 
     places = written(base.select("vid", "vec").mapInPandas(index, "tree int, leaf long, vid long, vec array<double>"), "forest")
     # of each query vector one row, named by its vector's vid
@@ -148,6 +200,7 @@ def searched(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
     asked = asked.join(base.select("vid", F.col("vec").alias("_v")), F.col("vec") == F.col("_v")).select("query_id", "vid")
     asked = written(asked, "asked")
     unique = base.join(asked.select("vid").distinct(), "vid", "left_semi").select("vid", "vec").repartition(max(8, spark.sparkContext.defaultParallelism), "vid")
+    visited = max(leaves, leaves_needed(forest, base, unique, k, most))
     routes = written(unique.mapInPandas(walk, "tree int, leaf long, qid long, qvec array<double>"), "routes")
 
     # leaves are cut into blocks of rows and queries, each pair of blocks one group
@@ -182,6 +235,11 @@ def searched(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
     return own.select("query_id", F.posexplode("l").alias("pos", "x")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
+def _asked(x: np.ndarray, most: float) -> np.ndarray:
+    """Query vectors with the rows' largest norm and 0 for their last component."""
+    return np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True) * np.sqrt(most), np.zeros((len(x), 1))]).astype(np.float32)
+
+
 def _lifted(x: np.ndarray, most: float) -> np.ndarray:
     rest = np.sqrt(np.maximum(0.0, most - (x * x).sum(axis=1, keepdims=True)))
     return np.hstack([x, rest])

@@ -91,3 +91,23 @@ def test_forest_search_recall_and_scores(spark):
     few = df.where("vec_id < 3")
     assert ann.searched(few, few).count() == 6
     assert ann.searched(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_forest_search_keeps_recall_where_few_rows_are_scanned(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF_ROWS", 16)  # as many leaves as a large table has
+    x = np.random.default_rng(3).standard_normal((20_000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    got = ann.searched(df, df.where("vec_id % 500 = 0")).toPandas()
+    hits = 0
+    for i in range(0, 20_000, 500):
+        near = x @ x[i]
+        near[i] = -np.inf
+        hits += len(set(np.argsort(-near)[:20].tolist()) & set(got[got["query_id"] == i]["vec_id"]))
+    assert hits / (40 * 20) >= 0.9
+    forest = ann.Forest.fit(ann._lifted(x[: ann.SAMPLE], 1.0), len(x), ann.TREES, 16)
+    base = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vid long, vec array<double>")
+    n = ann.leaves_needed(forest, base, base.where("vid % 500 = 0"), 20, 1.0)
+    held = forest.leaves(ann._lifted(x, 1.0).astype(np.float32)) + np.arange(ann.TREES) * 2**forest.depth
+    scanned = [np.isin(held, best).any(axis=1).mean() for best in forest.search(ann._asked(x[::500], 1.0), n)]
+    assert n > ann.LEAVES and np.mean(scanned) < 0.1
