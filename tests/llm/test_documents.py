@@ -104,6 +104,20 @@ def test_recall_of_sketches():
     assert hit >= 190
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
+def test_recall_of_sketches_down_to_the_declared_similarity(similarity):
+    rng = np.random.default_rng(21)
+    hit = 0
+    for _ in range(300):
+        n = int(rng.integers(200, 501))
+        a = rng.integers(0, 1 << 30, n).astype("u4")
+        b = a.copy()
+        changed = rng.choice(n, int((1 - similarity) * n + 1e-9), replace=False)
+        b[changed] = rng.integers(0, 1 << 30, len(changed))
+        hit += bool(set(minhash.sketches(minhash.kmers(a))[0]) & set(minhash.sketches(minhash.kmers(b))[0]))
+    assert hit >= 0.95 * 300
+
+
 def brute_lines(rows):
     """Rows with texts; later windows by (key, hash order) lose their lines."""
     seen, out = {}, {}
