@@ -6,6 +6,7 @@ percentiles, at which all kinds of event occur in the order-line grid.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -310,9 +311,31 @@ def laea_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("ellipse_id", x.alias("x_km"), y.alias("y_km"))
 
 
+#: Repetitions and seeds of the study's configuration.
+BOOTSTRAP_REPS, BOOTSTRAP_SEEDS = 5000, {"daily_maxima": 20261020, "event_maxima": 20261120}
+
+
+def _bootstraps(spark: SparkSession, sf_dir: str, reps: int) -> dict[str, tuple[list[float], DataFrame]]:
+    """dataset: its areas in order of time, one number per selected day or event, and their refits."""
+    found, days, _ = Run(spark, sf_dir).compound()
+    ordered = {"daily_maxima": days.where("largest_ellipse_id is not null").orderBy("date"), "event_maxima": found.orderBy("compound_event_id")}
+    values = {k: [x.largest_ellipse_area_km2 for x in df.select("largest_ellipse_area_km2").collect()] for k, df in ordered.items()}
+    return {k: (v, power_law.bootstrap(spark, v, reps, BOOTSTRAP_SEEDS[k])) for k, v in values.items()}
+
+
+@query()
+def power_law_bootstrap(spark: SparkSession, sf_dir: str, reps: int = BOOTSTRAP_REPS) -> DataFrame:
+    """Seeded refits of the daily and the event maxima."""
+    one, two = (draws.select(F.lit(k).alias("dataset"), "*") for k, (_, draws) in _bootstraps(spark, sf_dir, reps).items())
+    return one.unionByName(two)
+
+
 @query()
-def power_law_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """200 seeded refits of the daily maxima; the sample has one number per selected day."""
-    days = Run(spark, sf_dir).compound()[1].where("largest_ellipse_id is not null").orderBy("date")
-    values = [x.largest_ellipse_area_km2 for x in days.select("largest_ellipse_area_km2").collect()]
-    return power_law.bootstrap(spark, values, 200)
+def power_law_summary(spark: SparkSession, sf_dir: str, reps: int = BOOTSTRAP_REPS) -> DataFrame:
+    """p, its bounds and error, and the quantiles of alpha by the refits; a sample without a fit has no row."""
+    out = []
+    for k, (values, draws) in _bootstraps(spark, sf_dir, reps).items():
+        fitted = power_law.fit(np.asarray(values, dtype=np.float64))
+        distance = fitted[2] if fitted else None
+        out.append(power_law.summary(draws, F.lit(distance).cast("double")).select(F.lit(k).alias("dataset"), F.lit(distance).cast("double").alias("ks_distance"), "*").where("reps > 0"))
+    return out[0].unionByName(out[1])

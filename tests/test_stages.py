@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from swelter.functions import stats
 from swelter.operators import clustering, ellipses, events, heatwaves, power_law, regional
+from swelter.plans import catalogue
 from swelter.sources import grid
 
 
@@ -108,3 +109,11 @@ def test_power_law_scan_equals_numpy_and_bootstrap_is_repeatable(spark):
     one, two = (sorted(map(tuple, power_law.bootstrap(spark, x.tolist(), 20, 5, parts).collect())) for parts in (1, 4))
     assert one == two and len(one) == 20
     assert power_law.fit(np.ones(3)) is None
+
+
+def test_power_law_bootstrap_covers_both_samples_and_is_summed_up(spark):
+    assert catalogue.BOOTSTRAP_REPS == 5000
+    got = {r.dataset: r for r in catalogue.QUERIES["power_law_summary"](spark, "/root/testdata/sf0.001", reps=20).collect()}
+    assert set(got) == {"daily_maxima", "event_maxima"}
+    for r in got.values():
+        assert r.reps == 20 and 0 <= r.p_lower <= r.p_upper <= 1 and len(r.alpha_boot_quantiles) == 5
