@@ -312,7 +312,7 @@ def test_toxicity_scores_held_out_documents(spark):
 
 def test_toxicity_keeps_rare_words_that_clean_texts_lack(spark):
     rng = random.Random(13)
-    bad = ["trash", "scum", "loser", "clown"]  # each about 1e-4 of the toxic texts' and the corpus' words
+    bad = ["trash", "scum", "loser", "clown"]  # each 3e-4 of all words
     rows, labels = [], []
     for i in range(1200):
         words = prose(rng, 150).split()
