@@ -1,15 +1,12 @@
-"""What several operators share: table access, durable intermediate tables, words."""
+"""What several operators share: table access, free column names, words."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from swelter.shared import delete, new_path, owned, scratch, written  # noqa: F401
+
 #: Words of the engine: runs of anything but ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
 _SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -19,46 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir).
-
-    In local mode, where it may be unset, a temporary folder takes its place; on a
-    cluster a missing setting is an error, as no machine's own folder would do.
-    """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir")
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        global _local
-        _local = _local or tempfile.mkdtemp(prefix="swelter-")
-        path = f"file://{_local}"
-    return path.rstrip("/")
-
-
-_local: str | None = None
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, deleted when the session's Python ends."""
-    path = f"{shared_dir(spark)}/swelter/{label}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
-    return path
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def free(columns: list[str], name: str) -> str:
+    """name, or name with so many underscores more that no column has it (case aside)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def cols(columns: list[str]) -> list[Column]:
+    """Columns by their plain names, whatever characters those hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
 
 def words_of(text: Column) -> Column:

@@ -56,7 +56,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page's url."""
-    rules = spark.createDataFrame(list(urlfilter.RULES), "host string, path string, verdict string")
+    rules = spark.sql("VALUES " + ", ".join(map(str, urlfilter.RULES))).toDF("host", "path", "verdict")
     out = urlfilter.judged(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
     return out.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))
 

@@ -17,7 +17,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from swelter.llm.common import written
 
@@ -30,9 +29,9 @@ CAPTURES_PER_FILE = 2000
 RECORD_SCHEMA = "record_id string, type string, concurrent_to array<string>, refers_to string, target_uri string, digest string, payload_bytes long, block string, payload string"
 
 
-def _id(kind: str, key: Column, nth: Column) -> Column:
-    """A urn:uuid made from the capture's key, so that rerun tasks write the same ids."""
-    h = F.md5(F.concat_ws("\x00", F.lit(kind), F.coalesce(key.cast("string"), F.lit("\x01")), nth.cast("string")))
+def _id(kind: str, key: Column, url: Column, digest: Column) -> Column:
+    """A urn:uuid made of what the capture holds, so that rerun tasks write the same ids."""
+    h = F.md5(F.concat_ws("\x00", F.lit(kind), F.coalesce(key.cast("string"), F.lit("\x01")), url, digest))
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
@@ -46,40 +45,41 @@ def planned(pages: DataFrame, key: str = "page_id", url: str = "url", payload: s
     """Captures with digests, and for each whether it is a response or a revisit of which.
 
     Null payloads are empty, null urls about:blank. Of equal payloads of MIN_SHARED bytes
-    or more, the smallest key is the response; rows of one key and payload that repeat are
-    all responses. Null keys sort first. Only keys and digests are grouped, with partial
-    sums; the lookup is a join whose large partitions the optimizer can split.
+    or more, the smallest key is the response (of its urls the smallest is referred to);
+    rows of one key and payload that repeat are all responses. Null keys sort first. Keys
+    and digests are grouped alone, with partial sums; bodies move once at most, to meet
+    the digests that are shared, in a join whose large partitions the optimizer can split.
     """
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     caps = pages.select(F.col(key).alias("key"), F.coalesce(F.col(url), F.lit("about:blank")).alias("url"), body.alias("body"))
     caps = caps.withColumn("bytes", F.octet_length("body").cast("long")).withColumn("digest", F.sha2("body", 256))
-    first = caps.where(F.col("bytes") >= MIN_SHARED).groupBy(F.col("digest").alias("_d")).agg(F.min(F.struct("key")).alias("_first"), F.count("*").alias("_n"))
-    shared = first.where("_n > 1").select("_d", F.col("_first.key").alias("first"))
+    first = caps.where(F.col("bytes") >= MIN_SHARED).groupBy(F.col("digest").alias("_d")).agg(F.min(F.struct("key", "url")).alias("first"), F.count("*").alias("_n"))
+    shared = first.where("_n > 1").select("_d", "first")
     out = caps.join(shared, F.col("digest") == F.col("_d"), "left")
-    revisit = F.col("_d").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
+    revisit = F.col("_d").isNotNull() & ~F.col("key").eqNullSafe(F.col("first.key"))
     return out.select("key", "url", "body", "bytes", "digest", revisit.alias("revisit"), "first")
 
 
 def records(captures: DataFrame) -> DataFrame:
     """The text of the records of planned() captures: three rows (value) for each.
 
-    Repeated keys are told apart by their number among equal keys.
+    Ids name the content (key, url and payload), so rows that repeat entirely have equal
+    records, whichever is meant; others with one key differ.
     """
-    nth = F.row_number().over(W.partitionBy("key").orderBy("digest", "url"))
-    caps = captures.withColumn("nth", nth)
-    own = _id("capture", F.col("key"), F.col("nth"))
+    named = lambda kind: _id(kind, F.col("key"), F.col("url"), F.col("digest"))
+    own, asked = named("capture"), named("request")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
     digest = F.concat(F.lit("sha256:"), F.col("digest"))
     common = [("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "%0A"))]
     response = _record([("WARC-Type", F.lit("response")), ("WARC-Record-ID", own), *common, ("WARC-Payload-Digest", digest), ("Content-Type", F.lit("application/http; msgtype=response"))], F.concat(http, F.col("body")))
-    refers = _id("capture", F.col("first"), F.lit(1))
+    refers = _id("capture", F.col("first.key"), F.col("first.url"), F.col("digest"))
     revisit = _record([("WARC-Type", F.lit("revisit")), ("WARC-Record-ID", own), *common, ("WARC-Payload-Digest", digest), ("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", refers), ("Content-Type", F.lit("application/http; msgtype=response"))], http)
     path = F.coalesce(F.nullif(F.regexp_extract("url", r"^[^:]*://[^/?#]*([^#\s]*)", 1), F.lit("")), F.lit("/"))
-    request = _record([("WARC-Type", F.lit("request")), ("WARC-Record-ID", _id("request", F.col("key"), F.col("nth"))), *common, ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/http; msgtype=request"))], F.concat(F.lit("GET "), path, F.lit(" HTTP/1.1\r\n\r\n")))
+    request = _record([("WARC-Type", F.lit("request")), ("WARC-Record-ID", asked), *common, ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/http; msgtype=request"))], F.concat(F.lit("GET "), path, F.lit(" HTTP/1.1\r\n\r\n")))
     # metadata names the request, as some crawlers do; assembly follows both steps
     note = F.concat(F.lit("capture-key: "), F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit("\r\n"))
-    metadata = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _id("metadata", F.col("key"), F.col("nth"))), *common, ("WARC-Concurrent-To", _id("request", F.col("key"), F.col("nth"))), ("Content-Type", F.lit("application/warc-fields"))], note)
-    return caps.select(F.explode(F.array(F.when(F.col("revisit"), revisit).otherwise(response), request, metadata)).alias("value"))
+    metadata = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", named("metadata")), *common, ("WARC-Concurrent-To", asked), ("Content-Type", F.lit("application/warc-fields"))], note)
+    return captures.select(F.explode(F.array(F.when(F.col("revisit"), revisit).otherwise(response), request, metadata)).alias("value"))
 
 
 def write(captures: DataFrame, path: str, compression: str = "gzip") -> None:
@@ -91,21 +91,25 @@ _HEADER = re.compile(rb"^([^:\r\n]+):[ \t]*(.*?)[ \t]*\r?$", re.M)
 
 
 def parse(data: bytes) -> Iterator[tuple]:
-    """Records of one archive, by their Content-Length; what is no record ends the file."""
+    """Records of one archive, by their Content-Length; what is no record is an error."""
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
     at = 0
     while True:
         while data[at : at + 2] == b"\r\n":
             at += 2
+        if at >= len(data):
+            return
         end = data.find(b"\r\n\r\n", at)
         if end < 0 or data[at : at + 5] != b"WARC/":
-            return
+            raise ValueError(f"no WARC record at byte {at} of {len(data)}")
         named: dict[str, list[str]] = {}
         for name, value in _HEADER.findall(data[at:end]):
             named.setdefault(name.decode("utf-8", "replace").lower(), []).append(value.decode("utf-8", "replace"))
         size = int(named.get("content-length", ["0"])[0])
         block = data[end + 4 : end + 4 + size]
+        if len(block) < size:
+            raise ValueError(f"the WARC record at byte {at} is cut off")
         at = end + 4 + size
         kind = named.get("warc-type", [""])[0].lower()
         payload, n, digest = None, None, (named.get("warc-payload-digest") or [""])[0].rpartition(":")[2] or None
@@ -175,10 +179,23 @@ def assembled(recs: DataFrame) -> DataFrame:
 
     heads = recs.where(captured)
     out = heads.join(side("request"), F.col("record_id") == F.col("_request_root"), "left").join(side("metadata"), F.col("record_id") == F.col("_metadata_root"), "left")
-    original = out.where(F.col("type") == "response").select(F.col("record_id").alias("_original"), F.struct("record_id", "target_uri", "digest", "payload_bytes", "metadata").alias("original"))
-    out = out.join(original, F.col("refers_to") == F.col("_original"), "left")
     fields = ["record_id", "type", "target_uri", "digest", "payload_bytes", "refers_to"] + ["payload"] * ("payload" in recs.columns)
-    return out.select(F.struct(*fields).alias("response"), "request", "metadata", "original")
+    out = out.select(F.struct(*fields).alias("response"), "request", "metadata")
+    out = written(out, "captures")
+    # a record that many refer to is asked for once by each of SALTS parts of them
+    refers = F.col("response.refers_to")
+    salted = out.where(refers.isNotNull()).withColumn("_salt", F.pmod(F.xxhash64("response.record_id"), F.lit(SALTS)))
+    asked = salted.select(refers.alias("_of"), "_salt").distinct()
+    kept = out.where("response.type = 'response'").select(F.col("response.record_id").alias("_original"), F.struct("response.record_id", "response.target_uri", "response.digest", "response.payload_bytes", "metadata").alias("original"))
+    kept = kept.join(asked.select(F.col("_of").alias("_original")).distinct(), "_original", "left_semi").groupBy("_original").agg(F.min("original").alias("original"))
+    told = asked.join(kept, F.col("_of") == F.col("_original")).select("_of", F.col("_salt").alias("_s"), "original")
+    revisits = salted.join(told, (refers == F.col("_of")) & (F.col("_salt") == F.col("_s")), "left").select("response", "request", "metadata", "original")
+    others = out.where(refers.isNull()).withColumn("original", F.lit(None).cast(kept.schema["original"].dataType))
+    return others.unionByName(revisits)
+
+
+#: Parts that the revisits of one record are dealt over.
+SALTS = 64
 
 
 def capture_key(metadata: str = "metadata") -> Column:
