@@ -3,24 +3,24 @@
 Pieces of equal length are alike, so the instance is the histogram of lengths: at most
 `capacity` numbers, whatever the corpus. On it, Martello and Toth's reduction fixes sets
 of up to three pieces that provably dominate what else could stand beside their largest
-piece; what is left is packed by best fit, longest first, many bins at once. Both give
-patterns (lengths of a bin) with a multiplicity. The pieces then take the patterns'
-places by their rank among equal lengths, which Spark counts in parallel.
+piece, by its exact cases and by their own three-piece rule; what is left is packed by
+best fit, longest first, many bins at once. Both give patterns (lengths of a bin) with a
+multiplicity. The pieces then take the patterns' places by their rank among equal
+lengths, which Spark counts in parallel.
 """
 
 from __future__ import annotations
 
 import bisect
-import itertools
 import json
 import os
+import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -28,20 +28,39 @@ from pyspark.sql.window import Window as W
 from swelter.llm.common import written
 
 CAPACITY, END_ID = 2048, 0
-#: Fixed value: the pattern by which byte-level pre-tokenizers cut words.
-BYTE_LEVEL_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Parts that the pieces of one length are numbered in.
-RANK_PARTS = 64
-#: Words whose ids a task remembers, and the longest such word.
-MEMO_WORDS, MEMO_CHARS = 500_000, 100
-
-
-class WordIds:
-    """Ids of whole texts by a byte-level tokenizer that cuts texts into words first.
-
-    Such a tokenizer encodes each word by itself, so a word that was seen before needs
-    no second look. The cut is the tokenizer's own pre-tokenizer's (the byte-level one's
-    standard pattern); another pre-tokenizer, or a normalizer, is an error.
+#: White space as Unicode has it, and letters of the Latin blocks.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+#: Places at which every byte-level pre-tokenizer cuts: before the last of a run of white space, before
+#: such a run, and behind Latin letters that an ASCII mark or the end follows.
+CHUNKS = re.compile(f"[{WHITE}]?[{LETTERS}]++(?=[\\x00-\\x40\\x5b-\\x60\\x7b-\\x7f]|\\Z)|[{WHITE}]?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])")
+#: Rows of one length that are numbered in one part.
+RANK_ROWS = 1 << 16
+#: Chunks whose ids a worker remembers, and the longest such chunk.
+MEMO_CHUNKS, MEMO_CHARS = 400_000, 64
+
+
+class ChunkIds(dict):
+    """chunk: its ids as little-endian unsigned 32-bit numbers, encoded when first asked for."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def __missing__(self, chunk: str) -> bytes:
+        got = np.array(self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+        if len(chunk) <= MEMO_CHARS and len(self) < MEMO_CHUNKS:
+            self[chunk] = got
+        return got
+
+
+class Encoder:
+    """Ids of whole texts, as the tokenizer's own encode gives them, by remembered chunks.
+
+    A byte-level tokenizer cuts texts into words and encodes each by itself. Text is cut
+    only where the pre-tokenizer's pattern must cut too (CHUNKS), and the tokenizer
+    encodes each chunk, so a chunk that was seen before needs no second look. Texts that
+    hold one of the tokenizer's added tokens are encoded whole. Another pre-tokenizer, or
+    a normalizer, is an error.
     """
 
     def __init__(self, path: str):
@@ -54,22 +73,27 @@ class WordIds:
         if made.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
             raise ValueError("only plain byte-level tokenizers encode word by word")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, tuple[int, ...]] = {}
+        added = [t["content"] for t in made.get("added_tokens") or [] if t["content"]]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.known = ChunkIds(self.tokenizer)
 
     def __call__(self, text: str) -> np.ndarray:
-        words = BYTE_LEVEL_WORDS.findall(text)
-        new = list({w for w in words if w not in self.memo})
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo.clear()
-            new = list(set(words))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.memo[w] = tuple(e.ids)
-        out = np.fromiter(itertools.chain.from_iterable(map(self.memo.__getitem__, words)), dtype="<u4")
-        for w in new:
-            if len(w) > MEMO_CHARS:
-                del self.memo[w]
-        return out
+        if self.added and self.added.search(text):
+            return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        return np.frombuffer(b"".join(map(self.known.__getitem__, CHUNKS.findall(text))), dtype="<u4")
+
+
+def encoder(path: str) -> Encoder:
+    """One for each file in a worker's process, so that what a task has seen serves the next.
+
+    This module travels with each task, so its own names don't last; the library's do.
+    """
+    import tokenizers
+
+    held = vars(tokenizers).setdefault("_swelter_encoders", {})
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -82,7 +106,7 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: st
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = WordIds(tokenizer)
+        encode = encoder(tokenizer)
         for b in batches:
             out = []
             for k, row, text in zip(b["key"].tolist(), b["row"].tolist(), b["text"]):
@@ -122,21 +146,54 @@ def reduce_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> list[t
 def _dominating(j: int, counts: dict[int, int], capacity: int) -> tuple[int, ...] | None:
     """A set with j that dominates all others with j, or None.
 
-    Alone, if no other piece fits beside it. With the longest k that fits, if both fill
-    the bin or no two others fit beside j together: any partner of j may be exchanged
-    for k. With the two shortest, if they fill the bin and nothing longer than them fits.
+    Alone, if nothing fits beside j. With the longest k that fits, if both fill the bin,
+    or if no more than two others ever fit beside j and the best two together are no
+    longer than k: what stands beside j elsewhere may be exchanged for k. With k and the
+    longest b that fits beside both, if no more than two others fit and none of their
+    pairs is of two longer than b but together longer than k: one of a pair then goes
+    into k's place, the other into b's, or both into k's.
     """
     space = capacity - j
-    others = sorted(x for x, n in counts.items() if n > (x == j) and x <= space)
+    left = lambda x: counts.get(x, 0) - (x == j)
+    others = sorted(x for x, n in counts.items() if x <= space and left(x) > 0)
     if not others:
         return (j,)
-    k, least = others[-1], others[0]
-    second = least if counts[least] - (least == j) > 1 else others[1] if len(others) > 1 else capacity
-    if k == space or least + second > space:
+    k = others[-1]
+    shortest = [x for x in others[:3] for _ in range(min(3, left(x)))][:3]
+    if k == space or len(shortest) < 2 or shortest[0] + shortest[1] > space:
+        return (j, k)
+    if len(shortest) == 3 and sum(shortest) <= space:
+        return None
+    # the pair whose sum is nearest to the space
+    best, hi = 0, len(others) - 1
+    for lo, x in enumerate(others):
+        while hi >= lo and (others[hi] + x > space or (hi == lo and left(x) < 2)):
+            hi -= 1
+        if hi < lo:
+            break
+        best = max(best, x + others[hi])
+    if best <= k:
         return (j, k)
-    if least + second == space and k <= second:
-        return (j, second, least)
-    return None
+    beside = [x for x in others if x <= space - k and left(x) > (x == k)]
+    if not beside:
+        return None
+    b = beside[-1]
+    longer = [x for x in others if x > b for _ in range(min(2, left(x)))]
+    # pairs of two longer than b that don't go into k's place together
+    return None if _between(longer, k, space) else (j, k, b)
+
+
+def _between(xs: list[int], low: int, high: int) -> bool:
+    """Whether two of the sorted xs sum to more than low and at most high."""
+    hi = len(xs) - 1
+    for lo in range(len(xs)):
+        while hi > lo and xs[lo] + xs[hi] > high:
+            hi -= 1
+        if hi <= lo:
+            return False
+        if xs[lo] + xs[hi] > low:
+            return True
+    return False
 
 
 def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -179,7 +236,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Only the histogram (capacity rows at most) reaches the driver, and only the patterns'
     slots go back. A slot is a range of ranks of one length; there are some tens for each
     length, and the table's size is checked before it is broadcast. Ranks within a length
-    are counted in RANK_PARTS parts each, so one frequent length is spread over tasks.
+    are counted in parts of about RANK_ROWS rows, so a frequent length is spread over tasks.
     """
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
@@ -194,8 +251,11 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             offset += x
         sequence += times
     rows = [(x, *s) for x, held in slots.items() for s in held]
-    part = F.pmod(F.xxhash64("key", "row", "piece"), F.lit(RANK_PARTS))
-    inside = pieces.withColumn("part", part)
+    parts = {x: -(-n // RANK_ROWS) for x, n in counts.items() if n > RANK_ROWS}
+    n_parts = F.lit(1)
+    if parts:
+        n_parts = F.coalesce(F.create_map(*[F.lit(v) for x in parts.items() for v in x])[F.col("length")], n_parts)
+    inside = pieces.withColumn("part", F.pmod(F.xxhash64("key", "row", "piece"), n_parts))
     sums = inside.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = sums.withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).drop("n")
     ranked = inside.withColumn("nth", F.row_number().over(W.partitionBy("length", "part").orderBy("key", "row", "piece")) - 1)

@@ -151,11 +151,10 @@ def test_packing_is_whole_and_tight(spark):
     from tokenizers import Tokenizer
 
     rng = random.Random(4)
-    rows = [(i, prose(rng, rng.randrange(1, 900))) for i in range(60)] + ODD
+    rows = [(i, prose(rng, rng.randrange(1, 900))) for i in range(60)] + ODD + [(70, "hello <|endoftext|> world"), (71, "a  <|endoftext|>\n\n b  c")]
     path = public_tokenizers.path("byte_bpe_50k.json")
     got = packing.packed_documents(make(spark, rows), path).toPandas()
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     want = Counter()
     for i, x in rows:
         ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], dtype="<u4")
@@ -171,6 +170,61 @@ def test_packing_is_whole_and_tight(spark):
     assert packing.packed_documents(make(spark, []), path).count() == 0
 
 
+def test_ids_equal_a_plain_encode_for_every_code_point():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, ours = Tokenizer.from_file(path), packing.Encoder(path)
+    plain = lambda x: t.encode(x, add_special_tokens=False).ids
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    # each character between letters, marks, digits and white space, many to a text
+    for form in ("a{0}b !{0}! ", "1{0}{0} y{0}'s\n"):
+        texts = ["".join(form.format(c) for c in chars[i : i + 512]) for i in range(0, len(chars), 512)]
+        for x, e in zip(texts, t.encode_batch(texts, add_special_tokens=False)):
+            if ours(x).tolist() != e.ids:
+                assert False, [hex(ord(c)) for c in chars[texts.index(x) * 512 :][:512] if ours(form.format(c)).tolist() != plain(form.format(c))]
+    rng = random.Random(20)
+    signs = "a b é ñ 1 ' s . , ! \n \t \x1c \xa0 \u2003 中 ़ ٣ 😀 <|endoftext|>".split(" ") + [" ", "  "]
+    for _ in range(3000):
+        x = "".join(rng.choice(signs) for _ in range(rng.randrange(0, 30)))
+        assert ours(x).tolist() == plain(x), x
+
+
+def fewest(xs, capacity):
+    """The least number of bins, by trying all."""
+    xs, best = sorted(xs, reverse=True), [len(xs)]
+
+    def place(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(xs):
+            best[0] = len(bins)
+            return
+        for b in sorted(set(bins)):
+            if b + xs[i] <= capacity:
+                rest = list(bins)
+                rest[rest.index(b)] += xs[i]
+                place(i + 1, rest)
+        place(i + 1, [*bins, xs[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_reduction_keeps_the_least_number_of_bins():
+    rng = random.Random(15)
+    three = 0
+    for _ in range(500):
+        xs = [rng.randrange(4, 31) for _ in range(rng.randrange(1, 10))]
+        rest = Counter(xs)
+        fixed = packing.reduce_histogram(rest, 30)
+        three += any(len(p) == 3 for p, _ in fixed)
+        left = [x for x, n in rest.items() for _ in range(n)]
+        assert sum(n for _, n in fixed) + fewest(left, 30) == fewest(xs, 30), xs
+    assert three > 50
+
+
 def test_patterns_use_every_piece_once():
     rng = random.Random(6)
     for _ in range(200):
