@@ -84,9 +84,18 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     delete(spark, mine)
 
 
+#: Spark's setting by which an execution's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
-    """df as a Parquet table in the shared folder."""
+    """df as a Parquet table in the shared folder; its shuffle files go once it is written."""
     spark = df.sparkSession
     path = new_path(spark, label, keep)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
