@@ -88,6 +88,41 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
 
 
+def test_band_equals_whole_columns(monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    for _ in range(1500):
+        a = [rng.randrange(5) for _ in range(rng.randrange(60, 200))]
+        b, most = list(a), rng.randrange(1, 12)
+        for _ in range(rng.randrange(0, 14)):
+            i = rng.randrange(len(b))
+            b[i : i + rng.randrange(2)] = [rng.randrange(5)] * rng.randrange(2)
+        if abs(len(a) - len(b)) <= most:
+            assert minhash._in_band(a, b, most) == min(minhash._columns(a, b, 10**6), most + 1)
+
+
+def test_pairs_in_a_crowd_and_drifting_copies_are_found(spark):
+    rng = random.Random(31)
+    passage, rows, want = prose(rng, 150), [], []
+    for i in range(80):  # own words beside a passage that all share; every second text has a near copy
+        own = prose(rng, 50).split()
+        rows.append((10 * i, f"{' '.join(own)} {passage}"))
+        if i % 2:
+            for j in rng.sample(range(50), rng.choice([10, 15, 20])):
+                own[j] = prose(rng, 1) + "q"
+            rows.append((10 * i + 1, f"{' '.join(own)} {passage}"))
+            want.append((10 * i, 10 * i + 1))
+    drift, n = prose(rng, 200).split(), 10_000
+    for i in range(60):  # each a few words further from the first
+        drift = [prose(rng, 1) + "z" if rng.random() < 0.02 else w for w in drift]
+        rows.append((n + i, " ".join(drift)))
+    of = {r.doc_id: r["_class"] for r in minhash.classified(make(spark, rows)).select("doc_id", "_class").collect()}
+    # texts of one passage and 50 own words differ in a quarter of their words, or more
+    assert sum(of[a] == of[b] for a, b in want) >= 0.95 * len(want)
+    assert len({of[10 * i] for i in range(80)}) == 80
+    assert {of[n + i] for i in range(60)} == {n}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.classified(make(spark, [])).count() == 0
     assert minhash.one_of_each(make(spark, [])).count() == 0
