@@ -24,6 +24,12 @@ def free(columns: list[str], name: str) -> str:
     return name
 
 
+def hidden(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns of these names renamed, and the names to give them back."""
+    back = {free(df.columns, f"_kept_{c}"): c for c in df.columns if c.lower() in names}
+    return df.withColumnsRenamed({v: k for k, v in back.items()}), back
+
+
 def cols(columns: list[str]) -> list[Column]:
     """Columns by their plain names, whatever characters those hold."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in columns]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swelter.llm.common import let, written
+from swelter.llm.common import hidden, let, scratch, written
 
 WINDOW = 3
 
@@ -62,8 +62,11 @@ def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     are. Rows that repeat in key and text are one document: they lose the same lines and
     none on each other's account. Rows of one key with other texts are told apart, the
     smaller hash first. Null keys come first. Texts move once, to meet their places.
+    Columns of docs with these three names are replaced, others stay whatever they are called.
     """
-    places = later_places(written(windows(docs, key, text), "windows"))
+    with scratch(docs.sparkSession):
+        places = written(later_places(written(windows(docs, key, text), "windows")), "places", keep=True)
+    docs, back = hidden(docs, ("_key", "_v", "_ks", "_version", "_cut"))
     places = places.select(F.col("key").alias("_key"), F.col("version").alias("_v"), F.col("ks").alias("_ks"))
     rows = docs.withColumn("_version", _version(F.col(text)))
     joined = rows.join(places, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_version") == F.col("_v")), "left")
@@ -80,4 +83,4 @@ def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     plain = let(_lines(F.col(text)), lambda x: F.struct(F.col(text).alias("text"), F.lit(0).alias("n"), F.size(_numbered(x)).alias("full")))
     out = joined.withColumn("_cut", F.when(F.col("_ks").isNull(), plain).otherwise(let(_lines(F.col(text)), cut)))
-    return out.withColumns({"_text": F.col("_cut.text"), "_n_lines": F.col("_cut.full").cast("long"), "_n_removed": F.col("_cut.n").cast("long")}).drop("_key", "_v", "_ks", "_version", "_cut")
+    return out.withColumns({"_text": F.col("_cut.text"), "_n_lines": F.col("_cut.full").cast("long"), "_n_removed": F.col("_cut.n").cast("long")}).drop("_key", "_v", "_ks", "_version", "_cut").withColumnsRenamed(back)

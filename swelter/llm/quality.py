@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swelter.llm.common import let, words_of, written
+from swelter.llm.common import cols, hidden, let, scratch, words_of, written
 
 SYMBOLS, CAPITALS = r"[#*$%&|<>]", r"[A-Z\x{C0}-\x{D6}\x{D8}-\x{DE}]+"
 
@@ -42,7 +42,8 @@ def repeat_words(words: Column) -> Column:
     their places, equal neighbours are repeats, and overlapping places are merged by
     the gaps between them. words must be bound by let().
     """
-    windows = F.regexp_extract_all(F.array_join(words, " "), F.lit(r"(?=([^ ]++ [^ ]++ [^ ]++))[^ ]++"), F.lit(1))
+    # tried at words' beginnings only: the last two words, however long, cost one look each
+    windows = F.regexp_extract_all(F.array_join(words, " "), F.lit(r"(?<![^ ])(?=([^ ]++ [^ ]++ [^ ]++))[^ ]++"), F.lit(1))
 
     def covered(texts: Column) -> Column:
         pairs = F.sort_array(F.arrays_zip(texts.alias("t"), F.sequence(F.lit(0), F.size(texts) - 1).alias("p")))
@@ -169,8 +170,11 @@ def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ri
     The counts are made once and written beside the rows; the calibration reads the
     narrow columns of that table, the verdict all of it. Texts are never shuffled.
     Repeated rows are judged alike; null doc_id rows take no part in the calibration.
+    Columns of any name stay as they are.
     """
-    counted = written(features(docs), "counted")
-    cutoffs = thresholds(counted.select("doc_id", stratum, "_q"), labels, stratum, risk, delta)
+    safe, back = hidden(docs, ("_q", "_m", "_rules", "_base_failed"))
+    counted = written(features(safe), "counted")
+    with scratch(docs.sparkSession):
+        cutoffs = written(thresholds(counted.select("doc_id", stratum, "_q"), labels, stratum, risk, delta), "cutoffs", keep=True)
     out = apply_cutoffs(counted, cutoffs, stratum)
-    return out.where((F.size("_rules") == 0) & ~F.col("_base_failed")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.where((F.size("_rules") == 0) & ~F.col("_base_failed")).select(*cols(safe.columns)).withColumnsRenamed(back)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swelter.llm.common import written
+from swelter.llm.common import cols, hidden, scratch, written
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Fixed value: marks that often stand around a word.
@@ -291,7 +291,9 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with `_score` and `_passages`, the significant toxic segments in word places.
 
     Whole texts, row by row. Null and empty texts have no segment and the lowest score.
+    Columns of docs with these two names are replaced, others stay whatever they are called.
     """
+
     @F.pandas_udf(f"score double, passages {PASSAGES}")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = ("first_word", "end_word", "score", "expected")
@@ -299,5 +301,6 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             got = [model.score(t) for t in texts]
             yield pd.DataFrame({"score": [s for s, _ in got], "passages": [[dict(zip(names, p)) for p in found] for _, found in got]})
 
-    kept = [f"`{c}`" for c in docs.columns]
-    return docs.withColumn("_t", score(F.col(text))).select(*kept, F.col("_t.score").alias("_score"), F.col("_t.passages").alias("_passages"))
+    docs, back = hidden(docs.drop("_score", "_passages"), ("_t",))
+    out = docs.withColumn("_t", score(F.col(text)))
+    return out.select(*cols(docs.columns), F.col("_t.score").alias("_score"), F.col("_t.passages").alias("_passages")).withColumnsRenamed(back)
