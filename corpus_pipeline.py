@@ -1,26 +1,50 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each as
-Parquet in the shared folder and gives it, read again, to the next.
+Parquet in the shared folder and gives it, read again, to the next. A stage's tables are
+deleted when the next one starts, unless its documents still read them.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swelter.llm import linededup, minhash, mixing, packing, quality
-from swelter.llm.common import table, written
+from swelter.llm.common import delete, owned, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Tables that the outputs of stages may still read.
+_left: list[str] = []
+
+
+def stage(f: Stage) -> Stage:
+    @functools.wraps(f)
+    def started(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles() if _left else []
+        unread = [p for p in _left if not any(p.rpartition("/")[2] in x for x in read)]
+        delete(spark, unread)
+        _left[:] = [p for p in _left if p not in unread]
+        with owned() as mine:
+            out = f(spark, docs, sf_dir)
+        _left.extend(mine)
+        return out
+
+    return started
 
 
+@stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that neither the base rules nor a certified cutoff rejects."""
     return quality.kept_documents(docs, table(spark, sf_dir, "labels"), "lang").select(*COLUMNS)
 
 
+@stage
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of three-line windows; n_chars follows, nothing else changes.
 
@@ -32,17 +56,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return left.withColumns({"text": F.col("_text"), "n_chars": F.when(changed, F.length("_text").cast("long")).otherwise(F.col("n_chars"))}).select(*COLUMNS)
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, that with the least doc_id."""
     return minhash.one_of_each(docs.select(*COLUMNS))
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, so repeated rows are meant."""
     out = mixing.mixed(docs.select(*COLUMNS))
     return out.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies")))).where("_copies > 0").select(*COLUMNS)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all token pieces in sequences of 2048; copies are told apart by row."""
     return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("key", "doc_id")
@@ -62,8 +89,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, f) in enumerate(STAGES):
+        docs = f(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = written(docs, f"stage{k}")
+            with owned() as mine:
+                docs = written(docs, f"stage{k}")
+            _left.extend(mine)
     return docs
