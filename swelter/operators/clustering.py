@@ -1,8 +1,9 @@
 """Stage 3: density-based clusters of each selected day's cells.
 
-Only the labels need Python: a day's cells are one group (the grid bounds its size), its
-squared distances are made once for all settings. Search, pooling and numbering are
-DataFrame operations.
+Only the labels need Python. A day's cells are one group; as they stand on a grid and the
+radius is a few steps, their neighbours are looked up by offsets, so a group takes memory
+for each cell's neighbours, not for all pairs, and they are found once for all settings.
+Search, pooling and numbering are DataFrame operations.
 """
 
 from __future__ import annotations
@@ -17,37 +18,58 @@ EPS = (1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0)
 MIN_SAMPLES = (4, 5, 6, 7, 8, 9, 10, 11, 12)
 
 
-def squared_distances(lon: np.ndarray, lat: np.ndarray, step: float) -> np.ndarray:
-    """On whole grid steps from the day's least lon and lat, so ties are exact."""
-    x, y = np.rint((lon - lon.min()) / step), np.rint((lat - lat.min()) / step)
-    return (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2
+def neighbours(lon: np.ndarray, lat: np.ndarray, step: float, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, squared distance) of cells within radius of each other, each with itself too.
 
-
-def dbscan(d2: np.ndarray, eps: float, min_samples: int) -> tuple[np.ndarray, np.ndarray]:
-    """(labels, neighbours within eps, itself included); rows are in scan order, noise is -1.
-
-    Clusters are the components of core cells, numbered by their first core cell; other
-    cells take the smallest label among the core cells they are near.
+    On whole grid steps from the day's least lon and lat, so ties are exact.
+    """
+    x, y = np.rint((lon - lon.min()) / step).astype(np.int64), np.rint((lat - lat.min()) / step).astype(np.int64)
+    reach = int(radius)
+    # a number for each place, with room for the offsets at the rows' ends
+    wide = int(y.max()) + 2 * reach + 1
+    place = (x + reach) * wide + y + reach
+    order = np.argsort(place, kind="stable")
+    ranked = place[order]
+    found = []
+    for dx in range(-reach, reach + 1):
+        for dy in range(-reach, reach + 1):
+            if dx * dx + dy * dy <= radius * radius:
+                at = np.minimum(np.searchsorted(ranked, place + dx * wide + dy), len(ranked) - 1)
+                i = np.flatnonzero(ranked[at] == place + dx * wide + dy)
+                found.append((i, order[at[i]], np.full(len(i), dx * dx + dy * dy)))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def dbscan(n: int, near: tuple[np.ndarray, np.ndarray, np.ndarray], eps: float, min_samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """(labels, neighbours within eps, itself included); cells are in scan order, noise is -1.
+
+    near: neighbours() at eps or more. Clusters are the components of core cells, numbered
+    by their first core cell; other cells take the smallest label among the core cells
+    they are near.
     """
-    near = d2 <= eps * eps
-    n_near = near.sum(axis=1)
+    i, j, d2 = near
+    inside = d2 <= eps * eps
+    i, j = i[inside], j[inside]
+    n_near = np.bincount(i, minlength=n)
     core = n_near >= min_samples
-    labels = np.full(len(d2), -1)
-    links = near & core[None, :]
-    count = 0
-    for i in np.flatnonzero(core):
-        if labels[i] < 0:
-            reached = np.zeros(len(d2), dtype=bool)
-            front = np.zeros(len(d2), dtype=bool)
-            front[i] = True
-            while front.any():
-                reached |= front
-                front = links[front].any(axis=0) & ~reached
-            labels[reached] = count
-            count += 1
-    for i in np.flatnonzero(~core):
-        own = labels[links[i]]
-        labels[i] = own.min() if len(own) else -1
+    both = core[i] & core[j]
+    root, a, b = np.arange(n), i[both], j[both]
+    while True:  # the least cell of each neighbour's root, then shortcuts to it
+        new = root.copy()
+        np.minimum.at(new, root[a], root[b])
+        np.minimum.at(new, a, root[b])
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    labels = np.full(n, -1)
+    firsts = np.unique(root[core])
+    labels[core] = np.searchsorted(firsts, root[core])
+    edge = ~core[i] & core[j]
+    if edge.any():
+        least = np.full(n, n)
+        np.minimum.at(least, i[edge], labels[j[edge]])
+        labels = np.where(~core & (least < n), least, labels)
     return labels, n_near
 
 
@@ -55,8 +77,8 @@ def cluster_counts(cells: DataFrame, step: float = 1.0, eps: tuple[float, ...] =
     """(date, eps, min_samples, n_clusters) for every day and setting."""
 
     def count(day: pd.DataFrame) -> pd.DataFrame:
-        d2 = squared_distances(day["lon"].to_numpy(), day["lat"].to_numpy(), step)
-        rows = [(day["date"].iloc[0], e, m, int(dbscan(d2, e, m)[0].max(initial=-1)) + 1) for e in eps for m in min_samples]
+        near = neighbours(day["lon"].to_numpy(), day["lat"].to_numpy(), step, max(eps))
+        rows = [(day["date"].iloc[0], e, m, int(dbscan(len(day), near, e, m)[0].max(initial=-1)) + 1) for e in eps for m in min_samples]
         return pd.DataFrame(rows, columns=["date", "eps", "min_samples", "n_clusters"])
 
     return cells.select("date", "lon", "lat").groupBy("date").applyInPandas(count, "date date, eps double, min_samples int, n_clusters int")
@@ -103,7 +125,7 @@ def labelled(cells: DataFrame, settings: DataFrame, step: float = 1.0) -> DataFr
     def label(day: pd.DataFrame) -> pd.DataFrame:
         day = day.sort_values(["lon", "lat"], ignore_index=True)
         e, m = day["eps_applied"].iloc[0], int(day["min_samples_applied"].iloc[0])
-        labels, near = dbscan(squared_distances(day["lon"].to_numpy(), day["lat"].to_numpy(), step), e, m)
+        labels, near = dbscan(len(day), neighbours(day["lon"].to_numpy(), day["lat"].to_numpy(), step, e), e, m)
         return day.assign(dbscan_label=labels, is_core_cell=(near >= m).astype(int), n_cells_within_eps=near)[[c.split()[0] for c in LABELS.split(", ")]]
 
     applied = settings.select("date", F.col("sequence_eps").alias("eps_applied"), F.col("sequence_min_samples").alias("min_samples_applied"))

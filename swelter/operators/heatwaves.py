@@ -1,7 +1,7 @@
 """Stage 1: local heatwaves of each cell by percentile and gap-aware islands.
 
 One shuffle by cell carries thresholds, islands, events and memberships: percentile,
-lag/lead and running sums all are windows over (cell, date).
+lag/lead, running sums and the sums over an island all are windows within a cell.
 """
 
 from __future__ import annotations
@@ -11,60 +11,75 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def marked_days(grid: DataFrame, percentile: float = 95, partition: str = "cell_id") -> DataFrame:
-    """grid with threshold, exceeds, island (of the last exceeding day) and member.
+def marked_days(grid: DataFrame, percentile: float = 95, min_duration: int = 3, min_exceeding: int = 3) -> DataFrame:
+    """grid with threshold, exceeds and event_number_in_cell (null outside local heatwaves).
 
     A day exceeds at or above the cell's type-7 percentile. Missing calendar days stand
     for two virtual days that don't exceed. One lone day below the threshold between two
-    exceeding ones is bridged; two end the island.
+    exceeding ones is bridged; two end the island. Islands that span min_duration days,
+    min_exceeding of them exceeding, are numbered by time within the cell.
     """
-    cell, by_day = W.partitionBy(partition), W.partitionBy(partition).orderBy("date")
+    cell, by_day = W.partitionBy("cell_id"), W.partitionBy("cell_id").orderBy("date")
     upto = by_day.rowsBetween(W.unboundedPreceding, 0)
     rows = grid.withColumn("threshold", F.percentile("tmax_c", F.lit(percentile / 100)).over(cell))
     rows = rows.withColumn("exceeds", F.col("tmax_c") >= F.col("threshold"))
-    gap = F.coalesce(F.datediff("date", F.lag("date").over(by_day)) > 1, F.lit(False)).cast("int")
-    rows = rows.withColumn("gap", gap)
+    rows = rows.withColumn("gap", F.coalesce(F.datediff("date", F.lag("date").over(by_day)) > 1, F.lit(False)).cast("int"))
     rows = rows.withColumn("pos", F.row_number().over(by_day) + 2 * F.sum("gap").over(upto))
     hit = F.when(F.col("exceeds"), F.col("pos"))
-    rows = rows.withColumn("last_hit", F.last(hit, ignorenulls=True).over(by_day.rowsBetween(W.unboundedPreceding, -1)))
+    near = {"last_hit": F.last(hit, ignorenulls=True).over(by_day.rowsBetween(W.unboundedPreceding, -1)), "before": F.lag(hit).over(by_day), "behind": F.lead(hit).over(by_day)}
+    rows = rows.withColumns(near)
     starts = F.col("exceeds") & (F.col("last_hit").isNull() | (F.col("pos") - F.col("last_hit") > 2))
-    rows = rows.withColumn("island", F.sum(starts.cast("int")).over(upto))
-    bridged = F.lag("exceeds").over(by_day) & F.lead("exceeds").over(by_day) & (F.lead("pos").over(by_day) - F.lag("pos").over(by_day) == 2)
-    return rows.withColumn("member", F.col("exceeds") | F.coalesce(bridged, F.lit(False))).drop("gap", "last_hit")
+    bridged = F.coalesce(F.col("behind") - F.col("before") == 2, F.lit(False))
+    rows = rows.withColumns({"island": F.sum(starts.cast("int")).over(upto), "member": F.col("exceeds") | bridged})
+    own = W.partitionBy("cell_id", "island")
+    inside = F.when(F.col("member"), F.col("pos"))
+    rows = rows.withColumns({"span": F.max(inside).over(own) - F.min(inside).over(own) + 1, "ones": F.count_if("exceeds").over(own)})
+    counts = (F.col("span") >= min_duration) & (F.col("ones") >= min_exceeding)
+    rows = rows.withColumns({"kept": counts, "first": counts & starts})
+    number = F.sum(F.col("first").cast("int")).over(upto).cast("int")
+    rows = rows.withColumn("event_number_in_cell", F.when(F.col("kept") & F.col("member"), number))
+    return rows.drop("gap", "pos", "last_hit", "before", "behind", "island", "member", "span", "ones", "kept", "first")
 
 
-def _events(days: DataFrame, min_duration: int, min_exceeding: int) -> DataFrame:
-    """One row per island that is long enough: (cell_id, island, ...)."""
-    member = days.where("member").groupBy("cell_id", "island").agg(
-        F.first("lat").alias("lat"), F.first("lon").alias("lon"), F.min("date").alias("start_date"), F.max("date").alias("end_date"),
-        (F.max("pos") - F.min("pos") + 1).cast("int").alias("duration_days"), F.sum(F.col("exceeds").cast("int")).cast("int").alias("exceeding_days"),
-        F.max(F.struct("tmax_c", (-F.unix_date("date")).alias("back"))).alias("peak"),
-    )
-    return member.where((F.col("duration_days") >= min_duration) & (F.col("exceeding_days") >= min_exceeding))
+#: Keys that the first pass of running_totals() sums at a time.
+TOTAL_BLOCK = 4096
 
 
-def numbered(events: DataFrame) -> DataFrame:
-    """events with event_number_in_cell and local_event_id, ids running by cell and start.
+def running_totals(counts: DataFrame, key: str, n: str, name: str) -> DataFrame:
+    """counts (key, n) with name: the sum of n over all smaller keys, which are whole numbers.
 
-    Only one count per cell passes the global window; ids are its offset plus the number.
+    Blocks of keys are summed first, so the one task that passes over all of them has a
+    row for each TOTAL_BLOCK keys.
     """
-    own = events.withColumn("event_number_in_cell", F.row_number().over(W.partitionBy("cell_id").orderBy("start_date")).cast("int"))
-    counts = events.groupBy("cell_id").agg(F.count("*").alias("n"))
-    before = counts.select("cell_id", (F.sum("n").over(W.orderBy("cell_id")) - F.col("n")).alias("before"))
-    return own.join(before, "cell_id").withColumn("local_event_id", (F.col("before") + F.col("event_number_in_cell")).cast("int")).drop("before")
+    rows = counts.withColumn("_block", F.floor(F.col(key) / TOTAL_BLOCK))
+    blocks = rows.groupBy("_block").agg(F.sum(n).alias("_sum"))
+    blocks = blocks.select("_block", (F.sum("_sum").over(W.orderBy("_block")) - F.col("_sum")).alias("_before"))
+    within = F.sum(n).over(W.partitionBy("_block").orderBy(key)) - F.col(n)
+    return rows.withColumn("_within", within).join(blocks, "_block").withColumn(name, F.col("_before") + F.col("_within")).drop("_block", "_before", "_within")
 
 
 def detect(grid: DataFrame, percentile: float = 95, min_duration: int = 3, min_exceeding: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(events, days): the catalogue of local heatwaves, and marked days with local_event_id or null."""
-    days = marked_days(grid, percentile)
-    events = numbered(_events(days, min_duration, min_exceeding))
-    ids = events.select("cell_id", "island", "local_event_id")
-    out = days.join(ids, ["cell_id", "island"], "left").withColumn("local_event_id", F.when(F.col("member"), F.col("local_event_id")))
-    table = events.select(
+    """(events, days): the catalogue of local heatwaves, and marked days with local_event_id or null.
+
+    Ids run by cell, then start: a cell's offset plus the event's number in it.
+    """
+    days = marked_days(grid, percentile, min_duration, min_exceeding)
+    per_cell = days.groupBy("cell_id").agg(F.coalesce(F.max("event_number_in_cell"), F.lit(0)).alias("n"))
+    before = running_totals(per_cell, "cell_id", "n", "before").select("cell_id", "before")
+    days = days.join(before, "cell_id").withColumn("local_event_id", (F.col("before") + F.col("event_number_in_cell")).cast("int")).drop("before")
+    return catalogue(days), days.drop("event_number_in_cell")
+
+
+def catalogue(days: DataFrame) -> DataFrame:
+    """One row per local heatwave, from days with local_event_id and event_number_in_cell."""
+    events = days.where("local_event_id is not null").groupBy("cell_id", "event_number_in_cell").agg(
+        F.first("local_event_id").alias("local_event_id"), F.first("lat").alias("lat"), F.first("lon").alias("lon"), F.min("date").alias("start_date"), F.max("date").alias("end_date"),
+        F.count("*").cast("int").alias("duration_days"), F.count_if("exceeds").cast("int").alias("exceeding_days"), F.max(F.struct("tmax_c", (-F.unix_date("date")).alias("back"))).alias("peak"),
+    )
+    return events.select(
         "local_event_id", "cell_id", "lat", "lon", "event_number_in_cell", "start_date", "end_date", "duration_days", "exceeding_days",
         (F.col("duration_days") - F.col("exceeding_days")).alias("bridged_days"), F.date_from_unix_date(-F.col("peak.back")).alias("peak_date"), F.col("peak.tmax_c").alias("peak_tmax_c"),
     )
-    return table, out.drop("pos", "island", "member")
 
 
 def cell_summary(days: DataFrame) -> DataFrame:

@@ -30,9 +30,19 @@ def cutoff_scan(sample: DataFrame, group: str = "dataset", value: str = "area_km
 
 
 def fitted(sample: DataFrame, group: str = "dataset", value: str = "area_km2") -> DataFrame:
-    """The cutoff of least distance of each sample, the smallest on ties."""
-    best = cutoff_scan(sample, group, value).groupBy(group).agg(F.min(F.struct("ks_distance", "xmin", "n_tail", "alpha")).alias("b"))
-    return best.select(group, "b.xmin", "b.n_tail", "b.alpha", "b.ks_distance")
+    """One row per sample: the cutoff of least distance (the smallest on ties), its tail and likelihood.
+
+    Samples of fewer than two values that differ have no candidates and say so.
+    """
+    scan = cutoff_scan(sample, group, value)
+    best = scan.groupBy(group).agg(F.min(F.struct("ks_distance", "xmin", "n_tail", "alpha")).alias("b"), F.count("*").alias("n_candidates"))
+    sizes = sample.groupBy(group).agg(F.count("*").alias("n"))
+    out = sizes.join(best, group, "left").select(group, "n", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), F.col("b.n_tail").alias("n_tail"), F.col("b.xmin").alias("xmin_km2"), F.col("b.alpha").alias("alpha"), F.col("b.ks_distance").alias("ks_distance"))
+    # the logs of a tail sum to n / (alpha - 1)
+    a, n = F.col("alpha") - 1, F.col("n_tail")
+    finite = F.abs(F.col("alpha")) < float("inf")
+    status = F.when(F.col("n_candidates") == 0, "no_candidates").when(finite & (F.abs(F.col("ks_distance")) < float("inf")), "ok").otherwise("nonfinite_fit")
+    return out.withColumns({"loglik": n * F.log(a / F.col("xmin_km2")) - F.col("alpha") * n / a, "status": status})
 
 
 def fit(values: np.ndarray) -> tuple[float, float, float, int] | None:
@@ -74,45 +84,70 @@ def _draw(state: np.random.RandomState, n: int) -> np.ndarray:
     return np.clip(raw, 0.5 * 2.328306437080797e-10, 1 - 0.5 * 2.328306437080797e-10)
 
 
-def bootstrap(spark: SparkSession, values: list[float], reps: int = 5000, seed: int = 20261020, parts: int = 32) -> DataFrame:
+#: Numbers that the generator makes between two states that are kept for tasks to start at.
+STATE_REPS = 250
+
+
+def states(seed: int, reps: int, n: int) -> list[tuple[int, bytes, int]]:
+    """(first repetition, the generator's words, its place) for every STATE_REPS repetitions of 2 n numbers."""
+    state, out = uniforms(seed), []
+    for first in range(0, reps, STATE_REPS):
+        _, words, at, *_ = state.get_state()
+        out.append((first, words.tobytes(), int(at)))
+        _draw(state, 2 * n * STATE_REPS)
+    return out
+
+
+def bootstrap(spark: SparkSession, values: list[float], reps: int = 5000, seed: int = 20261020) -> DataFrame:
     """(rep, ks_distance, alpha): refits of samples drawn from the fit and the body below it.
 
-    A repetition takes exactly 2 n numbers of the stream, so tasks skip to their own and
-    results don't depend on how the work is divided. values keep their order.
+    A repetition takes exactly 2 n numbers of the stream. The stream is run through once,
+    and a task starts at the state that belongs to its repetitions, so results don't
+    depend on how the work is divided. values keep their order.
     """
     x = np.asarray(values, dtype=np.float64)
     base = fit(x)
+    schema = "rep int, ks_distance double, alpha double"
     if base is None:
-        return spark.createDataFrame([], "rep int, ks_distance double, alpha double")
+        return spark.createDataFrame([], schema)
     xmin, alpha, _, n_tail = base
     body, n = x[x < xmin], len(x)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, at = uniforms(seed), 0
         for b in batches:
-            out = []
-            for rep in b["id"]:
-                while at < rep:  # numbers of other repetitions
-                    skip = min(int(rep) - at, 5000)
-                    _draw(state, 2 * n * skip)
-                    at += skip
-                from_tail = _draw(state, n) <= n_tail / n
-                n1 = int((~from_tail).sum())
-                u1, u2 = _draw(state, n1), _draw(state, n - n1)
-                at += 1
-                low = body[np.ceil(len(body) * u1).astype(int) - 1] if n1 else body[:0]
-                got = fit(np.concatenate([low, xmin * (1 - u2) ** (-1 / (alpha - 1))]))
-                out.append((int(rep), got[2] if got else None, got[1] if got else None))
-            yield pd.DataFrame(out, columns=["rep", "ks_distance", "alpha"])
-
-    return spark.range(0, reps, 1, parts).mapInPandas(run, "rep int, ks_distance double, alpha double")
-
-
-def summary(draws: DataFrame, distance: float) -> DataFrame:
-    """n_exceed, p and its bounds by undefined refits, its error, and quantiles of alpha."""
-    out = draws.agg(
-        F.count("*").alias("reps"), F.count_if(F.col("ks_distance").isNull()).alias("n_undefined"), F.count_if(F.col("ks_distance") >= distance).alias("n_exceed"),
-        F.percentile("alpha", F.array(*map(F.lit, (0.025, 0.25, 0.5, 0.75, 0.975)))).alias("alpha_boot_quantiles"),
+            for first, words, at in zip(b["first"], b["words"], b["at"]):
+                state, out = np.random.RandomState(), []
+                state.set_state(("MT19937", np.frombuffer(words, dtype=np.uint32), int(at)))
+                for rep in range(int(first), min(int(first) + STATE_REPS, reps)):
+                    from_tail = _draw(state, n) <= n_tail / n
+                    n1 = int((~from_tail).sum())
+                    u1, u2 = _draw(state, n1), _draw(state, n - n1)
+                    low = body[np.ceil(len(body) * u1).astype(int) - 1] if n1 else body[:0]
+                    got = fit(np.concatenate([low, xmin * (1 - u2) ** (-1 / (alpha - 1))]))
+                    out.append((rep, got[2] if got else None, got[1] if got else None))
+                yield pd.DataFrame(out, columns=["rep", "ks_distance", "alpha"])
+
+    starts = spark.createDataFrame(states(seed, reps, n), "first int, words binary, at int")
+    return starts.repartition(max(1, -(-reps // STATE_REPS)), "first").mapInPandas(run, schema)
+
+
+#: Names of the quantiles of alpha that a summary has.
+QUANTILES = {0.025: "alpha_boot_q2.5", 0.25: "alpha_boot_q25", 0.5: "alpha_boot_median", 0.75: "alpha_boot_q75", 0.975: "alpha_boot_q97.5"}
+
+
+def summary(draws: DataFrame, fits: DataFrame, group: str = "dataset") -> DataFrame:
+    """fits with n_exceed, p and its bounds by undefined refits, its error, and quantiles of alpha.
+
+    draws: (group, ks_distance, alpha); p is there only if every refit succeeded. A sample
+    without a fit keeps its row, with nulls.
+    """
+    seen = fits.select(group, F.col("ks_distance").alias("_d")).join(draws, group)
+    out = seen.groupBy(group).agg(
+        F.count("*").alias("reps"), F.count_if(F.col("ks_distance").isNull()).alias("n_undefined"), F.count_if(F.col("ks_distance") >= F.col("_d")).alias("n_exceed"),
+        F.percentile(draws["alpha"], F.array(*map(F.lit, QUANTILES))).alias("_q"),
     )
-    p = F.col("n_exceed") / F.col("reps")
-    return out.withColumns({"p_value": F.when(F.col("n_undefined") == 0, p), "p_lower": p, "p_upper": (F.col("n_exceed") + F.col("n_undefined")) / F.col("reps"), "mc_se": F.sqrt(p * (1 - p) / F.col("reps"))})
+    p, whole = F.col("n_exceed") / F.col("reps"), F.col("n_undefined") == 0
+    out = out.withColumns({"p_value": F.when(whole, p), "p_lower": p, "p_upper": (F.col("n_exceed") + F.col("n_undefined")) / F.col("reps"), "mc_se": F.when(whole, F.sqrt(p * (1 - p) / F.col("reps")))})
+    for i, name in enumerate(QUANTILES.values()):
+        out = out.withColumn(name, F.get("_q", F.lit(i)))
+    return fits.join(out.drop("_q"), group, "left")

@@ -6,13 +6,15 @@ percentiles, at which all kinds of event occur in the order-line grid.
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark import StorageLevel
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swelter.functions.projection import forward
-from swelter.operators import clustering, ellipses, events, heatwaves, power_law, regional
+from swelter.functions import projection
+from swelter.functions.projection import E1, E2, forward
+from swelter.operators import clustering, ellipses, events, figure_data, heatwaves, point_process, power_law, regional
+from swelter.shared import written
 from swelter.sources import grid
 
 LOCAL, REGIONAL, DP = 80.0, 90.0, 6
@@ -28,33 +30,58 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 class Run:
-    """The chain of stages over one folder's order lines; everything stays lazy."""
+    """The chain of stages over one folder's order lines.
+
+    What several later stages read is written in the shared folder where a stage ends, once
+    a run and when first asked for: each stage starts from a scan, its plan stays small, and
+    a lost executor costs no more than a stage.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str, local: float = LOCAL, percentile: float = REGIONAL):
         self.grid = grid.lattice(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
-        self.events, self.days = heatwaves.detect(self.grid, local)
-        self.daily = regional.daily_extent(self.days, percentile)
-        # the cells of selected days, a small share of the grid, are read by every later stage
-        self.cells = regional.selected_cells(self.days, self.daily).persist(StorageLevel.MEMORY_AND_DISK)
+        self.percentile = percentile
+        self.events, self.marked = heatwaves.detect(self.grid, local)
+
+    @cached_property
+    def days(self) -> DataFrame:
+        return written(self.marked, "days")
+
+    @cached_property
+    def daily(self) -> DataFrame:
+        return written(regional.daily_extent(self.days, self.percentile), "daily")
 
+    @cached_property
+    def cells(self) -> DataFrame:
+        return written(regional.selected_cells(self.days, self.daily), "cells")
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        return written(clustering.cluster_counts(self.cells), "counts")
+
+    @cached_property
     def settings(self) -> DataFrame:
-        return clustering.pooled(clustering.daily_settings(clustering.cluster_counts(self.cells), self.cells))
+        return written(clustering.pooled(clustering.daily_settings(self.counts, self.cells)), "settings")
 
+    @cached_property
     def labels(self) -> DataFrame:
-        return clustering.labelled(self.cells, self.settings()).persist(StorageLevel.MEMORY_AND_DISK)
+        return written(clustering.labelled(self.cells, self.settings), "labels")
+
+    @cached_property
+    def daily_clusters(self) -> DataFrame:
+        """(date, n_clusters) of each selected day."""
+        return self.labels.groupBy("date").agg((F.max("dbscan_label") + 1).alias("n_clusters"))
+
+    @cached_property
+    def ellipses(self) -> DataFrame:
+        return written(ellipses.fitted(clustering.clustered(self.labels)[1]), "ellipses")
 
-    def ellipses(self) -> tuple[DataFrame, DataFrame]:
-        """(ellipses, daily_clusters)"""
-        labels = self.labels()
-        daily = labels.groupBy("date").agg((F.max("dbscan_label") + 1).alias("n_clusters"))
-        return ellipses.fitted(clustering.clustered(labels)[1]).persist(StorageLevel.MEMORY_AND_DISK), daily
+    @cached_property
+    def event_days(self) -> DataFrame:
+        return written(events.event_days(self.daily_clusters, self.ellipses), "event-days")
 
-    def compound(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(events, event_days, ellipses)"""
-        found, daily = self.ellipses()
-        days = events.event_days(daily, found)
-        days = days.persist(StorageLevel.MEMORY_AND_DISK)
-        return events.classified(days, found), days, found
+    @cached_property
+    def compound(self) -> DataFrame:
+        return written(events.classified(self.event_days, self.ellipses, self.settings), "events")
 
 
 QUERIES, SQL = {}, {}
@@ -86,7 +113,7 @@ hits AS (SELECT cell_id, date, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY
 isl AS (SELECT *, sum(flag) OVER (PARTITION BY cell_id ORDER BY date) AS island FROM hits),
 spans AS (SELECT cell_id, min(date) AS start_date, max(date) AS end_date, max(pos) - min(pos) + 1 AS span, count(*) AS ones FROM isl GROUP BY cell_id, island HAVING span >= 3 AND ones >= 3),
 ids AS (SELECT *, row_number() OVER (ORDER BY cell_id, start_date) AS local_event_id, row_number() OVER (PARTITION BY cell_id ORDER BY start_date) AS nth FROM spans),
-hw AS (SELECT m.*, i.local_event_id FROM marked m LEFT JOIN ids i ON m.cell_id = i.cell_id AND m.date BETWEEN i.start_date AND i.end_date)""".replace("{local}", str(LOCAL / 100))
+hw AS (SELECT m.*, CASE WHEN m.date <= i.end_date THEN i.local_event_id END AS local_event_id FROM marked m ASOF LEFT JOIN ids i ON m.cell_id = i.cell_id AND m.date >= i.start_date)""".replace("{local}", str(LOCAL / 100))
 _EVENTS = _MARKED + """,
 peaks AS (SELECT local_event_id, max(tmax_c) AS peak_tmax_c, arg_min(date, struct_pack(a := -tmax_c, b := date)) AS peak_date FROM hw WHERE local_event_id IS NOT NULL GROUP BY 1),
 catalog1 AS (SELECT CAST(i.local_event_id AS INTEGER) AS local_event_id, i.cell_id, CAST(i.cell_id // 10 AS DOUBLE) AS lat, CAST(i.cell_id % 10 AS DOUBLE) AS lon, CAST(nth AS INTEGER) AS event_number_in_cell, start_date, end_date,
@@ -142,7 +169,8 @@ evd AS MATERIALIZED (SELECT date, CAST(dense_rank() OVER (ORDER BY run) AS INTEG
 ce0 AS (SELECT compound_event_id, min(date) AS start_date, max(date) AS end_date, CAST(count(*) AS INTEGER) AS duration_days, string_agg(CAST(n_clusters AS VARCHAR), '-' ORDER BY date) AS daily_cluster_counts, CAST(sum(n_clusters) AS BIGINT) AS total_clusters, min(n_clusters) AS min_daily_clusters, max(n_clusters) AS max_daily_clusters,
   count(*) FILTER (n_clusters = 1) AS n_single_cluster_days, count(*) FILTER (n_clusters > 1) AS n_multi_cluster_days, arg_min(largest_ellipse_id, struct_pack(a := -round(largest_ellipse_area_km2, 6), b := date)) AS largest_ellipse_id, arg_min(date, struct_pack(a := -round(largest_ellipse_area_km2, 6), b := date)) AS largest_ellipse_date, max(largest_ellipse_area_km2) AS largest_ellipse_area_km2 FROM evd GROUP BY 1),
 shape AS (SELECT compound_event_id, avg(area_km2) AS mean_area_km2, avg(axis_ratio) AS mean_axis_ratio, avg(cos(radians(2 * az))) AS c, avg(sin(radians(2 * az))) AS s FROM ell JOIN evd USING (date) GROUP BY 1),
-ce AS MATERIALIZED (SELECT ce0.*, mean_area_km2, mean_axis_ratio, c, s, CASE WHEN duration_days = 1 THEN CASE WHEN max_daily_clusters = 1 THEN 1 ELSE 2 END WHEN (min_daily_clusters = 1 AND max_daily_clusters = 1) OR min_daily_clusters > 1 THEN 3 ELSE 4 END AS event_type FROM ce0 JOIN shape USING (compound_event_id))"""
+used AS (SELECT compound_event_id, max(sequence_eps) AS event_eps, max(sequence_min_samples) AS event_min_samples FROM evd JOIN settings USING (date) GROUP BY 1),
+ce AS MATERIALIZED (SELECT ce0.*, event_eps, event_min_samples, mean_area_km2, mean_axis_ratio, c, s, CASE WHEN sqrt(c * c + s * s) > 1e-12 THEN degrees(atan2(s, c)) / 2 END AS axial, CASE WHEN duration_days = 1 THEN CASE WHEN max_daily_clusters = 1 THEN 1 ELSE 2 END WHEN (min_daily_clusters = 1 AND max_daily_clusters = 1) OR min_daily_clusters > 1 THEN 3 ELSE 4 END AS event_type FROM ce0 JOIN shape USING (compound_event_id) JOIN used USING (compound_event_id))"""
 
 
 def sql(ctes: str, select: str) -> str:
@@ -199,17 +227,17 @@ def regional_day_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(_COUNTS, "SELECT * FROM counts"))
 def dbscan_cluster_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.cluster_counts(Run(spark, sf_dir).cells)
+    return Run(spark, sf_dir).counts
 
 
 @query(sql(_SETTINGS, "SELECT settings.* REPLACE (round(daily_eps, 6) AS daily_eps, round(daily_min_samples_mean, 6) AS daily_min_samples_mean, round(sequence_eps, 6) AS sequence_eps), n AS n_heatwave_cells FROM settings JOIN (SELECT date, count(*) AS n FROM sc GROUP BY 1) USING (date)"))
 def daily_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(Run(spark, sf_dir).settings())
+    return _rounded(Run(spark, sf_dir).settings)
 
 
 @query(sql(_SETTINGS, "SELECT DISTINCT sequence_start_date, sequence_end_date AS end_date, sequence_days AS n_days, round(sequence_eps, 6) AS sequence_eps, sequence_min_samples FROM settings"))
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = Run(spark, sf_dir).settings()
+    out = Run(spark, sf_dir).settings
     return _rounded(out.select("sequence_start_date", F.col("sequence_end_date").alias("end_date"), F.col("sequence_days").alias("n_days"), "sequence_eps", "sequence_min_samples").distinct())
 
 
@@ -218,45 +246,45 @@ _CELLS = "date, cell_id, lat, lon, local_event_id, dbscan_label, cluster_id, is_
 
 @query(sql(_LABELS, f"SELECT {_CELLS} FROM members"))
 def cluster_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.clustered(Run(spark, sf_dir).labels())[1].select(*_CELLS.split(", "))
+    return clustering.clustered(Run(spark, sf_dir).labels)[1].select(*_CELLS.split(", "))
 
 
 @query(sql(_LABELS, "SELECT cluster_id, m.date, dbscan_label AS cluster_number_in_day, dbscan_label, count(*) AS n_member_cells, CAST(sum(is_core_cell) AS BIGINT) AS n_core_cells, round(max(eps_applied), 6) AS eps_applied, max(min_samples_applied) AS min_samples_applied, max(n_clusters) AS n_clusters_on_day, max(noise) AS n_noise_cells_on_day FROM members m JOIN per_day p ON p.date = m.date WHERE cluster_id IS NOT NULL GROUP BY ALL"))
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = clustering.clustered(Run(spark, sf_dir).labels())[0]
+    out = clustering.clustered(Run(spark, sf_dir).labels)[0]
     return _rounded(out)
 
 
 @query(sql(_ELLIPSES, """SELECT cluster_id, date, n_member_cells, round(mx, 6) AS centroid_lon_unweighted, round(my, 6) AS centroid_lat_unweighted, round(l1, 6) AS eigenvalue_major_km2, round(l2, 6) AS eigenvalue_minor_km2, round(major, 6) AS major_axis_km, round(minor, 6) AS minor_axis_km,
-round(area_km2, 4) AS area_km2, round(axis_ratio, 6) AS axis_ratio, round(o, 6) AS orientation_east_ccw_deg, round(az, 6) AS azimuth_north_cw_deg, round(wx, 6) AS centroid_lon_weighted, round(wy, 6) AS centroid_lat_weighted, round(ws, 6) AS tmax_weight_sum_c, round(wmin, 6) AS tmax_min_c, round(wmax, 6) AS tmax_max_c FROM ell"""))
+round(area_km2, 4) AS area_km2, round(axis_ratio, 6) AS axis_ratio, round(o, 6) AS orientation_east_ccw_deg, round(az, 6) AS azimuth_north_cw_deg, cluster_id AS ellipse_id, round(cos(radians(o)), 6) AS major_axis_east, round(sin(radians(o)), 6) AS major_axis_north, round(wx, 6) AS centroid_lon_weighted, round(wy, 6) AS centroid_lat_weighted, round(ws, 6) AS tmax_weight_sum_c, round(wmin, 6) AS tmax_min_c, round(wmax, 6) AS tmax_max_c FROM ell"""))
 def fitted_ellipses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = Run(spark, sf_dir).ellipses()[0].drop("ellipse_id", "major_axis_east", "major_axis_north")
+    out = Run(spark, sf_dir).ellipses
     return _rounded(out.withColumn("area_km2", F.round("area_km2", 4)))
 
 
 @query(sql(_COMPOUND, "SELECT * REPLACE (round(largest_ellipse_area_km2, 4) AS largest_ellipse_area_km2) FROM evd"))
 def event_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Run(spark, sf_dir).compound()[1].withColumn("largest_ellipse_area_km2", F.round("largest_ellipse_area_km2", 4))
+    return Run(spark, sf_dir).event_days.withColumn("largest_ellipse_area_km2", F.round("largest_ellipse_area_km2", 4))
 
 
-@query(sql(_COMPOUND, """SELECT compound_event_id, start_date, end_date, duration_days, event_type, ['Widespread (Isolated)', 'Spatially Clustered', 'Temporally Clustered', 'Compound Clustering (Multi-Type)'][event_type] AS event_type_name, daily_cluster_counts, total_clusters, min_daily_clusters, max_daily_clusters, n_single_cluster_days, n_multi_cluster_days,
+@query(sql(_COMPOUND, """SELECT compound_event_id, start_date, end_date, duration_days, duration_days AS n_selected_days, round(event_eps, 6) AS event_eps, event_min_samples, round(CASE WHEN axial <= -90 THEN axial + 180 ELSE axial END, 5) AS axial_mean_azimuth_deg, event_type, ['Widespread (Isolated)', 'Spatially Clustered', 'Temporally Clustered', 'Compound Clustering (Multi-Type)'][event_type] AS event_type_name, daily_cluster_counts, total_clusters, min_daily_clusters, max_daily_clusters, n_single_cluster_days, n_multi_cluster_days,
 round(mean_area_km2, 4) AS mean_area_km2, round(mean_axis_ratio, 6) AS mean_axis_ratio, round(sqrt(c * c + s * s), 6) AS axial_resultant_length, largest_ellipse_id, largest_ellipse_date, round(largest_ellipse_area_km2, 4) AS largest_ellipse_area_km2 FROM ce"""))
 def compound_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = Run(spark, sf_dir).compound()[0].drop("axial_mean_azimuth_deg")
-    return _rounded(out.withColumns({c: F.round(c, 4) for c in ("mean_area_km2", "largest_ellipse_area_km2")}))
+    out = Run(spark, sf_dir).compound
+    return _rounded(out.withColumns({c: F.round(c, 4) for c in ("mean_area_km2", "largest_ellipse_area_km2")} | {"axial_mean_azimuth_deg": F.round("axial_mean_azimuth_deg", 5)}))
 
 
-@query(sql(_COMPOUND, """SELECT CAST(t AS INTEGER) AS compound_heatwave_type, coalesce(CAST(sum(duration_days) AS BIGINT), 0) AS selected_event_days, count(compound_event_id) AS number_of_compound_events, max(duration_days) AS longest_event_days, round(avg(duration_days), 2) AS mean_duration_days_per_event, round(avg(total_clusters), 2) AS mean_ellipses_per_event,
+@query(sql(_COMPOUND, """SELECT ['Type 1: Widespread (Isolated)', 'Type 2: Spatially Clustered', 'Type 3: Temporally Clustered', 'Type 4: Compound Clustering (Multi-Type)'][t] AS compound_heatwave_type, coalesce(CAST(sum(duration_days) AS BIGINT), 0) AS selected_event_days, count(compound_event_id) AS number_of_compound_events, max(duration_days) AS longest_event_days, round(avg(duration_days), 2) AS mean_duration_days_per_event, round(avg(total_clusters), 2) AS mean_ellipses_per_event,
 min(total_clusters) AS minimum_ellipses_per_event, max(total_clusters) AS maximum_ellipses_per_event FROM range(1, 5) x(t) LEFT JOIN ce ON event_type = t GROUP BY t"""))
 def event_type_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.type_summary(Run(spark, sf_dir).compound()[0])
+    return events.type_summary(Run(spark, sf_dir).compound)
 
 
 @query(sql(_COMPOUND, """, ys AS (SELECT DISTINCT CAST(year(date) AS INTEGER) AS year FROM grid)
 SELECT ys.year, count(*) FILTER (event_type = 1) AS type_1_events, count(*) FILTER (event_type = 2) AS type_2_events, count(*) FILTER (event_type = 3) AS type_3_events, count(*) FILTER (event_type = 4) AS type_4_events, count(event_type) AS all_events FROM ys LEFT JOIN ce ON year(start_date) = ys.year GROUP BY ys.year""".lstrip()))
 def annual_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = Run(spark, sf_dir)
-    return events.annual_counts(run.compound()[0], run.grid.select("date").distinct(), events.season_start(SEASON))
+    return events.annual_counts(run.compound, run.grid.select("date").distinct(), events.season_start(SEASON))
 
 
 _SERIES = _COMPOUND + """,
@@ -265,37 +293,57 @@ series AS (SELECT event_type, CAST(year(start_date) AS INTEGER) AS year, avg(dur
 
 @query(sql(_SERIES, "SELECT event_type, year, round(y, 6) AS mean_duration_days FROM series"))
 def annual_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(events.annual_duration(Run(spark, sf_dir).compound()[0], events.season_start(SEASON)))
+    return _rounded(events.annual_duration(Run(spark, sf_dir).compound, events.season_start(SEASON)))
 
 
-@query(sql(_SERIES, """, prs AS (SELECT a.event_type, CAST(sum(sign(b.y - a.y)) AS DOUBLE) AS s, median((b.y - a.y) / (b.year - a.year)) AS sen FROM series a JOIN series b ON a.event_type = b.event_type AND a.year < b.year GROUP BY 1),
-tie AS (SELECT event_type, sum(t * (t - 1) * (2 * t + 5)) AS ties FROM (SELECT event_type, y, count(*) AS t FROM series GROUP BY ALL) GROUP BY 1),
-ols AS (SELECT event_type, count(*) AS n, regr_slope(y, year) AS b, regr_r2(y, year) AS r2 FROM series GROUP BY 1)
-SELECT event_type, n AS n_years, round(b, 6) AS ols_slope, round(r2, 6) AS ols_r_squared, s AS mann_kendall_s, round(sen, 6) AS sen_slope, round((n * (n - 1) * (2 * n + 5) - ties) / 18, 6) AS mann_kendall_var FROM ols JOIN tie USING (event_type) LEFT JOIN prs USING (event_type)""".lstrip()))
+# two-sided p of a normal z and of a t with n - 2 degrees, by Simpson's rule on the density
+_P_NORMAL = "greatest(0, 1 - 2 * list_sum(list_transform(range(0, 2001), k -> (CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * (abs(z) * k / 2000) * (abs(z) * k / 2000)))) * abs(z) / 6000 / sqrt(2 * pi()))"
+_P_T = "1 - 2 * list_sum(list_transform(range(0, 2001), k -> (CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + (t * k / 2000) * (t * k / 2000) / (n - 2), -(n - 1) / 2.0))) * t / 6000 * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt((n - 2) * pi())"
+
+
+@query(sql(_SERIES, f""", prs AS (SELECT a.event_type, CAST(sum(sign(b.y - a.y)) AS DOUBLE) AS s, median((b.y - a.y) / (b.year - a.year)) AS sen FROM series a JOIN series b ON a.event_type = b.event_type AND a.year < b.year GROUP BY 1),
+tie AS (SELECT event_type, sum(t * (t - 1) * (2 * t + 5)) AS ties, count(*) AS vals FROM (SELECT event_type, y, count(*) AS t FROM series GROUP BY ALL) GROUP BY 1),
+ols AS (SELECT event_type, count(*) AS n, regr_slope(y, year) AS b, regr_r2(y, year) AS r2 FROM series GROUP BY 1),
+parts AS (SELECT *, (n * (n - 1) * (2 * n + 5) - ties) / 18 AS var FROM ols JOIN tie USING (event_type) LEFT JOIN prs USING (event_type) WHERE n >= 3),
+stat AS (SELECT *, CASE WHEN s = 0 OR var <= 0 THEN 0 ELSE (s - sign(s)) / sqrt(var) END AS z, CASE WHEN vals > 1 AND r2 < 1 THEN sqrt((n - 2) * r2 / (1 - r2)) END AS t FROM parts),
+tested AS (SELECT *, {_P_NORMAL} AS mk_p, CASE WHEN vals = 1 THEN 1 WHEN r2 >= 1 THEN 0 ELSE {_P_T} END AS p FROM stat)
+SELECT CAST(x.k AS INTEGER) AS event_type, ['Widespread (Isolated)', 'Spatially Clustered', 'Temporally Clustered', 'Compound Clustering (Multi-Type)'][x.k] AS event_type_name, coalesce(o.n, 0) AS n_years,
+round(CASE WHEN vals = 1 THEN 0 ELSE 10 * t.b END, 6) AS ols_slope_days_per_decade, round(p, 6) AS ols_p_value, round(CASE WHEN vals = 1 THEN 0 ELSE t.r2 END, 6) AS ols_r_squared, round(10 * sen, 6) AS sen_slope_days_per_decade,
+s AS mann_kendall_s, round(z, 6) AS mann_kendall_z, round(mk_p, 6) AS mann_kendall_p_value, CASE WHEN t.n IS NULL THEN 'too few years' WHEN mk_p < 0.05 AND z > 0 THEN 'increasing' WHEN mk_p < 0.05 AND z < 0 THEN 'decreasing' ELSE 'no significant trend' END AS mann_kendall_result
+FROM range(3, 5) x(k) LEFT JOIN ols o ON o.event_type = x.k LEFT JOIN tested t ON t.event_type = x.k""".lstrip()))
 def duration_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = events.annual_duration(Run(spark, sf_dir).compound()[0], events.season_start(SEASON)).persist(StorageLevel.MEMORY_AND_DISK)
-    return _rounded(events.trend_parts(series))
+    series = written(events.annual_duration(Run(spark, sf_dir).compound, events.season_start(SEASON)), "series")
+    return _rounded(events.duration_trends(series))
 
 
 def _samples(run: Run) -> DataFrame:
-    found, days, _ = run.compound()
-    daily = days.where("largest_ellipse_id is not null").select(F.lit("daily_maxima").alias("dataset"), F.col("largest_ellipse_area_km2").alias("area_km2"))
-    return daily.unionByName(found.select(F.lit("event_maxima").alias("dataset"), F.col("largest_ellipse_area_km2").alias("area_km2")))
+    daily = run.event_days.where("largest_ellipse_id is not null").select(F.lit("daily_maxima").alias("dataset"), F.col("largest_ellipse_area_km2").alias("area_km2"))
+    return daily.unionByName(run.compound.select(F.lit("event_maxima").alias("dataset"), F.col("largest_ellipse_area_km2").alias("area_km2")))
 
 
 _AREAS = _COMPOUND + """,
 areas AS MATERIALIZED (SELECT 'daily_maxima' AS dataset, largest_ellipse_area_km2 AS v FROM evd WHERE largest_ellipse_id IS NOT NULL UNION ALL SELECT 'event_maxima', largest_ellipse_area_km2 FROM ce)"""
 
 
-@query(sql(_AREAS, """, cuts AS (SELECT DISTINCT dataset, round(v, 6) AS xmin FROM areas), open_ AS (SELECT * FROM (SELECT *, max(xmin) OVER (PARTITION BY dataset) AS top FROM cuts) WHERE xmin < top),
+_SCAN = _AREAS + """, cuts AS (SELECT DISTINCT dataset, round(v, 6) AS xmin FROM areas), open_ AS (SELECT * FROM (SELECT *, max(xmin) OVER (PARTITION BY dataset) AS top FROM cuts) WHERE xmin < top),
 tails AS (SELECT o.dataset, xmin, round(v, 6) AS v, count(*) OVER w AS n, sum(ln(round(v, 6) / xmin)) OVER w AS logs, row_number() OVER (PARTITION BY o.dataset, xmin ORDER BY v) AS i FROM open_ o JOIN areas a ON a.dataset = o.dataset AND round(v, 6) >= xmin WINDOW w AS (PARTITION BY o.dataset, xmin)),
-gaps AS (SELECT *, greatest(i / n - (1 - pow(v / xmin, -n / logs)), (1 - pow(v / xmin, -n / logs)) - (i - 1) / n) AS g FROM tails)
-SELECT dataset, xmin, max(n) AS n_tail, round(1 + max(n / logs), 6) AS alpha, round(max(g), 6) AS ks_distance FROM gaps GROUP BY ALL""".lstrip()))
+gaps AS (SELECT *, greatest(i / n - (1 - pow(v / xmin, -n / logs)), (1 - pow(v / xmin, -n / logs)) - (i - 1) / n) AS g FROM tails),
+scan AS (SELECT dataset, xmin, max(n) AS n_tail, 1 + max(n / logs) AS alpha, max(g) AS d FROM gaps GROUP BY ALL)"""
+
+
+@query(sql(_SCAN, "SELECT dataset, xmin, n_tail, round(alpha, 6) AS alpha, round(d, 6) AS ks_distance FROM scan"))
 def power_law_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    areas = _samples(Run(spark, sf_dir)).withColumn("area_km2", F.round("area_km2", 6))
+    areas = written(_samples(Run(spark, sf_dir)).withColumn("area_km2", F.round("area_km2", 6)), "areas")
     return _rounded(power_law.cutoff_scan(areas))
 
 
+@query(sql(_SCAN, """, best AS (SELECT dataset, arg_min(struct_pack(x := xmin, n := n_tail, a := alpha, d := d), struct_pack(d := d, x := xmin)) AS b, count(*) AS n_candidates FROM scan GROUP BY 1)
+SELECT dataset, count(*) AS n, n_candidates, b.n AS n_tail, b.x AS xmin_km2, round(b.a, 6) AS alpha, round(b.d, 6) AS ks_distance, round(b.n * ln((b.a - 1) / b.x) - b.a * b.n / (b.a - 1), 4) AS loglik, 'ok' AS status FROM areas JOIN best USING (dataset) GROUP BY ALL""".lstrip()))
+def power_law_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    areas = written(_samples(Run(spark, sf_dir)).withColumn("area_km2", F.round("area_km2", 6)), "areas")
+    return _rounded(power_law.fitted(areas).withColumn("loglik", F.round("loglik", 4)))
+
+
 @query(sql(_GRID, "SELECT cell_id, any_value(lon) AS lon, any_value(lat) AS lat, round(avg(tmax_c), 6) AS mean_tmax, round(sqrt(greatest(0, avg(tmax_c * tmax_c) - avg(tmax_c) * avg(tmax_c))), 6) AS std_tmax FROM grid GROUP BY cell_id"))
 def cell_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = grid.lattice(spark.read.parquet(f"{sf_dir}/lineitem.parquet")).groupBy("cell_id").agg(
@@ -303,39 +351,201 @@ def cell_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rows)
 
 
-@query()
+def _laea(lon: str, lat: str, lon0: float, lat0: float) -> tuple[str, str]:
+    """forward() as SQL, with the same constants."""
+    k = projection.constants(lon0, lat0)
+    s_, dl = f"sin(radians({lat}))", f"radians({lon} - {lon0!r})"
+    q = f"({1 - E2!r} * ({s_} / (1 - {E2!r} * {s_} * {s_}) - ln((1 - {E1!r} * {s_}) / (1 + {E1!r} * {s_})) / {2 * E1!r}))"
+    b_ = f"asin(greatest(-1, least(1, {q} / {k.qp!r})))"
+    f = f"sqrt(2 / (1 + {k.sin_b0!r} * sin({b_}) + {k.cos_b0!r} * cos({b_}) * cos({dl}))) * {k.rq!r}"
+    return f"{f} * {k.d!r} * cos({b_}) * sin({dl})", f"{f} / {k.d!r} * ({k.cos_b0!r} * sin({b_}) - {k.sin_b0!r} * cos({b_}) * cos({dl}))"
+
+
+_X, _Y = _laea("wx", "wy", 4.5, 4.5)
+_CX, _CY = _laea("lon", "lat", 4.5, 4.5)
+_POINTS = _COMPOUND + f""",
+pts AS MATERIALIZED (SELECT cluster_id AS ellipse_id, {_X} AS x_km, {_Y} AS y_km FROM ell),
+cls AS MATERIALIZED (SELECT cell_id, any_value(lon) AS lon, any_value(lat) AS lat, avg(tmax_c) AS mean_tmax, sqrt(greatest(0, avg(tmax_c * tmax_c) - avg(tmax_c) * avg(tmax_c))) AS std_tmax, {_CX.replace("lon -", "any_value(lon) -").replace("radians(lat)", "radians(any_value(lat))")} AS x_km, {_CY.replace("lon -", "any_value(lon) -").replace("radians(lat)", "radians(any_value(lat))")} AS y_km FROM grid GROUP BY cell_id),
+near1 AS MATERIALIZED (SELECT p.ellipse_id, arg_min(c.cell_id, struct_pack(d := round(sqrt((p.x_km - c.x_km) ** 2 + (p.y_km - c.y_km) ** 2), 9), i := c.cell_id)) AS nearest_cell_id, min(sqrt((p.x_km - c.x_km) ** 2 + (p.y_km - c.y_km) ** 2)) AS d FROM pts p CROSS JOIN cls c GROUP BY 1)"""
+#: The raster's pixel and the window's margin, in km.
+PIXEL, MARGIN = 25.0, 80.0
+
+
+def _cells(run: Run) -> DataFrame:
+    """One row per cell: place in degrees and in the plane, mean and deviation of tmax."""
+    rows = run.grid.groupBy("cell_id").agg(
+        F.first("lon").alias("lon"), F.first("lat").alias("lat"), F.avg("tmax_c").alias("mean_tmax"), F.sqrt(F.greatest(F.lit(0.0), F.avg(F.col("tmax_c") * F.col("tmax_c")) - F.avg("tmax_c") * F.avg("tmax_c"))).alias("std_tmax"))
+    return written(point_process.projected(rows, 4.5, 4.5), "cells")
+
+
+def _centroids(run: Run) -> DataFrame:
+    """One row per ellipse: its centroid in the plane, and whether it is its day's or event's largest."""
+    at = point_process.projected(run.ellipses, 4.5, 4.5, "centroid_lon_weighted", "centroid_lat_weighted")
+    largest = lambda df, name: df.select(F.col("largest_ellipse_id").cast("int").alias("ellipse_id"), F.lit(True).alias(name)).where("ellipse_id is not null").distinct()
+    out = at.select("ellipse_id", F.col("centroid_lon_weighted").alias("lon"), F.col("centroid_lat_weighted").alias("lat"), "x_km", "y_km")
+    out = out.join(largest(run.event_days, "is_daily_largest"), "ellipse_id", "left").join(largest(run.compound, "is_event_largest"), "ellipse_id", "left")
+    return written(out.fillna(False, ["is_daily_largest", "is_event_largest"]), "centroids")
+
+
+@query(sql(_POINTS, "SELECT ellipse_id, round(x_km, 6) AS x_km, round(y_km, 6) AS y_km FROM pts"))
 def laea_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster centroids on the equal-area plane around the lattice's middle."""
-    found = Run(spark, sf_dir).ellipses()[0]
+    found = Run(spark, sf_dir).ellipses
     x, y = forward(F.col("centroid_lon_weighted"), F.col("centroid_lat_weighted"), 4.5, 4.5)
-    return found.select("ellipse_id", x.alias("x_km"), y.alias("y_km"))
+    return _rounded(found.select("ellipse_id", x.alias("x_km"), y.alias("y_km")))
+
+
+@query(sql(_ELLIPSES, "SELECT cluster_id AS ellipse_id, round(wx, 6) AS lon, round(wy, 6) AS lat FROM ell"))
+def laea_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centroids to the plane and back: the SQL has the places they came from."""
+    found = Run(spark, sf_dir).ellipses
+    x, y = forward(F.col("centroid_lon_weighted"), F.col("centroid_lat_weighted"), 4.5, 4.5)
+    lon, lat = projection.inverse(F.col("x_km"), F.col("y_km"), 4.5, 4.5)
+    return _rounded(found.select("ellipse_id", x.alias("x_km"), y.alias("y_km")).select("ellipse_id", lon.alias("lon"), lat.alias("lat")))
+
+
+@query(sql(_POINTS, "SELECT ellipse_id, nearest_cell_id, round(d, 6) AS nearest_cell_distance_km FROM near1"))
+def nearest_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cell nearest to each centroid."""
+    run = Run(spark, sf_dir)
+    out = point_process.nearest_cell(_centroids(run), _cells(run), PIXEL + MARGIN, "ellipse_id")
+    return _rounded(out.select("ellipse_id", "nearest_cell_id", "nearest_cell_distance_km"))
+
+
+@query(sql(_POINTS, f""", box AS (SELECT min(x_km) - {PIXEL} AS x0, max(x_km) + {PIXEL} AS x1, min(y_km) - {PIXEL} AS y0, max(y_km) + {PIXEL} AS y1 FROM cls),
+px AS (SELECT x0 + {PIXEL / 2} + {PIXEL} * unnest(range(CAST(ceil((x1 - x0 - {PIXEL / 2}) / {PIXEL}) AS BIGINT))) AS x_km FROM box),
+py AS (SELECT y0 + {PIXEL / 2} + {PIXEL} * unnest(range(CAST(ceil((y1 - y0 - {PIXEL / 2}) / {PIXEL}) AS BIGINT))) AS y_km FROM box),
+near2p AS (SELECT px.x_km, py.y_km, min(sqrt((px.x_km - c.x_km) ** 2 + (py.y_km - c.y_km) ** 2)) AS d FROM px CROSS JOIN py CROSS JOIN cls c GROUP BY ALL)
+SELECT round(x_km, 6) AS x_km, round(y_km, 6) AS y_km, round(d, 6) AS nearest_cell_distance_km FROM near2p WHERE d <= {PIXEL + MARGIN}
+  OR EXISTS (SELECT 1 FROM pts WHERE abs(pts.x_km - near2p.x_km) < {PIXEL / 2} AND abs(pts.y_km - near2p.y_km) < {PIXEL / 2})""".lstrip()))
+def pixel_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observation window of the point process."""
+    run = Run(spark, sf_dir)
+    out = point_process.window(_cells(run), _centroids(run), 4.5, 4.5, PIXEL, MARGIN)
+    return _rounded(out.select("x_km", "y_km", "nearest_cell_distance_km"))
+
+
+@query(sql(_POINTS, """, cum AS (SELECT cell_id, (sum(cos(radians(lat))) OVER (ORDER BY mean_tmax DESC, cell_id) - cos(radians(lat))) / sum(cos(radians(lat))) OVER () AS before FROM cls),
+own AS (SELECT before, ellipse_id IN (SELECT largest_ellipse_id FROM evd) AS daily, ellipse_id IN (SELECT largest_ellipse_id FROM ce) AS event FROM near1 JOIN cum ON cell_id = nearest_cell_id),
+grp AS (SELECT before, unnest(['all_centroids', 'daily_largest', 'event_largest']) AS "group", unnest([true, daily, event]) AS mine FROM own)
+SELECT f AS zone_area_fraction, "group", count(*) FILTER (mine) AS n_centroids_in_group, count(*) FILTER (mine AND before < f) AS n_in_zone, round(100 * count(*) FILTER (mine AND before < f) / nullif(count(*) FILTER (mine), 0), 6) AS percent_in_zone FROM grp CROSS JOIN (SELECT unnest([0.2, 0.5])::DOUBLE AS f) GROUP BY ALL""".lstrip()))
+def concentration_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How centroids gather in the most intense cells; mean tmax stands for the intensity here."""
+    run = Run(spark, sf_dir)
+    cells = _cells(run).withColumn("mean_intensity_per_km2", F.col("mean_tmax"))
+    points = point_process.nearest_cell(_centroids(run), cells, PIXEL + MARGIN, "ellipse_id")
+    return _rounded(point_process.zones(cells, points, 1.0, 1.0))
+
+
+@query(sql(_POINTS, "SELECT cell_id, round((rank() OVER (ORDER BY mean_tmax) + (count(*) OVER (PARTITION BY mean_tmax) - 1) / 2) / count(*) OVER (), 6) AS concentration_rank FROM cls"))
+def concentration_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of the cells by intensity, ties averaged; mean tmax stands for it here."""
+    cells = _cells(Run(spark, sf_dir)).withColumn("mean_intensity_per_km2", F.col("mean_tmax"))
+    return _rounded(point_process.concentration_ranks(cells).select("cell_id", "concentration_rank"))
+
+
+@query()
+def intensity_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients of the log-linear intensity of centroids over the window."""
+    run = Run(spark, sf_dir)
+    covariates = ("lon", "lat", "mean_tmax", "std_tmax")
+    cells, points = _cells(run), _centroids(run)
+    values = cells.select(F.col("cell_id").alias("nearest_cell_id"), "mean_tmax", "std_tmax")
+    pixels = point_process.window(cells, points, 4.5, 4.5, PIXEL, MARGIN).join(values, "nearest_cell_id")
+    held = point_process.nearest_cell(points, cells, PIXEL + MARGIN, "ellipse_id").join(values, "nearest_cell_id")
+    got = point_process.trend(written(point_process.quadrature(pixels, held, covariates, PIXEL), "quadrature"), covariates)
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{k}', {v!r}D)" for k, v in got.items()) + " AS t(parameter, value)")
+
+
+@query(sql(_COMPOUND, """, best AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY duration_days DESC, largest_ellipse_area_km2 DESC, start_date) AS place FROM ce),
+shown AS (SELECT evd.*, event_type, place, duration_days, [1, 1, 2, 6][event_type] AS n, sum(evd.n_clusters) OVER (PARTITION BY compound_event_id ORDER BY day_in_event ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS held FROM evd JOIN best USING (compound_event_id) WHERE place <= [1, 1, 2, 1][event_type]),
+start_ AS (SELECT compound_event_id, arg_min(day_in_event, struct_pack(a := -held, b := day_in_event)) AS s FROM shown WHERE event_type = 4 AND duration_days > 6 AND day_in_event <= duration_days - 5 GROUP BY 1)
+SELECT event_type, CAST(place AS INTEGER) AS place, compound_event_id, date FROM shown LEFT JOIN start_ USING (compound_event_id) WHERE day_in_event BETWEEN coalesce(s, 1) AND coalesce(s, 1) + n - 1""".lstrip()))
+def representative_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = Run(spark, sf_dir)
+    return figure_data.representative_days(run.compound, run.event_days)
+
+
+@query(sql(_ELLIPSES, """, fine AS (SELECT x / 4.0 AS lon, y / 4.0 AS lat FROM range(0, 37) a(x) CROSS JOIN range(0, 37) b(y)),
+hit AS (SELECT lon, lat, (lon - wx) * 111.320 * cos(radians(wy)) AS dx, (lat - wy) * 110.574 AS dy, cos(radians(o)) AS e, sin(radians(o)) AS n, major / 2 AS a, minor / 2 AS b FROM fine CROSS JOIN ell)
+SELECT lon::DOUBLE AS lon, lat::DOUBLE AS lat, count(*) FILTER (pow((dx * e + dy * n) / a, 2) + pow((dy * e - dx * n) / b, 2) <= 1 + 1e-12) AS n_ellipses FROM hit GROUP BY ALL""".lstrip()))
+def ellipse_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many ellipses cover each point of a grid four times as fine as the lattice."""
+    quarter = lambda c: (F.col(c) / 4.0).cast("double")
+    points = spark.range(37).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(36)))).select(quarter("id").alias("lon"), quarter("j").alias("lat"))
+    return figure_data.footprints(Run(spark, sf_dir).ellipses, points, 0.25)
+
+
+_TYPED = _COMPOUND + """,
+typed AS (SELECT event_type, az, axis_ratio, area_km2 FROM ell JOIN evd USING (date) JOIN ce USING (compound_event_id))"""
+
+
+def _typed(run: Run) -> DataFrame:
+    return run.ellipses.join(run.event_days.select("date", "compound_event_id"), "date").join(run.compound.select("compound_event_id", "event_type"), "compound_event_id")
+
+
+@query(sql(_TYPED, "SELECT event_type, CAST(CASE WHEN axis_ratio = 1 THEN 19 ELSE floor(axis_ratio / 0.05) END AS INTEGER) AS bin, count(*) AS n FROM typed GROUP BY ALL"))
+def geometry_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Axis ratios of ellipses in 20 bins, by type."""
+    return figure_data.histogram(_typed(Run(spark, sf_dir)), "axis_ratio", 0.0, 1.0, 20, "event_type")
+
+
+@query(sql(_TYPED, "SELECT event_type, az AS azimuth, cume_dist() OVER (PARTITION BY event_type ORDER BY az) AS ecdf FROM (SELECT event_type, round(az, 6) AS az FROM typed) QUALIFY row_number() OVER (PARTITION BY event_type, az) = 1"))
+def geometry_ecdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distribution of azimuths, by type."""
+    rows = _typed(Run(spark, sf_dir)).withColumn("azimuth", F.round("azimuth_north_cw_deg", 6))
+    return figure_data.ecdf(rows, "event_type", "azimuth")
+
+
+@query(sql(_AREAS, "SELECT dataset, round(v, 6) AS area_km2, round(1 - (row_number() OVER (PARTITION BY dataset ORDER BY round(v, 6)) - 1) / count(*) OVER (PARTITION BY dataset), 6) AS ccdf FROM areas"))
+def area_ccdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(figure_data.ccdf(_samples(Run(spark, sf_dir)).withColumn("area_km2", F.round("area_km2", 6))))
+
+
+@query(sql(_COMPOUND, """, top_member AS (SELECT cluster_id, arg_min(struct_pack(cell_id := cell_id, local_event_id := local_event_id), struct_pack(a := -tmax_c, b := cell_id)) AS m, max(tmax_c) AS hottest FROM members WHERE cluster_id IS NOT NULL GROUP BY 1)
+SELECT ce.compound_event_id, ce.start_date, ce.end_date, event_type, daily_cluster_counts, largest_ellipse_id, largest_ellipse_date, d.n_heatwave_cells, d.n_exceeding_cells, CAST(ell.n_member_cells AS BIGINT) AS n_member_cells, m.cell_id AS hottest_cell_id, round(hottest, 6) AS hottest_tmax_c, round(threshold, 6) AS threshold_tmax_c, m.local_event_id, i.start_date AS local_start_date, i.end_date AS local_end_date
+FROM ce JOIN daily d ON d.date = largest_ellipse_date JOIN ell ON ell.cluster_id = largest_ellipse_id JOIN top_member t ON t.cluster_id = largest_ellipse_id JOIN thr ON thr.cell_id = m.cell_id JOIN ids i ON i.local_event_id = m.local_event_id""".lstrip()))
+def event_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each compound event back through the stages: its day, its largest ellipse, that one's hottest cell, the local heatwave there."""
+    run = Run(spark, sf_dir)
+    members = clustering.clustered(run.labels)[1].where("cluster_id is not null")
+    top = members.groupBy("cluster_id").agg(F.max(F.struct("tmax_c", (-F.col("cell_id")).alias("back"), "cell_id", "local_event_id")).alias("m"))
+    local = run.days.where("local_event_id is not null").groupBy("local_event_id").agg(F.min("date").alias("local_start_date"), F.max("date").alias("local_end_date"), F.first("threshold").alias("threshold_tmax_c"))
+    daily = run.daily.select(F.col("date").alias("largest_ellipse_date"), "n_heatwave_cells", "n_exceeding_cells")
+    out = run.compound.join(daily, "largest_ellipse_date").join(run.ellipses.select(F.col("ellipse_id").alias("largest_ellipse_id"), "n_member_cells"), "largest_ellipse_id")
+    out = out.join(top.select(F.col("cluster_id").alias("largest_ellipse_id"), "m.cell_id", "m.tmax_c", "m.local_event_id"), "largest_ellipse_id").join(local, "local_event_id")
+    return _rounded(out.select(
+        "compound_event_id", "start_date", "end_date", "event_type", "daily_cluster_counts", "largest_ellipse_id", "largest_ellipse_date", "n_heatwave_cells", "n_exceeding_cells", "n_member_cells",
+        F.col("cell_id").alias("hottest_cell_id"), F.col("tmax_c").alias("hottest_tmax_c"), "threshold_tmax_c", "local_event_id", "local_start_date", "local_end_date",
+    ))
 
 
 #: Repetitions and seeds of the study's configuration.
 BOOTSTRAP_REPS, BOOTSTRAP_SEEDS = 5000, {"daily_maxima": 20261020, "event_maxima": 20261120}
 
 
-def _bootstraps(spark: SparkSession, sf_dir: str, reps: int) -> dict[str, tuple[list[float], DataFrame]]:
-    """dataset: its areas in order of time, one number per selected day or event, and their refits."""
-    found, days, _ = Run(spark, sf_dir).compound()
-    ordered = {"daily_maxima": days.where("largest_ellipse_id is not null").orderBy("date"), "event_maxima": found.orderBy("compound_event_id")}
+def _bootstraps(spark: SparkSession, sf_dir: str, reps: int) -> tuple[DataFrame, DataFrame]:
+    """(samples, refits) of the daily and the event maxima, in order of time.
+
+    A sample has one number per selected day or event; it goes to every task that refits.
+    """
+    run = Run(spark, sf_dir)
+    areas = _samples(run)
+    ordered = {"daily_maxima": run.event_days.where("largest_ellipse_id is not null").orderBy("date"), "event_maxima": run.compound.orderBy("compound_event_id")}
     values = {k: [x.largest_ellipse_area_km2 for x in df.select("largest_ellipse_area_km2").collect()] for k, df in ordered.items()}
-    return {k: (v, power_law.bootstrap(spark, v, reps, BOOTSTRAP_SEEDS[k])) for k, v in values.items()}
+    one, two = (power_law.bootstrap(spark, v, reps, BOOTSTRAP_SEEDS[k]).select(F.lit(k).alias("dataset"), "*") for k, v in values.items())
+    return areas, one.unionByName(two)
 
 
 @query()
 def power_law_bootstrap(spark: SparkSession, sf_dir: str, reps: int = BOOTSTRAP_REPS) -> DataFrame:
     """Seeded refits of the daily and the event maxima."""
-    one, two = (draws.select(F.lit(k).alias("dataset"), "*") for k, (_, draws) in _bootstraps(spark, sf_dir, reps).items())
-    return one.unionByName(two)
+    return _bootstraps(spark, sf_dir, reps)[1]
 
 
 @query()
 def power_law_summary(spark: SparkSession, sf_dir: str, reps: int = BOOTSTRAP_REPS) -> DataFrame:
-    """p, its bounds and error, and the quantiles of alpha by the refits; a sample without a fit has no row."""
-    out = []
-    for k, (values, draws) in _bootstraps(spark, sf_dir, reps).items():
-        fitted = power_law.fit(np.asarray(values, dtype=np.float64))
-        distance = fitted[2] if fitted else None
-        out.append(power_law.summary(draws, F.lit(distance).cast("double")).select(F.lit(k).alias("dataset"), F.lit(distance).cast("double").alias("ks_distance"), "*").where("reps > 0"))
-    return out[0].unionByName(out[1])
+    """The fits with p, its bounds and error, and the quantiles of alpha by the refits."""
+    areas, draws = _bootstraps(spark, sf_dir, reps)
+    seeds = F.create_map(*[F.lit(x) for kv in BOOTSTRAP_SEEDS.items() for x in kv])
+    return power_law.summary(written(draws, "refits"), power_law.fitted(written(areas, "areas"))).withColumn("seed", seeds[F.col("dataset")])

@@ -49,9 +49,10 @@ def test_dbscan_equals_a_set_definition():
     for _ in range(40):
         cells = sorted({(rng.randrange(7), rng.randrange(7)) for _ in range(rng.randrange(1, 30))})
         p = np.array(cells, dtype=float)
-        d2 = clustering.squared_distances(p[:, 0], p[:, 1], 1.0)
+        d2 = (p[:, None, 0] - p[:, 0]) ** 2 + (p[:, None, 1] - p[:, 1]) ** 2
         eps, m = rng.choice([1.0, 1.5, 2.0]), rng.randrange(2, 6)
-        labels, near = clustering.dbscan(d2, eps, m)
+        labels, near = clustering.dbscan(len(p), clustering.neighbours(p[:, 0], p[:, 1], 1.0, rng.choice([2.0, 2.5, 4.0])), eps, m)
+        assert near.tolist() == (d2 <= eps * eps).sum(axis=1).tolist()
         core = [i for i in range(len(p)) if (d2[i] <= eps * eps).sum() >= m]
         root = {i: i for i in core}
         for _ in core:
