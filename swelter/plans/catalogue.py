@@ -297,8 +297,8 @@ def annual_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # two-sided p of a normal z and of a t with n - 2 degrees, by Simpson's rule on the density
-_P_NORMAL = "greatest(0, 1 - 2 * list_sum(list_transform(range(0, 2001), k -> (CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * (abs(z) * k / 2000) * (abs(z) * k / 2000)))) * abs(z) / 6000 / sqrt(2 * pi()))"
-_P_T = "1 - 2 * list_sum(list_transform(range(0, 2001), k -> (CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + (t * k / 2000) * (t * k / 2000) / (n - 2), -(n - 1) / 2.0))) * t / 6000 * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt((n - 2) * pi())"
+_P_NORMAL = "greatest(0, 1 - 2 * list_sum(list_transform(range(0, 2001), lambda k: (CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * (abs(z) * k / 2000) * (abs(z) * k / 2000)))) * abs(z) / 6000 / sqrt(2 * pi()))"
+_P_T = "1 - 2 * list_sum(list_transform(range(0, 2001), lambda k: (CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + (t * k / 2000) * (t * k / 2000) / (n - 2), -(n - 1) / 2.0))) * t / 6000 * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt((n - 2) * pi())"
 
 
 @query(sql(_SERIES, f""", prs AS (SELECT a.event_type, CAST(sum(sign(b.y - a.y)) AS DOUBLE) AS s, median((b.y - a.y) / (b.year - a.year)) AS sen FROM series a JOIN series b ON a.event_type = b.event_type AND a.year < b.year GROUP BY 1),
