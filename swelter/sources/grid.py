@@ -38,28 +38,40 @@ def grid_step(values: list[float], name: str) -> float:
 
 
 #: Units of time that can be decoded, in seconds.
-SECONDS = {"day": 86400, "hour": 3600, "hr": 3600, "h": 3600, "minute": 60, "min": 60, "second": 1, "sec": 1, "s": 1, "d": 86400}
+SECONDS = {"day": 86400, "hour": 3600, "hr": 3600, "minute": 60, "min": 60, "second": 1, "sec": 1, "s": 1}
 _SINCE = re.compile(r"^\s*([a-z]+?)s?\s+since\s+(-?\d{1,4})-(\d{1,2})-(\d{1,2})(?:[T\s]+(\d{1,2}):(\d{1,2})(?::(\d{1,2}(?:\.\d*)?))?)?\s*(Z|UTC|[+-]\d{1,2}(?::?\d{2})?)?\s*$", re.I)
+_EPOCH = dt.date(1970, 1, 1)
 
 
-def decode_time(values: list[float], units: str, calendar: str = "standard") -> list[dt.date]:
-    """UTC days of "<unit> since <moment>" numbers; rounding noise below a day's end is undone."""
+def time_seconds(values: list[float], units: str, calendar: str = "standard") -> list[float]:
+    """UTC seconds since 1970 of "<unit> since <moment>" numbers."""
     if calendar.lower() not in ("standard", "gregorian", "proleptic_gregorian"):
         raise ValueError(f"calendar {calendar!r} is not supported")
     m = _SINCE.match(units)
     if not m or m[1].lower() not in SECONDS:
         raise ValueError(f"time units {units!r} are not supported")
-    origin = dt.date(int(m[2]), int(m[3]), int(m[4]))
-    start = int(m[5] or 0) * 3600 + int(m[6] or 0) * 60 + float(m[7] or 0)
+    hour, minute, second = int(m[5] or 0), int(m[6] or 0), float(m[7] or 0)
+    zone = 0
     if m[8] and m[8].upper() not in ("Z", "UTC"):
-        sign, digits = (-1 if m[8][0] == "-" else 1), m[8][1:].replace(":", "").rjust(2, "0")
-        start -= sign * (int(digits[:2]) * 3600 + int(digits[2:] or 0) * 60)
+        digits = m[8][1:].replace(":", "").zfill(2)
+        hours, minutes = int(digits[:2]), int(digits[2:] or 0)
+        if hours > 14 or minutes > 59:
+            raise ValueError(f"time units {units!r} have no such zone")
+        zone = (-1 if m[8][0] == "-" else 1) * (hours * 3600 + minutes * 60)
+    if hour > 23 or minute > 59 or second >= 60:
+        raise ValueError(f"time units {units!r} have no such time of day")
+    start = (dt.date(int(m[2]), int(m[3]), int(m[4])) - _EPOCH).days * 86400 + hour * 3600 + minute * 60 + second - zone
+    return [start + v * SECONDS[m[1].lower()] for v in values]
+
+
+def decode_time(values: list[float], units: str, calendar: str = "standard") -> list[dt.date]:
+    """UTC days of "<unit> since <moment>" numbers; rounding noise below a day's end is undone."""
     out = []
-    for v in values:
-        days = (start + v * SECONDS[m[1].lower()]) / 86400
+    for s in time_seconds(values, units, calendar):
+        days = s / 86400
         near = round(days)
         snapped = near if abs(days - near) <= 16 * 2**-52 * max(1.0, abs(days)) else math.floor(days)
-        out.append(origin + dt.timedelta(days=snapped))
+        out.append(_EPOCH + dt.timedelta(days=snapped))
     return out
 
 
@@ -106,8 +118,11 @@ def from_rows(rows: DataFrame, units: str = "degC", months: tuple[int, ...] = tu
     value = F.col("value") - 273.15 if temperature_unit(units) == "K" else F.col("value")
     kept = in_period(rows, months, start, end).select("date", F.col("lon").cast("double"), F.col("lat").cast("double"), value.cast("double").alias("tmax_c"))
     places = kept.groupBy("lon", "lat").agg(F.count("tmax_c").alias("n")).where("n > 0")
-    # one row per place: a global number needs one ordered pass over them
-    numbered = places.select("lon", "lat", F.row_number().over(W.orderBy("lat", "lon")).alias("cell_id"))
+    # rows of latitude are counted first; the one ordered pass has a row for each of them
+    rows = places.groupBy("lat").agg(F.count("*").alias("_n"))
+    rows = rows.select("lat", (F.sum("_n").over(W.orderBy("lat")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(W.partitionBy("lat").orderBy("lon"))
+    numbered = places.select("lon", "lat", own.alias("_nth")).join(rows, "lat").select("lon", "lat", (F.col("_before") + F.col("_nth")).cast("int").alias("cell_id"))
     return kept.join(numbered, ["lon", "lat"]).select(*GRID)
 
 
