@@ -58,15 +58,16 @@ def running_totals(counts: DataFrame, key: str, n: str, name: str) -> DataFrame:
     return rows.withColumn("_within", within).join(blocks, "_block").withColumn(name, F.col("_before") + F.col("_within")).drop("_block", "_before", "_within")
 
 
-def detect(grid: DataFrame, percentile: float = 95, min_duration: int = 3, min_exceeding: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(events, days): the catalogue of local heatwaves, and marked days with local_event_id or null.
-
-    Ids run by cell, then start: a cell's offset plus the event's number in it.
-    """
-    days = marked_days(grid, percentile, min_duration, min_exceeding)
+def with_ids(days: DataFrame) -> DataFrame:
+    """days with local_event_id; ids run by cell, then start: a cell's offset plus the event's number in it."""
     per_cell = days.groupBy("cell_id").agg(F.coalesce(F.max("event_number_in_cell"), F.lit(0)).alias("n"))
     before = running_totals(per_cell, "cell_id", "n", "before").select("cell_id", "before")
-    days = days.join(before, "cell_id").withColumn("local_event_id", (F.col("before") + F.col("event_number_in_cell")).cast("int")).drop("before")
+    return days.join(before, "cell_id").withColumn("local_event_id", (F.col("before") + F.col("event_number_in_cell")).cast("int")).drop("before")
+
+
+def detect(grid: DataFrame, percentile: float = 95, min_duration: int = 3, min_exceeding: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(events, days): the catalogue of local heatwaves, and marked days with local_event_id or null."""
+    days = with_ids(marked_days(grid, percentile, min_duration, min_exceeding))
     return catalogue(days), days.drop("event_number_in_cell")
 
 

@@ -78,6 +78,10 @@ def window(cells: DataFrame, points: DataFrame, lon0: float, lat0: float, size:
     return near.unionByName(forced).withColumns({"lon": lon, "lat": lat})
 
 
+#: Points that a fit takes at least.
+LEAST_POINTS = 5
+
+
 def trend(quadrature: DataFrame, covariates: tuple[str, ...], max_iter: int = 50) -> dict[str, float]:
     """Coefficients of the log-linear intensity, by a weighted Poisson regression.
 
