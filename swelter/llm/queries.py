@@ -1,4 +1,4 @@
-"""The subpackage's queries, opN_<name>(spark, sf_dir), and their SQL."""
+"""The subpackage's queries, opN_<name>(spark, sf_dir)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from swelter.llm import ann, license, linededup, minhash, mixing, packing, quality, toxicity, urlfilter, warc
 from swelter.llm.common import new_path, table, written
+from swelter.llm.oracle import SQL  # noqa: F401
 
 
 def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,5 +97,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_warc_transactions, op2_line_dedup, op3_mixing, op4_packing, op5_toxicity, op6_url_filter, op7_order_minhash, op8_quality_rules, op9_license_scan, op10_forest_search)
 }
-
-SQL: dict[str, str] = {}
