@@ -362,6 +362,27 @@ def test_license_base_places_equal_brute_force(spark):
     assert "apache-2" in fuzzy.labels and fuzzy.n_base == 0
 
 
+def test_license_edits_never_name_another_license():
+    scan = license.Scanner().scan
+    labels = lambda text: {label for label, *_ in scan(text)[1]}
+    for text, want in (
+        ("under the mit license", {"mit"}), ("under thr mit licence", {"mit"}), ("under the bit license", set()), ("under the mitt license", set()),
+        ("apache license version 2", {"apache-2"}), ("apache licence versiom 2", {"apache-2"}), ("apache license version 1", set()), ("apache license version 21", set()), ("apaches license version 2", set()),
+        ("cc by nc", {"cc-by-nc"}), ("cc by sa", set()), ("gnu lesser general public license", {"lgpl"}), ("gnu afero general public license", set()), ("the gnu general public licence", {"gpl"}),
+        ("the general public was licensed to reserve all rights", set()),
+    ):
+        assert labels(text) == want, text
+    rng = random.Random(14)
+    assert not any(labels(prose(rng, 400)) for _ in range(50))
+    # an edit anywhere but in a name is found, whichever character it takes
+    for phrase, label in (*license.BASE, *license.NOTICES):
+        if len(phrase) >= license.CHARS_PER_EDIT:
+            for i in range(1, len(phrase)):
+                word = len(phrase[: i + 1].split()) - 1
+                if phrase[i] != " " and phrase.split()[word] not in license.NAMES:
+                    assert label in labels(f"so {phrase[:i]}#{phrase[i + 1 :]} then".replace("#", "x")), (phrase, i)
+
+
 def test_toxic_segments_equal_brute_force():
     rng = random.Random(11)
     for _ in range(300):
