@@ -32,8 +32,8 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Fixed value: marks that often stand around a word.
 AROUND = ".,;:!?\"'()[]"
 PREFIXES = (4, 5, 6)
-#: Weight of the prior, least signed root of a unit's likelihood ratio, and units kept at most.
-PRIOR, LEAST_Z, MAX_UNITS = 500.0, 4.0, 50_000
+#: Weight of the prior, and least signed root of a unit's likelihood ratio.
+PRIOR, LEAST_Z = 500.0, 4.0
 #: Subtracted from each word's score.
 DRIFT = 0.75
 #: Segments expected this often or less by chance in their text are significant.
@@ -197,9 +197,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     labels: (key, label 0/1); other values and nulls take no part. Of more than FIT_LABELS
     labels those with the smallest hashes of their keys are used; so many can be
     broadcast, and texts stay where they are. The prior's shape counts every text of docs.
-    What reaches the driver is bounded too: MAX_UNITS units, and a few numbers for each
-    text of the fourth fold.
+    What reaches the driver is bounded by them too: the units that they tell apart by
+    LEAST_Z, which takes several occurrences of each, and two numbers for each text of the
+    fourth fold.
     """
+    with scratch(docs.sparkSession):
+        return _fitted(docs, labels, key, text, label)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> Model:
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("toxic"))
     marked = marked.orderBy(F.xxhash64("_key"), "_key", "toxic").limit(FIT_LABELS)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(marked), "_key")
@@ -211,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return Model({})
     n_t, n_c = totals[0]
     drawn = wide.where("unit <> ''").withColumn("z", likelihood_root(F.col("t"), n_t, F.col("c"), n_c)).where(F.abs("z") >= LEAST_Z)
-    drawn = drawn.orderBy(F.desc(F.abs("z")), "unit").limit(MAX_UNITS).select("unit", "t", "c", "z").collect()
+    drawn = drawn.select("unit", "t", "c", "z").collect()
     everything = _counts(docs.select(F.lit(0).alias("toxic"), F.col(text).alias("text")), {r.unit for r in drawn})
     corpus = {r.unit: r.n for r in everything.collect()}
     weights = {}
@@ -223,32 +229,40 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def calibrated(model: Model, rows: DataFrame) -> Model:
-    """Sets the extreme-value parameters and the curve from rows (toxic, text), a bounded number."""
+    """Sets the extreme-value parameters and the curve from rows (toxic, text), a bounded number.
+
+    The texts are written and read twice: for the distribution of word scores and of the
+    best segments, which give the rate and K, and then for each text's evidence by these.
+    """
+    rows = written(rows, "curve-texts")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out, bins = [], Counter()
             for toxic, text in zip(b["toxic"], b["text"]):
                 s = model.scores(text)
-                out.append((toxic, len(s), [x[2] for x in segments(s)]))
+                out.append((toxic, len(s), max((x[2] for x in segments(s)), default=None)))
                 if not toxic:
                     bins.update(np.round(s, 2).tolist())
-            yield pd.DataFrame({"toxic": [o[0] for o in out], "n": [o[1] for o in out], "found": [o[2] for o in out], "score": None, "times": None})
-            yield pd.DataFrame({"toxic": -1, "n": 0, "found": None, "score": list(bins), "times": list(bins.values())})
+            yield pd.DataFrame({"toxic": [o[0] for o in out], "n": [o[1] for o in out], "best": pd.array([o[2] for o in out], dtype="Float64"), "score": None, "times": None})
+            yield pd.DataFrame({"toxic": -1, "n": 0, "best": None, "score": list(bins), "times": list(bins.values())})
 
-    seen = written(rows.mapInPandas(measure, "toxic int, n long, found array<double>, score double, times long"), "calibration")
+    seen = written(rows.mapInPandas(measure, "toxic int, n long, best double, score double, times long"), "calibration")
     scale = seen.where("toxic = -1").groupBy("score").agg(F.sum("times").alias("n")).collect()
     model.rate = _rate([(r.score, r.n) for r in scale])
-    texts = seen.where("toxic >= 0").select("toxic", "n", "found").collect()
-    clean = [(max(r.found), r.n) for r in texts if not r.toxic and r.found and r.n]
-    space = sum(r.n for r in texts if not r.toxic)
+    best = F.exp(-model.rate * F.col("best")) * F.col("n")
+    clean = seen.where("toxic = 0 and best is not null and n > 0").agg(F.count("*").alias("m"), F.sum(best).alias("s")).first()
     # maximum likelihood of K at that rate: the mean of n exp(-rate best) is 1 / K
-    if clean and space:
-        model.search_space = len(clean) / max(1e-12, sum(n * math.exp(-model.rate * s) for s, n in clean)) if len(clean) > 20 else 0.1
-        model.search_space = min(1.0, model.search_space)
-    x = np.array([math.log1p(model.evidence([(0, 1, s) for s in r.found or []], r.n)[0]) for r in texts])
-    y = np.array([float(r.toxic) for r in texts])
-    model.curve = _logistic(x, y)
+    if clean.m:
+        model.search_space = min(1.0, clean.m / max(1e-12, clean.s)) if clean.m > 20 else 0.1
+
+    def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            scores = [model.scores(t) for t in b["text"]]
+            yield pd.DataFrame({"toxic": b["toxic"], "x": [model.evidence(segments(s), len(s))[0] for s in scores]})
+
+    texts = rows.mapInPandas(evidence, "toxic int, x double").collect()
+    model.curve = _logistic(np.array([math.log1p(r.x) for r in texts]), np.array([float(r.toxic) for r in texts]))
     return model
 
 
