@@ -39,12 +39,12 @@ class Run:
 
     def __init__(self, spark: SparkSession, sf_dir: str, local: float = LOCAL, percentile: float = REGIONAL):
         self.grid = grid.lattice(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
-        self.percentile = percentile
-        self.events, self.marked = heatwaves.detect(self.grid, local)
+        self.local, self.percentile = local, percentile
 
     @cached_property
     def days(self) -> DataFrame:
-        return written(self.marked, "days")
+        """Marked days, written, with ids that a row per cell gives them."""
+        return heatwaves.with_ids(written(heatwaves.marked_days(self.grid, self.local), "days"))
 
     @cached_property
     def daily(self) -> DataFrame:
@@ -196,7 +196,7 @@ def cell_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(_EVENTS, "SELECT * FROM catalog1"))
 def local_heatwaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(Run(spark, sf_dir).events)
+    return _rounded(heatwaves.catalogue(Run(spark, sf_dir).days))
 
 
 @query(sql(_MARKED, "SELECT cell_id, date, CAST(local_event_id AS INTEGER) AS local_event_id, exceeds FROM hw WHERE local_event_id IS NOT NULL"))

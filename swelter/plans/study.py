@@ -36,7 +36,7 @@ class Study:
     def days(self) -> DataFrame:
         h = self.config["heatwaves"]
         marked = heatwaves.marked_days(self.grid, h["threshold_percentile"], h["min_duration_days"], h["min_exceeding_days"])
-        return written(heatwaves.with_ids(marked), "days")
+        return heatwaves.with_ids(written(marked, "days"))
 
     @cached_property
     def daily(self) -> DataFrame:
