@@ -243,20 +243,3 @@ def _asked(x: np.ndarray, most: float) -> np.ndarray:
 def _lifted(x: np.ndarray, most: float) -> np.ndarray:
     rest = np.sqrt(np.maximum(0.0, most - (x * x).sum(axis=1, keepdims=True)))
     return np.hstack([x, rest])
-
-
-def brute_force(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The true k nearest of a small set of queries, to measure recall against."""
-    def usable(df, i, v):
-        vec = F.transform(F.col(vector), lambda x: x.cast("double"))
-        return df.select(F.col(key).alias(i), vec.alias(v)).where(F.exists(v, lambda x: x != 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
-
-    pairs = usable(rows, "vec_id", "b").join(F.broadcast(usable(queries, "query_id", "a").limit(1000)), F.col("query_id") != F.col("vec_id"))
-    scored = pairs.select("query_id", "vec_id", F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
-
-
-def recall(found: DataFrame, truth: DataFrame) -> float:
-    """Share of the true neighbours that were found, over the queries of truth."""
-    n = truth.count()
-    return truth.join(found, ["query_id", "vec_id"], "left_semi").count() / n if n else 1.0
