@@ -6,6 +6,9 @@ an equi-join on tiles of the plane, not by comparing all pairs.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -151,3 +154,76 @@ def zones(cells: DataFrame, points: DataFrame, step_lon: float, step_lat: float,
     inside = F.count_if(F.col("own") & (F.col("_before") < F.col("zone_area_fraction")))
     counts = each.groupBy("zone_area_fraction", "group").agg(F.count_if("own").alias("n_centroids_in_group"), inside.alias("n_in_zone"))
     return counts.withColumn("percent_in_zone", 100 * F.col("n_in_zone") / F.nullif(F.col("n_centroids_in_group"), F.lit(0)))
+
+
+#: Contrast of fourth roots, and distances at which K is compared.
+ROOT, DISTANCES = 0.25, 64
+
+
+def overlaps(window_pixels: DataFrame, size: float, reach: float) -> DataFrame:
+    """(i, j, area): how much of the window falls on itself when shifted by i, j pixels, within reach."""
+    most = math.ceil(reach / size) + 1
+    corner = window_pixels.agg(F.min("x_km").alias("x0"), F.min("y_km").alias("y0"))
+    at = window_pixels.join(F.broadcast(corner)).select(F.round((F.col("x_km") - F.col("x0")) / size).cast("long").alias("px"), F.round((F.col("y_km") - F.col("y0")) / size).cast("long").alias("py"))
+    steps = F.sequence(F.lit(-most), F.lit(most))
+    moved = at.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).select((F.col("px") + F.col("i")).alias("px"), (F.col("py") + F.col("j")).alias("py"), "i", "j")
+    return moved.join(at, ["px", "py"]).groupBy("i", "j").agg((F.count("*") * (size * size)).alias("area"))
+
+
+def inhomogeneous_k(points: DataFrame, shifts: DataFrame, size: float, reach: float, n: int = DISTANCES, key: str = "ellipse_id") -> DataFrame:
+    """(r, k): the inhomogeneous K function at n distances up to reach, translation corrected.
+
+    points: (key, x_km, y_km, intensity). Pairs are found by tiles of side reach; each
+    counts by the intensities of both and the window's overlap at its shift, interpolated
+    to the nearest pixel.
+    """
+    tile = lambda c: F.floor(F.col(c) / reach).cast("long")
+    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    held = points.select(F.col(key).alias("b"), F.col("x_km").alias("bx"), F.col("y_km").alias("by"), F.col("intensity").alias("lb"), tile("x_km").alias("i0"), tile("y_km").alias("j0"))
+    asked = points.select(F.col(key).alias("a"), "x_km", "y_km", F.col("intensity").alias("la"), tile("x_km").alias("ti"), tile("y_km").alias("tj"))
+    asked = asked.withColumn("di", F.explode(near)).withColumn("dj", F.explode(near)).withColumns({"i0": F.col("ti") + F.col("di"), "j0": F.col("tj") + F.col("dj")})
+    dx, dy = F.col("bx") - F.col("x_km"), F.col("by") - F.col("y_km")
+    pairs = asked.join(held, ["i0", "j0"]).where("a <> b").select("la", "lb", F.sqrt(dx * dx + dy * dy).alias("d"), F.round(dx / size).cast("long").alias("i"), F.round(dy / size).cast("long").alias("j")).where(F.col("d") <= reach)
+    weighed = pairs.join(shifts, ["i", "j"]).select(F.ceil(F.col("d") * n / reach).cast("int").alias("bin"), (1 / (F.col("la") * F.col("lb") * F.col("area"))).alias("w"))
+    sums = weighed.groupBy("bin").agg(F.sum("w").alias("w"))
+    bins = points.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias("bin"))
+    whole = W.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)  # one row a distance
+    return bins.join(sums, "bin", "left").select((F.col("bin") * reach / n).alias("r"), F.sum(F.coalesce("w", F.lit(0.0))).over(whole).alias("k"))
+
+
+def model_k(r: np.ndarray, variance: float, scale: float) -> np.ndarray:
+    """K of a log-Gaussian Cox process of exponential covariance, by the trapezoid rule from 0."""
+    s = np.linspace(0.0, r[-1], 64 * len(r) + 1)
+    f = 2 * np.pi * s * np.exp(variance * np.exp(-s / scale))
+    whole = np.concatenate([[0.0], np.cumsum((f[1:] + f[:-1]) / 2) * (s[1] - s[0])])
+    return np.interp(r, s, whole)
+
+
+def minimum_contrast(r: np.ndarray, k: np.ndarray, start: tuple[float, float] | None = None) -> tuple[float, float, float, bool]:
+    """(variance, scale, contrast, converged): the model whose K is nearest, in fourth roots (Diggle).
+
+    A simplex search (Nelder and Mead) over the logarithms of both.
+    """
+    value = lambda p: float(np.mean((model_k(r, math.exp(min(p[0], 3.0)), math.exp(p[1])) ** ROOT - k**ROOT) ** 2))
+    first = np.log(start or (1.0, r[-1] / 4))
+    simplex = [first, first + [0.5, 0.0], first + [0.0, 0.5]]
+    at = [value(p) for p in simplex]
+    for _ in range(500):
+        order = np.argsort(at, kind="stable")
+        simplex, at = [simplex[i] for i in order], [at[i] for i in order]
+        if at[2] - at[0] <= 1e-12 * (abs(at[0]) + 1e-12) or max(np.abs(simplex[2] - simplex[0]).max(), np.abs(simplex[1] - simplex[0]).max()) < 1e-9:
+            return math.exp(simplex[0][0]), math.exp(simplex[0][1]), at[0], True
+        middle = (simplex[0] + simplex[1]) / 2
+        step = middle - simplex[2]
+        tried = [(value(middle + f * step), f) for f in (1.0,)]
+        if tried[0][0] < at[0]:
+            tried.append((value(middle + 2 * step), 2.0))
+        elif tried[0][0] >= at[1]:
+            tried.append((value(middle + (0.5 if tried[0][0] < at[2] else -0.5) * step), 0.5 if tried[0][0] < at[2] else -0.5))
+        best, f = min(tried)
+        if best < at[2]:
+            simplex[2], at[2] = middle + f * step, best
+        else:
+            simplex = [simplex[0], *[simplex[0] + (p - simplex[0]) / 2 for p in simplex[1:]]]
+            at = [at[0], *map(value, simplex[1:])]
+    return math.exp(simplex[0][0]), math.exp(simplex[0][1]), at[0], False

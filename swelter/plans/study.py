@@ -7,6 +7,7 @@ import os
 from dataclasses import dataclass, field
 from functools import cached_property
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,6 +127,13 @@ class Study:
         points = written(point_process.quadrature(pixels, at.join(values, "nearest_cell_id"), tuple(c["covariates"]), size), "quadrature")
         found = point_process.trend(points, tuple(c["covariates"]))
         ranked = written(point_process.intensities(cells, found), "intensity")
+        extent = pixels.agg((F.max("x_km") - F.min("x_km")).alias("x"), (F.max("y_km") - F.min("y_km")).alias("y")).first()
+        near = max(4 * size, min(extent.x, extent.y) / 4)
+        dense = at.join(ranked.select(F.col("cell_id").alias("nearest_cell_id"), F.col("mean_intensity_per_km2").alias("intensity")), "nearest_cell_id")
+        # one row a distance
+        k = point_process.inhomogeneous_k(dense, point_process.overlaps(pixels, size, near), size, near).orderBy("r").collect()
+        variance, scale, contrast, converged = point_process.minimum_contrast(np.array([x.r for x in k]), np.array([x.k for x in k]))
+        found |= {"var_sigma2": variance, "scale_km": scale, "mincon_objective": contrast, "mincon_converged": float(converged)}
         made = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{k}', {v!r}D)" for k, v in found.items()) + " AS t(parameter, value)")
         return dict(zip(MODELS, (made, ranked, at, point_process.zones(ranked, at, self.step, self.step))))
 
