@@ -11,7 +11,8 @@ leaf, in blocks of bounded size.
 
 Inner products become distances by one more component, sqrt(max norm^2 - norm^2), 0 for
 queries. Equal vectors are indexed once with their smallest ids, as many as a result
-can name, so copies cost nothing and none that a result needs is lost.
+can name, so copies cost nothing and none that a result needs is lost. Index and routes
+hold vectors as bytes, in the table's own precision, so scores are of the vectors as given.
 """
 
 from __future__ import annotations
@@ -109,6 +110,14 @@ def _matrix(vecs: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in vecs])
 
 
+def _packed(x: np.ndarray, precision: str) -> list[bytes]:
+    return [v.tobytes() for v in x.astype(precision)]
+
+
+def _unpacked(vecs: pd.Series, precision: str) -> np.ndarray:
+    return np.frombuffer(b"".join(vecs), dtype=precision).reshape(len(vecs), -1).astype(np.float64)
+
+
 def leaves_needed(forest: Forest, base: DataFrame, asked: DataFrame, k: int, most: float) -> int:
     """The fewest leaves a query that find RECALL of the k nearest of RECALL_QUERIES queries among base (vid, vec).
 
@@ -166,6 +175,7 @@ def searched(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
     """
     spark = rows.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
+    precision = "<f4" if rows.schema[vector].dataType.simpleString() == "array<float>" else "<f8"
     base = distinct_vectors(rows, key, vector, k + 1)
     base = written(base, "vectors")
     sizes = base.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n"), F.max("norm2").alias("m")).orderBy(F.desc("n"), "d").limit(1).collect()
@@ -180,28 +190,29 @@ def searched(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                at = forest.leaves(_lifted(_matrix(b["vec"]), most).astype(np.float32))
+                x = _matrix(b["vec"])
+                at, vec = forest.leaves(_lifted(x, most).astype(np.float32)), _packed(x, precision)
                 for t in range(at.shape[1]):
-                    yield pd.DataFrame({"tree": t, "leaf": at[:, t], "vid": b["vid"], "vec": b["vec"]})
+                    yield pd.DataFrame({"tree": t, "leaf": at[:, t], "vid": b["vid"], "vec": vec})
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 x = _matrix(b["vec"])
-                x = _asked(x, most)
+                vec, x = np.array(_packed(x, precision), dtype=object), _asked(x, most)
                 for first in range(0, len(x), 128):  # bounds the memory of the costs
                     got = forest.search(x[first : first + 128], visited)
                     i = first + np.repeat(np.arange(len(got)), got.shape[1])
-                    yield pd.DataFrame({"tree": got.ravel() >> forest.depth, "leaf": got.ravel() & (2**forest.depth - 1), "qid": b["vid"].to_numpy()[i], "qvec": b["vec"].to_numpy()[i]})
+                    yield pd.DataFrame({"tree": got.ravel() >> forest.depth, "leaf": got.ravel() & (2**forest.depth - 1), "qid": b["vid"].to_numpy()[i], "qvec": vec[i]})
 
-    places = written(base.select("vid", "vec").mapInPandas(index, "tree int, leaf long, vid long, vec array<double>"), "forest")
+    places = written(base.select("vid", "vec").mapInPandas(index, "tree int, leaf long, vid long, vec binary"), "forest")
     # of each query vector one row, named by its vector's vid
     asked = queries.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("query_id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("vec"))
     asked = asked.join(base.select("vid", F.col("vec").alias("_v")), F.col("vec") == F.col("_v")).select("query_id", "vid")
     asked = written(asked, "asked")
     unique = base.join(asked.select("vid").distinct(), "vid", "left_semi").select("vid", "vec").repartition(max(8, spark.sparkContext.defaultParallelism), "vid")
     visited = max(leaves, leaves_needed(forest, base, unique, k, most))
-    routes = written(unique.mapInPandas(walk, "tree int, leaf long, qid long, qvec array<double>"), "routes")
+    routes = written(unique.mapInPandas(walk, "tree int, leaf long, qid long, qvec binary"), "routes")
 
     # leaves are cut into blocks of rows and queries, each pair of blocks one group
     blocks = places.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("rb")).join(
@@ -215,7 +226,7 @@ def searched(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
         if not len(rows) or not len(asks):
             return pd.DataFrame({"qid": [], "vid": [], "score": []}).astype({"qid": "int64", "vid": "int64", "score": "float64"})
         order = np.argsort(rows["vid"].to_numpy(), kind="stable")
-        vid, v, q = rows["vid"].to_numpy()[order], _matrix(rows["vec"])[order], _matrix(asks["qvec"])
+        vid, v, q = rows["vid"].to_numpy()[order], _unpacked(rows["vec"], precision)[order], _unpacked(asks["qvec"], precision)
         near = q @ v.T
         n = min(k + 1, len(vid))
         # one more than needed at the edge of rounding; the sums that count are made row by row
