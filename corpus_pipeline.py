@@ -1,12 +1,13 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each as
-Parquet in the shared folder and gives it, read again, to the next. A stage's tables are
-deleted when the next one starts, unless its documents still read them.
+Parquet in the shared folder and gives it, read again, to the next. The tables of stages
+are deleted when one starts whose documents don't read them any more.
 """
 
 from __future__ import annotations
 
+import atexit
 import functools
 from collections.abc import Callable
 
@@ -26,13 +27,15 @@ _left: list[str] = []
 def stage(f: Stage) -> Stage:
     @functools.wraps(f)
     def started(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        # one that is still read tells of documents that weren't written in between; subqueries read others
         read = docs.inputFiles() if _left else []
-        unread = [p for p in _left if not any(p.rpartition("/")[2] in x for x in read)]
-        delete(spark, unread)
-        _left[:] = [p for p in _left if p not in unread]
+        if not any(p.rpartition("/")[2] in x for x in read for p in _left):
+            delete(spark, _left)
+            _left.clear()
         with owned() as mine:
             out = f(spark, docs, sf_dir)
         _left.extend(mine)
+        atexit.register(delete, spark, mine)
         return out
 
     return started
@@ -88,11 +91,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for k, (_, f) in enumerate(STAGES):
         docs = f(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             with owned() as mine:
                 docs = written(docs, f"stage{k}")
-            _left.extend(mine)
+            delete(spark, before)
+            before = mine
+            atexit.register(delete, spark, mine)
     return docs
