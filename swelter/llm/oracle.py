@@ -87,4 +87,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM counts LEFT JOIN rejects USING (doc_id)"""
 
 
-SQL = {"op1_warc_transactions": WARC, "op2_line_dedup": LINES, "op3_mixing": _mixing(), "op6_url_filter": _urls(), "op8_quality_rules": _quality()}
+FIM = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+r AS (SELECT *, CAST(len(u) AS BIGINT) AS n, list_transform(range(4), lambda i: CAST('0x' || substr(h, CAST(8 * i + 1 AS INTEGER), 8) AS BIGINT)) AS x FROM d),
+f AS (SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS a, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR x[3] % 100 >= 90 THEN 'plain' WHEN x[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM r),
+c AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m, coalesce(array_to_string(u[b + 1:n], ''), '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM c"""
+
+#: One step of CRC-32 for a byte, and pairs one edit apart by the words with one letter less.
+VARIANTS = r"""
+WITH RECURSIVE bits AS (SELECT i, 0 AS k, CAST(i AS BIGINT) AS v FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+per_doc AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS hx FROM runs WHERE length(run) > 4 GROUP BY 1, 2),
+hashed AS (SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length(hx) // 2), lambda i: CAST('0x' || substr(hx, CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT))), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295) AS h FROM per_doc, crc),
+edited AS (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM edited WHERE length(word) > 4 GROUP BY 1 HAVING sum(n) > 2),
+less AS MATERIALIZED (SELECT word, i, substr(word, 1, CAST(i AS INTEGER)) || substr(word, CAST(i AS INTEGER) + 2) AS v FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+pairs AS (SELECT l.word AS a, v AS b FROM less l JOIN words w ON w.word = v UNION SELECT v, l.word FROM less l JOIN words w ON w.word = v
+  UNION SELECT a.word, b.word FROM less a JOIN less b USING (i, v) WHERE a.word <> b.word),
+best AS (SELECT a, count(*) AS n_near, first(b ORDER BY n DESC, b) AS b, max(n) AS form_n FROM pairs JOIN words ON word = b GROUP BY 1),
+formed AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN b END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM words LEFT JOIN best ON a = word),
+ways AS (SELECT word, form AS e, 1 AS k FROM formed WHERE form IS NOT NULL UNION ALL SELECT w.word, f.form, k + 1 FROM ways w JOIN formed f ON f.word = w.e WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(e, k) AS root FROM ways GROUP BY 1)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM formed LEFT JOIN ends USING (word)"""
+
+
+SQL = {"op1_warc_transactions": WARC, "op2_line_dedup": LINES, "op3_mixing": _mixing(), "op6_url_filter": _urls(), "op8_quality_rules": _quality(), "op11_spelling_variants": VARIANTS, "op12_fill_in_middle": FIM}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swelter.llm import ann, license, linededup, minhash, mixing, packing, quality, toxicity, urlfilter, warc
+from swelter.llm import ann, convnet, fim, license, linededup, minhash, mixing, packing, quality, toxicity, urlfilter, variants, warc
 from swelter.llm.common import new_path, table, written
 from swelter.llm.oracle import SQL  # noqa: F401
 
@@ -93,7 +93,31 @@ def op10_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.searched(rows, rows.where(F.col("vec_id") % 20 == 0))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every word of the documents."""
+    return variants.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fill-in-the-middle form, by hashes of its output and of the text put back."""
+    out = fim.transformed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = lambda text: F.sha2(text, 256)
+    return out.select(
+        "doc_id", F.col("_n").alias("n"), F.col("_form").alias("form"), F.length("_prefix").cast("long").alias("prefix_chars"), F.length("_middle").cast("long").alias("middle_chars"),
+        sha(F.col("_output")).alias("output_sha256"), sha(fim.restored(F.col("_output"), F.col("_form"))).alias("restored_sha256"),
+    )
+
+
+def op13_quality_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from the labels outside the held-out fold."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    net = convnet.fit(docs, labels.where(convnet.fold_of(F.col("doc_id")) != convnet.HELD_OUT))
+    out = convnet.scored(docs, net)
+    held_out = F.coalesce(convnet.fold_of(F.col("doc_id")) == convnet.HELD_OUT, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc_transactions, op2_line_dedup, op3_mixing, op4_packing, op5_toxicity, op6_url_filter, op7_order_minhash, op8_quality_rules, op9_license_scan, op10_forest_search)
+    for f in (op1_warc_transactions, op2_line_dedup, op3_mixing, op4_packing, op5_toxicity, op6_url_filter, op7_order_minhash, op8_quality_rules, op9_license_scan, op10_forest_search, op11_spelling_variants, op12_fill_in_middle, op13_quality_convnet)
 }

@@ -19,6 +19,9 @@ COLUMNS = {
     "op8_quality_rules": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
     "op9_license_scan": {"doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"},
     "op10_forest_search": {"query_id", "rank", "vec_id", "score"},
+    "op11_spelling_variants": {"word", "form", "root", "n", "n_near", "form_n"},
+    "op12_fill_in_middle": {"doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"},
+    "op13_quality_convnet": {"doc_id", "held_out", "score", "predicted"},
 }
 
 
@@ -74,13 +77,15 @@ def test_quality_rejects_by_certified_cutoffs(spark, tables):
     assert all(r.kept == (not r.base_failed and not r.rejected_by) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["op4_packing", "op5_toxicity", "op9_license_scan", "op10_forest_search"])
+@pytest.mark.parametrize("name", ["op4_packing", "op5_toxicity", "op9_license_scan", "op10_forest_search", "op13_quality_convnet"])
 def test_other_queries_return_what_they_must(spark, tables, name):
     got = __spark_entry__.queries()[name](spark, tables)
     assert COLUMNS[name] <= set(got.columns)
     rows = got.collect()
     if name == "op5_toxicity":
         assert len(rows) == 2006 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    elif name == "op13_quality_convnet":
+        assert len(rows) == 2006 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
     elif name == "op9_license_scan":
         assert len(rows) == 2006 and all(r.n_words is not None and 0 <= r.score <= 1 for r in rows)
     elif name == "op10_forest_search":
@@ -90,7 +95,7 @@ def test_other_queries_return_what_they_must(spark, tables, name):
 
 
 def test_contract_columns(spark, tables):
-    for name in ("op1_warc_transactions", "op3_mixing", "op6_url_filter", "op8_quality_rules"):
+    for name in ("op1_warc_transactions", "op3_mixing", "op6_url_filter", "op8_quality_rules", "op11_spelling_variants", "op12_fill_in_middle"):
         assert COLUMNS[name] <= set(__spark_entry__.queries()[name](spark, tables).columns)
 
 
