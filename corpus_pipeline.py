@@ -1,8 +1,9 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each as
-Parquet in the shared folder and gives it, read again, to the next. The tables of stages
-are deleted when one starts whose documents don't read them any more.
+Parquet in the shared folder and gives it, read again, to the next. A result owns the
+tables that it reads: they stay until close() is called on it, or till Python ends.
+run() closes its stages as soon as what they return is written.
 """
 
 from __future__ import annotations
@@ -20,25 +21,27 @@ from swelter.llm.common import delete, owned, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Tables that the outputs of stages may still read.
-_left: list[str] = []
 
 
 def stage(f: Stage) -> Stage:
     @functools.wraps(f)
-    def started(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        # one that is still read tells of documents that weren't written in between; subqueries read others
-        read = docs.inputFiles() if _left else []
-        if not any(p.rpartition("/")[2] in x for x in read for p in _left):
-            delete(spark, _left)
-            _left.clear()
+    def owning(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         with owned() as mine:
             out = f(spark, docs, sf_dir)
-        _left.extend(mine)
-        atexit.register(delete, spark, mine)
-        return out
+        return _with_tables(out, mine)
 
-    return started
+    return owning
+
+
+def _with_tables(out: DataFrame, tables: list[str]) -> DataFrame:
+    out._tables = tables
+    atexit.register(delete, out.sparkSession, tables)
+    return out
+
+
+def close(result: DataFrame) -> None:
+    """Deletes the tables that a stage's or run()'s result reads; neither it nor what was made of it can be read then."""
+    delete(result.sparkSession, result._tables)
 
 
 @stage
@@ -93,11 +96,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), []
     for k, (_, f) in enumerate(STAGES):
-        docs = f(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            with owned() as mine:
-                docs = written(docs, f"stage{k}")
-            delete(spark, before)
-            before = mine
-            atexit.register(delete, spark, mine)
-    return docs
+        out = f(spark, docs, sf_dir)
+        if k + 1 == len(STAGES):
+            return _with_tables(out, [*before, *out._tables])
+        with owned() as mine:
+            docs = written(out, f"stage{k}")
+        close(out)
+        delete(spark, before)
+        before = mine
