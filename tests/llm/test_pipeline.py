@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 
 
@@ -24,3 +26,12 @@ def test_stages_keep_clean_documents_and_pack_them(spark, tmp_path):
     packed = docs.toPandas()
     assert (packed.groupby("sequence_id")["length"].sum() <= 2048).all()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
+    one, two = corpus_pipeline.run(spark, str(tmp_path)), corpus_pipeline.run(spark, str(tmp_path))
+    corpus_pipeline.close(corpus_pipeline.run(spark, str(tmp_path)))
+    # each result owns its tables, whatever ran since
+    rows = sorted(map(str, one.collect()))
+    assert rows == sorted(map(str, two.where("length > 0").collect())) and len(rows) == len(packed)
+    corpus_pipeline.close(one)
+    assert two.count() == len(packed)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST"):
+        one.count()
