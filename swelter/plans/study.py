@@ -149,7 +149,7 @@ def read_input(spark: SparkSession, config: dict) -> DataFrame:
         raise ValueError(f"there are no .nc files in {files[0]}")
     kind = i["format"]
     if kind == "auto":
-        kind = "era5" if {"t2m", "2m_temperature"} & set(netcdf.Header(paths[0]).variables) else "daily_tmax"
+        kind = "era5" if {"t2m", "2m_temperature"} & set(netcdf.header(paths[0]).variables) else "daily_tmax"
     months, start, end = p["warm_season_months"], *(d and d.isoformat() for d in (p["start_date"], p["end_date"]))
     if kind == "era5":
         return netcdf.read_era5(spark, paths, i["variable"], i["longitude"], i["latitude"], i["time"], i["units"], months, start, end, i["era5_cell_size_deg"])
