@@ -1,9 +1,11 @@
 """Stage 3: density-based clusters of each selected day's cells.
 
-Only the labels need Python. A day's cells are one group; as they stand on a grid and the
-radius is a few steps, their neighbours are looked up by offsets, so a group takes memory
-for each cell's neighbours, not for all pairs, and they are found once for all settings.
-Search, pooling and numbering are DataFrame operations.
+A day's cells are dealt to square tiles of its grid, each with the cells around it that
+its own may depend on (twice the radius), so no task gets more than a tile, however large
+a day is. As cells stand on a grid and the radius is a few steps, neighbours are looked up
+by offsets, once for all settings. A tile's components of core cells that hold cells of
+other tiles too are merged with the components that these have there. Numbers go by
+clusters' first cells, and search, pooling and numbering are DataFrame operations.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from swelter.shared import written
+
 EPS = (1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0)
 MIN_SAMPLES = (4, 5, 6, 7, 8, 9, 10, 11, 12)
 
@@ -40,31 +44,45 @@ def neighbours(lon: np.ndarray, lat: np.ndarray, step: float, radius: float) ->
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def dbscan(n: int, near: tuple[np.ndarray, np.ndarray, np.ndarray], eps: float, min_samples: int) -> tuple[np.ndarray, np.ndarray]:
-    """(labels, neighbours within eps, itself included); cells are in scan order, noise is -1.
+def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member of each one's component; a, b: the links, both ways."""
+    root = np.arange(n)
+    while True:  # the least of each neighbour's root, then shortcuts to it
+        new = root.copy()
+        np.minimum.at(new, root[a], root[b])
+        np.minimum.at(new, a, root[b])
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
 
-    near: neighbours() at eps or more. Clusters are the components of core cells, numbered
-    by their first core cell; other cells take the smallest label among the core cells
-    they are near.
+
+def core_components(n: int, near: tuple[np.ndarray, np.ndarray, np.ndarray], eps: float, min_samples: int, counted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """(root of each cell, whether it is core, neighbours within eps, pairs within eps).
+
+    counted: cells all of whose neighbours are there; others are never core.
     """
     i, j, d2 = near
     inside = d2 <= eps * eps
     i, j = i[inside], j[inside]
     n_near = np.bincount(i, minlength=n)
     core = n_near >= min_samples
+    if counted is not None:
+        core &= counted
     both = core[i] & core[j]
-    root, a, b = np.arange(n), i[both], j[both]
-    while True:  # the least cell of each neighbour's root, then shortcuts to it
-        new = root.copy()
-        np.minimum.at(new, root[a], root[b])
-        np.minimum.at(new, a, root[b])
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
+    return components(n, i[both], j[both]), core, n_near, (i, j)
+
+
+def dbscan(n: int, near: tuple[np.ndarray, np.ndarray, np.ndarray], eps: float, min_samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """(labels, neighbours within eps, itself included) of a whole day; cells are in scan order, noise is -1.
+
+    near: neighbours() at eps or more. Clusters are the components of core cells, numbered
+    by their first core cell; other cells take the smallest label among the core cells
+    they are near.
+    """
+    root, core, n_near, (i, j) = core_components(n, near, eps, min_samples)
     labels = np.full(n, -1)
-    firsts = np.unique(root[core])
-    labels[core] = np.searchsorted(firsts, root[core])
+    labels[core] = np.searchsorted(np.unique(root[core]), root[core])
     edge = ~core[i] & core[j]
     if edge.any():
         least = np.full(n, n)
@@ -73,15 +91,85 @@ def dbscan(n: int, near: tuple[np.ndarray, np.ndarray, np.ndarray], eps: float,
     return labels, n_near
 
 
-def cluster_counts(cells: DataFrame, step: float = 1.0, eps: tuple[float, ...] = EPS, min_samples: tuple[int, ...] = MIN_SAMPLES) -> DataFrame:
+#: Cells of a tile's side.
+TILE = 256
+
+
+def tiled(cells: DataFrame, step: float, reach: int, tile: int | None = None) -> DataFrame:
+    """cells with their whole steps x, y and each tile (ti, tj) that they belong to or lie within 2 reach of.
+
+    `own` is true in the tile that a cell belongs to.
+    """
+    tile = tile or TILE
+    least = lambda c: cells.agg(F.min(c)).scalar()
+    placed = cells.withColumns({"x": F.round((F.col("lon") - least("lon")) / step).cast("long"), "y": F.round((F.col("lat") - least("lat")) / step).cast("long")})
+    at = lambda c, by: F.floor((F.col(c) + by) / tile).cast("int")
+    around = lambda c: F.explode(F.sequence(at(c, -2 * reach), at(c, 2 * reach)))
+    dealt = placed.withColumn("ti", around("x")).withColumn("tj", around("y"))
+    return dealt.withColumn("own", (F.col("ti") == at("x", 0)) & (F.col("tj") == at("y", 0)))
+
+
+class Tile:
+    """One tile's cells, its own and those around, in scan order."""
+
+    def __init__(self, cells: pd.DataFrame, reach: int, tile: int):
+        self.cells = cells = cells.sort_values(["x", "y"], ignore_index=True)
+        self.own = cells["own"].to_numpy()
+        x, y = cells["x"].to_numpy() - cells["ti"].iloc[0] * tile, cells["y"].to_numpy() - cells["tj"].iloc[0] * tile
+        outside = np.maximum.reduce([-x, x - (tile - 1), -y, y - (tile - 1)])
+        self.counted = outside <= reach  # all their neighbours are here
+        # what other tiles may know as well: own cells near the edge and others', if there are any
+        self.shared = self.counted & (outside > -reach) & ~self.own.all()
+        self.near = neighbours(cells["x"].to_numpy(), cells["y"].to_numpy(), 1.0, reach)
+
+
+def _merged(exchanged: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node, root): components of nodes that hold one place; exchanged: (keys, place, node)."""
+    held = exchanged.groupBy(*keys, "place").agg(F.array_sort(F.collect_set("node")).alias("nodes")).where(F.size("nodes") > 1)
+    links = held.select(*keys, F.get("nodes", F.lit(0)).alias("a"), F.explode(F.slice("nodes", 2, 16)).alias("b")).distinct()  # a place lies in few tiles
+    schema = ", ".join(f"{k} {t}" for k, t in exchanged.dtypes if k in keys)
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        nodes, at = np.unique(np.r_[rows["a"], rows["b"]].astype(str), return_inverse=True)
+        a, b = at[: len(rows)], at[len(rows) :]
+        root = components(len(nodes), np.r_[a, b], np.r_[b, a])
+        return pd.DataFrame({k: rows[k].iloc[0] for k in keys} | {"node": nodes, "root": nodes[root]})
+
+    # one row for each two components that touch
+    return links.groupBy(*keys).applyInPandas(merge, f"{schema}, node string, root string")
+
+
+def cluster_counts(cells: DataFrame, step: float = 1.0, eps: tuple[float, ...] = EPS, min_samples: tuple[int, ...] = MIN_SAMPLES, tile: int | None = None) -> DataFrame:
     """(date, eps, min_samples, n_clusters) for every day and setting."""
+    reach, tile = int(max(eps)), tile or TILE
+
+    names = ["date", "eps", "min_samples", "n", "node", "place"]
 
-    def count(day: pd.DataFrame) -> pd.DataFrame:
-        near = neighbours(day["lon"].to_numpy(), day["lat"].to_numpy(), step, max(eps))
-        rows = [(day["date"].iloc[0], e, m, int(dbscan(len(day), near, e, m)[0].max(initial=-1)) + 1) for e in eps for m in min_samples]
-        return pd.DataFrame(rows, columns=["date", "eps", "min_samples", "n_clusters"])
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        if not rows["own"].any():
+            return pd.DataFrame(columns=names, dtype=object)
+        t, out = Tile(rows, reach, tile), []
+        date, at = rows["date"].iloc[0], f"{rows['ti'].iloc[0]} {rows['tj'].iloc[0]}"
+        places = [f"{x} {y}" for x, y in zip(t.cells["x"], t.cells["y"])] if t.shared.any() else []
+        for e in eps:
+            for m in min_samples:
+                root, core, *_ = core_components(len(t.own), t.near, e, m, t.counted)
+                own = np.unique(root[core & t.own])
+                touching = np.intersect1d(own, root[core & t.shared])
+                # components that no other tile can know of are counted here
+                out.append((date, e, m, len(own) - len(touching), None, None))
+                if len(touching):
+                    out += [(date, e, m, 0, f"{at} {root[k]}", places[k]) for k in np.flatnonzero(core & t.shared & np.isin(root, touching))]
+        return pd.DataFrame(out, columns=names, dtype=object)
 
-    return cells.select("date", "lon", "lat").groupBy("date").applyInPandas(count, "date date, eps double, min_samples int, n_clusters int")
+    local = tiled(cells.select("date", "lon", "lat"), step, reach, tile).groupBy("date", "ti", "tj").applyInPandas(count, "date date, eps double, min_samples int, n int, node string, place string")
+    local, keys = written(local, "tiles"), ["date", "eps", "min_samples"]
+    inside = local.groupBy(*keys).agg(F.sum("n").alias("inside"))
+    told = local.where("node is not null")
+    merged = _merged(told.select(*keys, "node", "place"), keys)
+    # of components told of, those that weren't merged into another one
+    across = told.select(*keys, "node").distinct().join(merged, [*keys, "node"], "left").where("root is null or root = node").groupBy(*keys).agg(F.count("*").alias("across"))
+    return inside.join(across, keys, "left").select(*keys, (F.col("inside") + F.coalesce("across", F.lit(0))).cast("int").alias("n_clusters"))
 
 
 def daily_settings(counts: DataFrame, cells: DataFrame) -> DataFrame:
@@ -117,19 +205,47 @@ def pooled(settings: DataFrame) -> DataFrame:
 
 
 LABELS = "date date, cell_id int, lat double, lon double, local_event_id int, tmax_c double, dbscan_label int, is_core_cell int, n_cells_within_eps int, eps_applied double, min_samples_applied int"
+_LOCAL = LABELS.replace("dbscan_label int", "x long, y long, own boolean, shared boolean, comps array<int>, ti int, tj int")
 
 
-def labelled(cells: DataFrame, settings: DataFrame, step: float = 1.0) -> DataFrame:
-    """cells with their final labels; scan order is west to east, then south to north."""
+def labelled(cells: DataFrame, settings: DataFrame, step: float = 1.0, reach: int = int(max(EPS)), tile: int | None = None) -> DataFrame:
+    """cells with their final labels; scan order is west to east, then south to north.
+
+    reach: whole steps that no eps exceeds.
+    """
+    tile = tile or TILE
+    names = [c.split()[0] for c in _LOCAL.replace("<", " ").split(", ")]
 
-    def label(day: pd.DataFrame) -> pd.DataFrame:
-        day = day.sort_values(["lon", "lat"], ignore_index=True)
-        e, m = day["eps_applied"].iloc[0], int(day["min_samples_applied"].iloc[0])
-        labels, near = dbscan(len(day), neighbours(day["lon"].to_numpy(), day["lat"].to_numpy(), step, e), e, m)
-        return day.assign(dbscan_label=labels, is_core_cell=(near >= m).astype(int), n_cells_within_eps=near)[[c.split()[0] for c in LABELS.split(", ")]]
+    def label(rows: pd.DataFrame) -> pd.DataFrame:
+        if not rows["own"].any():
+            return pd.DataFrame(columns=names, dtype=object)
+        t = Tile(rows, reach, tile)
+        e, m = rows["eps_applied"].iloc[0], int(rows["min_samples_applied"].iloc[0])
+        root, core, n_near, (i, j) = core_components(len(t.own), t.near, e, m, t.counted)
+        comps = [[int(r)] if c else [] for r, c in zip(root, core)]
+        edge = ~core[i] & core[j] & t.own[i]
+        for p, r in np.unique(np.stack([i[edge], root[j[edge]]]), axis=1).T:
+            comps[p].append(int(r))
+        wanted = np.isin(root, [r for c, own in zip(comps, t.own) if own for r in c])
+        shared = core & t.shared & wanted
+        out = t.cells.assign(is_core_cell=core.astype(int), n_cells_within_eps=n_near, shared=shared, comps=comps)
+        return out[t.own | shared][names]
 
     applied = settings.select("date", F.col("sequence_eps").alias("eps_applied"), F.col("sequence_min_samples").alias("min_samples_applied"))
-    return cells.join(applied, "date").groupBy("date").applyInPandas(label, LABELS)
+    dealt = tiled(cells, step, reach, tile).join(applied, "date")
+    local = written(dealt.groupBy("date", "ti", "tj").applyInPandas(label, _LOCAL), "tiles")
+    node = lambda comp: F.concat_ws(" ", "ti", "tj", comp)
+    cores = local.where("is_core_cell = 1").withColumn("node", node(F.get("comps", F.lit(0))))
+    merged = _merged(cores.where("shared").select("date", F.concat_ws(" ", "x", "y").alias("place"), "node"), ["date"])
+    nodes = cores.groupBy("date", "node").agg(F.min(F.struct("x", "y")).alias("first")).join(merged, ["date", "node"], "left").withColumn("root", F.coalesce("root", "node"))
+    firsts = nodes.groupBy("date", "root").agg(F.min("first").alias("first"))
+    # one row for each cluster
+    numbered = firsts.withColumn("label", F.row_number().over(W.partitionBy("date").orderBy("first")) - 1)
+    labels = nodes.join(numbered, ["date", "root"]).select("date", "node", "label")
+    own = local.where("own").drop("own", "shared", "x", "y")
+    found = own.select("date", "cell_id", F.explode(F.transform("comps", node)).alias("node")).join(labels, ["date", "node"]).groupBy("date", "cell_id").agg(F.min("label").alias("dbscan_label"))
+    out = own.join(found, ["date", "cell_id"], "left").withColumn("dbscan_label", F.coalesce("dbscan_label", F.lit(-1)))
+    return out.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in LABELS.split(", ")])
 
 
 def clustered(labels: DataFrame) -> tuple[DataFrame, DataFrame]:

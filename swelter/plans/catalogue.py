@@ -137,7 +137,7 @@ _SETTINGS = _COUNTS + """,
 usable AS (SELECT * FROM (SELECT *, max(n_clusters) OVER (PARTITION BY date) AS top FROM counts) WHERE n_clusters > 0 OR top = 0),
 freqs AS (SELECT *, count(*) OVER (PARTITION BY date, n_clusters) AS freq FROM usable),
 modal AS (SELECT * FROM (SELECT *, max(freq) OVER (PARTITION BY date) AS most FROM freqs) WHERE freq = most),
-set0 AS (SELECT date, string_agg(DISTINCT CAST(n_clusters AS VARCHAR), '|' ORDER BY CAST(n_clusters AS VARCHAR)) AS modal_cluster_counts, max(most) AS modal_frequency, count(*) AS n_pairs_retained, avg(eps) AS daily_eps, avg(min_samples) AS daily_min_samples_mean,
+set0 AS (SELECT date, array_to_string(list_sort(list(DISTINCT n_clusters)), '|') AS modal_cluster_counts, max(most) AS modal_frequency, count(*) AS n_pairs_retained, avg(eps) AS daily_eps, avg(min_samples) AS daily_min_samples_mean,
   CAST(greatest(1, floor(avg(min_samples) + 0.5)) AS INTEGER) AS daily_min_samples FROM modal GROUP BY date),
 runs AS (SELECT *, sum(new) OVER (ORDER BY date) AS run FROM (SELECT *, CASE WHEN date - lag(date) OVER (ORDER BY date) = 1 THEN 0 ELSE 1 END AS new FROM set0)),
 settings AS MATERIALIZED (SELECT * EXCLUDE (new, run), min(date) OVER w AS sequence_start_date, max(daily_eps) OVER w AS sequence_eps, max(daily_min_samples) OVER w AS sequence_min_samples, max(date) OVER w AS sequence_end_date, CAST(count(*) OVER w AS INTEGER) AS sequence_days FROM runs WINDOW w AS (PARTITION BY run))"""

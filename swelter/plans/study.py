@@ -55,7 +55,7 @@ class Study:
 
     @cached_property
     def labels(self) -> DataFrame:
-        return written(clustering.labelled(self.cells, self.settings, self.step), "labels")
+        return written(clustering.labelled(self.cells, self.settings, self.step, int(max(self.config["clustering"]["eps_values"]))), "labels")
 
     @cached_property
     def daily_clusters(self) -> DataFrame:
