@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from swelter.functions.ordered import totals_by_value
 from swelter.operators.ellipses import KM_LAT, KM_LON
 
 #: Events and days that represent each type.
@@ -66,9 +67,11 @@ def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int, g
 
 def ccdf(sample: DataFrame, group: str = "dataset", value: str = "area_km2") -> DataFrame:
     """(group, value, ccdf): the share of values at or above each, ties in order of place."""
-    own = W.partitionBy(group)
-    n = F.count("*").over(own)
-    return sample.withColumn("ccdf", 1 - (F.row_number().over(own.orderBy(value)) - 1) / n)
+    counts = totals_by_value(sample, value, F.lit(1), keys=(group,)).withColumnsRenamed({"of": "_of", "before": "_before"})
+    sizes = sample.groupBy(group).agg(F.count("*").alias("_n"))
+    # equal values stand one after the other; a value's places are made from how many there are
+    each = counts.join(sizes, group).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_of").cast("int") - 1)))
+    return each.select(group, value, (1 - (F.col("_before") + F.col("_k")).cast("double") / F.col("_n")).alias("ccdf"))
 
 
 def ecdf(rows: DataFrame, group: str, value: str) -> DataFrame:

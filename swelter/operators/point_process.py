@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from swelter.functions.ordered import TOTAL, running, significant, totals_by_value
 from swelter.functions.projection import forward, inverse
 from swelter.operators.ellipses import KM_LAT, KM_LON
 
@@ -118,16 +119,15 @@ def intensities(cells: DataFrame, coefficients: dict[str, float]) -> DataFrame:
     return concentration_ranks(cells.withColumn("mean_intensity_per_km2", F.exp(linear)))
 
 
-def concentration_ranks(cells: DataFrame) -> DataFrame:
-    """cells with concentration_rank: average rank of mean_intensity_per_km2 over the number of cells.
+#: Digits of an intensity that count in its rank; further ones depend on the order of sums.
+DIGITS = 12
 
-    Equal values are counted first, so one row a value passes the ordered sum.
-    """
-    counts = cells.groupBy("mean_intensity_per_km2").agg(F.count("*").alias("_n"))
-    ordered = counts.withColumn("_upto", F.sum("_n").over(W.orderBy("mean_intensity_per_km2")))
-    total = cells.agg(F.count("*").alias("n"))
-    rank = (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2) / F.col("_total")
-    return cells.join(ordered, "mean_intensity_per_km2").withColumn("_total", total.scalar()).withColumn("concentration_rank", rank).drop("_n", "_upto", "_total")
+
+def concentration_ranks(cells: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """cells with concentration_rank: average rank of mean_intensity_per_km2 over the number of cells, ties averaged."""
+    valued = cells.withColumn("_v", significant(F.col("mean_intensity_per_km2"), digits))
+    ranks = totals_by_value(valued, "_v", F.lit(1)).select(F.col("_v").alias("_w"), ((F.col("before") + (F.col("of") + 1) / 2) / cells.agg(F.count("*")).scalar()).cast("double").alias("concentration_rank"))
+    return valued.join(ranks, F.col("_v") == F.col("_w"), "left").drop("_v", "_w")
 
 
 #: Shares of the area whose most intense part is a zone.
@@ -142,11 +142,9 @@ def zones(cells: DataFrame, points: DataFrame, step_lon: float, step_lat: float,
     cells until their share of the area reaches it, the cell that does included.
     """
     area = KM_LON * F.cos(F.radians("lat")) * step_lon * KM_LAT * step_lat
-    ordered = W.orderBy(F.desc("mean_intensity_per_km2"), "cell_id")  # one row a cell
-    ranked = cells.withColumn("_area", area)
-    whole = ranked.agg(F.sum("_area").alias("a"))
-    upto = F.sum("_area").over(ordered.rowsBetween(W.unboundedPreceding, 0))
-    ranked = ranked.withColumn("_before", (upto - F.col("_area")) / whole.scalar())
+    valued = cells.withColumns({"_v": significant(F.col("mean_intensity_per_km2"), DIGITS), "_area": area.cast(TOTAL)})
+    ranked = running(valued, "_v", "cell_id", F.col("_area"), down=True, name="_upto")
+    ranked = ranked.withColumn("_before", F.col("_upto").cast("double") / valued.agg(F.sum("_area").cast("double")).scalar())
     at = points.join(ranked.select(F.col("cell_id").alias("nearest_cell_id"), "_before"), "nearest_cell_id")
     groups = {"all_centroids": F.lit(True), "daily_largest": F.col("is_daily_largest"), "event_largest": F.col("is_event_largest")}
     each = at.select("_before", F.explode(F.array(*[F.struct(F.lit(g).alias("group"), c.alias("own")) for g, c in groups.items()])).alias("g"))

@@ -425,7 +425,7 @@ def pixel_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out.select("x_km", "y_km", "nearest_cell_distance_km"))
 
 
-@query(sql(_POINTS, """, cum AS (SELECT cell_id, (sum(cos(radians(lat))) OVER (ORDER BY mean_tmax DESC, cell_id) - cos(radians(lat))) / sum(cos(radians(lat))) OVER () AS before FROM cls),
+@query(sql(_POINTS, """, cum AS (SELECT cell_id, (sum(cos(radians(lat))) OVER (ORDER BY round(mean_tmax, 10) DESC, cell_id) - cos(radians(lat))) / sum(cos(radians(lat))) OVER () AS before FROM cls),
 own AS (SELECT before, ellipse_id IN (SELECT largest_ellipse_id FROM evd) AS daily, ellipse_id IN (SELECT largest_ellipse_id FROM ce) AS event FROM near1 JOIN cum ON cell_id = nearest_cell_id),
 grp AS (SELECT before, unnest(['all_centroids', 'daily_largest', 'event_largest']) AS "group", unnest([true, daily, event]) AS mine FROM own)
 SELECT f AS zone_area_fraction, "group", count(*) FILTER (mine) AS n_centroids_in_group, count(*) FILTER (mine AND before < f) AS n_in_zone, round(100 * count(*) FILTER (mine AND before < f) / nullif(count(*) FILTER (mine), 0), 6) AS percent_in_zone FROM grp CROSS JOIN (SELECT unnest([0.2, 0.5])::DOUBLE AS f) GROUP BY ALL""".lstrip()))
@@ -437,7 +437,7 @@ def concentration_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(point_process.zones(cells, points, 1.0, 1.0))
 
 
-@query(sql(_POINTS, "SELECT cell_id, round((rank() OVER (ORDER BY mean_tmax) + (count(*) OVER (PARTITION BY mean_tmax) - 1) / 2) / count(*) OVER (), 6) AS concentration_rank FROM cls"))
+@query(sql(_POINTS, "SELECT cell_id, round((rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2) / count(*) OVER (), 6) AS concentration_rank FROM (SELECT cell_id, round(mean_tmax, 10) AS v FROM cls)"))
 def concentration_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks of the cells by intensity, ties averaged; mean tmax stands for it here."""
     cells = _cells(Run(spark, sf_dir)).withColumn("mean_intensity_per_km2", F.col("mean_tmax"))
