@@ -7,15 +7,15 @@ likely, the better they align: texts that agree in scattered places are told fro
 with the same k-mers in another order.
 
 In a bucket of up to SMALL texts all pairs are candidates; in a larger one all texts are
-compared with its least, and buckets with one least make up a crowd. Where no more than
-SMALL texts of a crowd differ from its least, each of these is compared with the whole
-crowd, but for texts that are so near the least that they can't be near it (edit distances
-keep the triangle inequality); so every pair of a bucket is compared, proven unlike or
-hangs together by the least. Where more differ, the crowd shares a passage of unlike
-texts, or drifts. All its texts are compared with STARS of those that differ then, and all
-their k-mers are looked at: one that up to SMALL texts of crowds hold makes all its pairs
-candidates. No bucket is cut and no text is left out; work grows with the number of
-k-mers, not with the square of a bucket.
+compared with its least, and buckets with one least make up a crowd. Texts of a crowd
+that are like its least hang together by it. Each that is unlike has to be compared with
+the whole crowd. Where they are up to SMALL, this is done but for texts that are so near
+the least that they can't be near it (edit distances keep the triangle inequality). Where
+more differ, the crowd shares a passage of unlike texts, or drifts: it is then dealt to
+blocks of texts of about one length, and a block's words are counted against another's by
+one product of matrices. Similar texts have at least so many words in common as are
+intact, so this shows most pairs unlike without looking at them singly, and the others
+are candidates. No bucket is cut, no text left out and no pair of a bucket lost.
 
 Candidates are similar if their words align with a share of at least 0.8 of the longer
 text's words intact (1 - edit distance / length). Classes are the connected components.
@@ -24,6 +24,7 @@ text's words intact (1 - edit distance / length). Classes are the connected comp
 from __future__ import annotations
 
 import bisect
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from swelter.llm.common import cols, free, scratch, written
 
-K, SKETCHES, LEAST, SMALL, STARS, SIMILARITY = 5, 12, 4, 16, 2, 0.8
+K, SKETCHES, LEAST, SMALL, SIMILARITY = 5, 12, 4, 16, 0.8
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -338,31 +339,72 @@ def links(table: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         counts = written(unlike.groupBy("h").agg(F.count("*").alias("unlike")), "unlike-counts")
         asked = unlike.select("h", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"))
         few = asked.join(counts.where(F.col("unlike") <= SMALL).select("h"), "h")
-        mixed = counts.where(F.col("unlike") > SMALL).select("h")
-        stars = asked.join(mixed, "h").groupBy("h", F.pmod("x", F.lit(STARS)).alias("c")).agg(F.min(F.struct("x", "nx", "dx")).alias("s")).select("h", "s.*")
         longer, bound = F.greatest("n", "nx"), F.lit(1 - similarity)
         unproven = ~F.col("similar") | (F.col("dx") - F.col("d") <= bound * longer + 1e-9)
         fits = (F.abs(F.col("n") - F.col("nx")) <= bound * longer + 1e-9) & (F.col("x") != F.col("id"))
-        more = known.join(few.unionByName(stars).withColumnRenamed("h", "_h"), (F.col("h") == F.col("_h")) & fits & unproven).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
-        crowd = known.join(mixed, "h", "left_semi").select("id").union(mixed.select("h")).distinct()
-        more = more.unionByName(_by_kmers(words.join(crowd, "id", "left_semi"))).distinct()
+        more = known.join(few.withColumnRenamed("h", "_h"), (F.col("h") == F.col("_h")) & fits & unproven).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
+        mixed = known.join(counts.where(F.col("unlike") > SMALL).select("h"), "h").select("h", "id", "n", "similar")
+        more = more.unionByName(_by_words(mixed, words, similarity)).distinct()
         more = written(more.join(pairs, ["a", "b"], "left_anti"), "candidates")
         second = written(compared(more, words, similarity), "links")
         return written(first.unionByName(second).where("similar").select("na", "nb").distinct(), "links", keep=True)
 
 
-def _by_kmers(texts: DataFrame) -> DataFrame:
-    """(a, b): each two of the texts (id, words) that share a k-mer which 2 to SMALL of them hold."""
+#: Numbers of a block's matrix, texts of a block at most and at least, and most columns.
+CELLS, MOST_TEXTS, LEAST_TEXTS, MOST_BINS = 1 << 23, 2000, 32, 1 << 18
+
+
+def _bins(length: Column) -> Column:
+    """Columns of the matrix for texts of up to so many words: 16 for each word, so that few words share one by chance."""
+    return F.least(F.lit(float(MOST_BINS)), F.pow(F.lit(2.0), F.ceil(F.log2(16 * length))))
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in batches:
-            for id_, w in zip(t["id"], t["words"]):
-                grams = kmers(unpacked(w))
-                yield pd.DataFrame({"g": grams.view(np.int64), "id": np.full(len(grams), id_)})
 
-    held = written(texts.select("id", "words").mapInPandas(of, "g long, id long"), "kmers")
-    rare = held.groupBy("g").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= SMALL)).select("g")
-    return _pairs_within(held.join(rare, "g").groupBy("g").agg(F.collect_set("id").alias("ids")), "ids")
+def counted(words: list[bytes], bins: int) -> np.ndarray:
+    """(texts, bins): how many of a text's words, each labelled by its occurrence, fall to a bin."""
+    out = np.zeros((len(words), bins), dtype=np.float32)
+    for row, w in zip(out, words):
+        np.add.at(row, (kmers(unpacked(w), 1) % np.uint64(bins)).astype(np.int64), 1)
+    return out
+
+
+def _by_words(crowds: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of a crowd's texts, not both like its least, that have the words for being similar.
+
+    crowds: (h, id, n, similar), the texts of crowds but for their leasts, n words long.
+    Texts are dealt by the class of their length (similar ones are of the same class or
+    next to it) and, where a class has more texts than a block, by a hash.
+    """
+    step = F.lit(math.log(1 / similarity))
+    crowds = crowds.withColumn("cls", F.floor(F.log("n") / step).cast("int"))
+    room = F.greatest(F.lit(LEAST_TEXTS), F.least(F.lit(MOST_TEXTS), F.lit(CELLS) / _bins(F.exp((F.col("cls") + 2) * step))))
+    blocks = lambda n: F.ceil(n / room).cast("int")
+    sizes = crowds.groupBy("h", "cls").agg(blocks(F.count("*")).alias("all"), blocks(F.count_if(~F.col("similar"))).alias("unlike"))
+    sizes = written(sizes, "crowd-sizes")
+    own, other = crowds.join(sizes, ["h", "cls"]), sizes.select(F.col("h").alias("_h"), F.col("cls").alias("_cls"), F.col("all").alias("_all"), F.col("unlike").alias("_unlike"))
+    beside = (F.col("h") == F.col("_h")) & (F.abs(F.col("cls") - F.col("_cls")) <= 1)
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    nth = lambda n: F.pmod(F.xxhash64("id", "h"), F.col(n)).cast("int")
+    asking = own.where("not similar").join(other.where("_all > 0"), beside).select("h", "id", "n", "similar", F.lit(True).alias("asks"), F.col("cls").alias("c1"), nth("unlike").alias("b1"), F.col("_cls").alias("c2"), spread("_all").alias("b2"))
+    asked = own.join(other.where("_unlike > 0"), beside).select("h", "id", "n", "similar", F.lit(False).alias("asks"), F.col("_cls").alias("c1"), spread("_unlike").alias("b1"), F.col("cls").alias("c2"), nth("all").alias("b2"))
+    rows = asking.unionByName(asked).join(words.select("id", "words"), "id")
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        x, y = block[block["asks"]], block[~block["asks"]]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        nx, ny = x["n"].to_numpy()[:, None], y["n"].to_numpy()[None, :]
+        bins = int(min(MOST_BINS, 2 ** math.ceil(math.log2(16 * max(nx.max(), ny.max())))))
+        common = counted(x["words"].tolist(), bins) @ counted(y["words"].tolist(), bins).T
+        longer = np.maximum(nx, ny)
+        need = longer - ((1 - similarity) * longer + 1e-9).astype(np.int64)
+        ix, iy = x["id"].to_numpy()[:, None], y["id"].to_numpy()[None, :]
+        # two that are both unlike meet twice
+        once = y["similar"].to_numpy()[None, :] | (ix < iy)
+        i, j = np.nonzero((common >= need) & (np.minimum(nx, ny) >= need) & (ix != iy) & once)
+        a, b = ix[i, 0], iy[0, j]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return rows.groupBy("h", "c1", "b1", "c2", "b2").applyInPandas(compare, "a long, b long")
 
 
 def components(edges: DataFrame, a: str = "na", b: str = "nb") -> DataFrame:

@@ -46,6 +46,29 @@ def test_distance_is_levenshtein_within_the_bound():
         assert minhash.distance(np.array(a, dtype="u4"), np.array(b, dtype="u4"), most) == min(edit(a, b), most + 1)
 
 
+def test_crowds_of_unlike_texts_lose_no_link(spark, monkeypatch):
+    """Texts of slots with two variants each: every part stands in half of the texts, so no k-mer is rare."""
+    monkeypatch.setattr(minhash, "MOST_TEXTS", 40)  # several blocks
+    rng = random.Random(9)
+    slots = [[prose(rng, 20) for _ in range(2)] for _ in range(16)]
+    picks = [tuple(rng.randrange(2) for _ in slots) for _ in range(220)]
+    rows = [(i, " ".join(s[v] for s, v in zip(slots, p))) for i, p in enumerate(picks)]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, p in enumerate(picks):
+        for j in range(i):
+            if sum(a != b for a, b in zip(p, picks[j])) <= 3:  # 60 of 320 words
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {r.doc_id: r._class for r in minhash.classified(make(spark, rows)).select("doc_id", "_class").collect()}
+    assert got == {i: find(i) for i in range(len(rows))} and 3 < len(set(got.values())) < 200
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rng = random.Random(5)
     rows, passage = [], prose(rng, 60)
