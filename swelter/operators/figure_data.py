@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -80,10 +82,120 @@ def ecdf(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def density(rows: DataFrame, group: str, value: str, low: float, high: float, n: int = 600) -> DataFrame:
-    """(group, at, density): Gaussian kernels of width sd n^(-1/5), at n even places."""
-    own = rows.groupBy(group).agg((F.stddev_samp(value) * F.pow(F.count("*"), F.lit(-0.2))).alias("_h"), F.count("*").alias("_n"))
-    at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: low + i * ((high - low) / (n - 1)))
-    # each value gives to every place; sums are made before anything moves
-    given = rows.select(group, value).join(own, group).select(group, F.col(value).alias("_v"), "_h", "_n", F.explode(at).alias("at"))
-    kernel = F.exp(-0.5 * ((F.col("at") - F.col("_v")) / F.col("_h")) ** 2) / (F.col("_h") * F.col("_n") * 2.5066282746310002)
-    return given.groupBy(group, "at").agg(F.sum(kernel).alias("density"))
+    """(group, at, density): Gaussian kernels of width sd n^(-1/5), at n even places.
+
+    A value is shared by the two places around it, in proportion, so only places are set
+    against places, however many values there are; kernels as wide as a few steps hide
+    that. Places go on beyond low and high as far as a kernel reaches. Groups of one value,
+    or of equal ones, have no width and no rows.
+    """
+    step = (high - low) / (n - 1)
+    own = rows.where(F.col(value).isNotNull()).groupBy(group).agg((F.stddev_samp(value) * F.pow(F.count("*"), F.lit(-0.2))).alias("_h"), F.count("*").alias("_n")).where("_h > 0")
+    at = (F.col(value) - low) / step
+    k, part = F.floor(at), at - F.floor(at)
+    shares = F.array(F.struct(k.alias("k"), (1 - part).alias("w")), F.struct((k + 1).alias("k"), part.alias("w")))
+    bins = rows.where(F.col(value).isNotNull()).select(group, F.explode(shares).alias("s")).groupBy(group, F.col("s.k").alias("_k")).agg(F.sum("s.w").alias("_w"))
+    # exp() of what lies further away than 39 widths is 0
+    reach = F.ceil(39 * F.col("_h") / step)
+    near = bins.join(own, group).where((F.col("_k") >= -reach) & (F.col("_k") <= n - 1 + reach))
+    places = near.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    kernel = F.exp(-0.5 * ((F.col("_p") - F.col("_k")) * step / F.col("_h")) ** 2) / (F.col("_h") * F.col("_n") * 2.5066282746310002)
+    return places.groupBy(group, "_p").agg(F.sum(F.col("_w") * kernel).alias("density")).select(group, (low + F.col("_p") * step).alias("at"), "density")
+
+
+def place_at(lon: Column, lat: Column, east_km: Column, north_km: Column) -> tuple[Column, Column]:
+    """(lon, lat) so many km east and north of a place, on the plane around it."""
+    return lon + east_km / (KM_LON * F.cos(F.radians(lat))), lat + north_km / KM_LAT
+
+
+def outlines(ellipses: DataFrame, n: int = 240) -> DataFrame:
+    """(ellipse_id, point, lon, lat): n points around each ellipse, the last on the first."""
+    turn = 2 * math.pi * F.col("point") / (n - 1)
+    along, across = F.col("major_axis_km") / 2 * F.cos(turn), F.col("minor_axis_km") / 2 * F.sin(turn)
+    east, north = F.col("major_axis_east"), F.col("major_axis_north")
+    lon, lat = place_at(F.col("centroid_lon_weighted"), F.col("centroid_lat_weighted"), along * east - across * north, along * north + across * east)
+    return ellipses.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("ellipse_id", "point", lon.alias("lon"), lat.alias("lat"))
+
+
+def axes(ellipses: DataFrame) -> DataFrame:
+    """(ellipse_id, axis, lon_from, lat_from, lon_to, lat_to): where the major and the minor axis end."""
+    a, b, east, north = F.col("major_axis_km") / 2, F.col("minor_axis_km") / 2, F.col("major_axis_east"), F.col("major_axis_north")
+    at = lambda x, y: place_at(F.col("centroid_lon_weighted"), F.col("centroid_lat_weighted"), x, y)
+    ends = {"major": (at(-a * east, -a * north), at(a * east, a * north)), "minor": (at(b * north, -b * east), at(-b * north, b * east))}
+    each = [F.struct(F.lit(k).alias("axis"), *[c.alias(f"{name}_{side}") for side, (x, y) in zip(("from", "to"), v) for name, c in (("lon", x), ("lat", y))]) for k, v in ends.items()]
+    return ellipses.select("ellipse_id", F.explode(F.array(*each)).alias("e")).select("ellipse_id", "e.*")
+
+
+#: Shares of points at which classes of footprints end, and of values that colours reach to.
+CLASS_SHARES, LIMIT_SHARES = (0.2, 0.4, 0.6, 0.8, 0.9, 0.95, 0.98, 1.0), (0.02, 0.98)
+
+
+def quantile_breaks(rows: DataFrame, value: str, shares: tuple[float, ...] = CLASS_SHARES, first: float | None = 0.0) -> DataFrame:
+    """One row (breaks): `first` and the quantiles (type 7) of value, each once. Equal values are counted first."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    found = F.percentile("v", F.array(*map(F.lit, shares)), F.col("n"))
+    start = F.array(*([F.lit(first)] if first is not None else [])).cast("array<double>")
+    return counts.agg(F.array_distinct(F.concat(start, found)).alias("breaks"))
+
+
+def classed(rows: DataFrame, value: str, breaks: DataFrame, name: str = "class") -> DataFrame:
+    """rows with the class (from 0) of value between breaks: closed on the left, the last one on both sides.
+
+    Values beyond the breaks are in the first or the last class; null has none.
+    """
+    joined = rows.withColumn("_breaks", breaks.scalar())
+    inside = F.size(F.filter("_breaks", lambda b: b <= F.col(value))) - 1
+    last = F.greatest(F.size("_breaks") - 2, F.lit(0))
+    return joined.withColumn(name, F.when(F.col(value).isNotNull(), F.least(F.greatest(inside, F.lit(0)), last))).drop("_breaks")
+
+
+def rank_classes(cells: DataFrame, rank: str = "concentration_rank", n: int = 10) -> DataFrame:
+    """cells with rank_class, the tenth (from 0) that a rank from 0 to 1 lies in."""
+    breaks = F.array(*[F.lit(k / n) for k in range(n + 1)])
+    return classed(cells, rank, cells.sparkSession.range(1).select(breaks.alias("breaks")), "rank_class")
+
+
+def robust_limits(rows: DataFrame, value: str) -> DataFrame:
+    """One row (low, high): the 2nd and 98th percentile (type 7), one apart at least where they are equal."""
+    found = quantile_breaks(rows, value, LIMIT_SHARES, None).select(F.element_at("breaks", 1).alias("low"), F.element_at("breaks", -1).alias("high"))
+    return found.select("low", F.when(F.col("high") - F.col("low") < 1e-12, F.col("low") + 1).otherwise(F.col("high")).alias("high"))
+
+
+#: Fixed value: how many times the hinges' distance whiskers reach beyond them at most.
+WHISKER = 1.5
+
+
+def boxes(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, n, low_whisker, lower_hinge, median, upper_hinge, high_whisker, n_outliers) after Tukey.
+
+    Hinges lie at depth (floor((n + 1) / 2) + 1) / 2 from both ends; whiskers end at the
+    last values within WHISKER times the hinges' distance. Values are found by their
+    ranks among distinct ones, so no group is gathered.
+    """
+    counts = totals_by_value(rows.where(F.col(group).isNotNull()), value, F.lit(1), keys=(group,)).withColumns({"_to": (F.col("before") + F.col("of")).cast("long"), "_from": F.col("before").cast("long")})
+    sizes = counts.groupBy(group).agg(F.max("_to").alias("n"))
+    depth, n = (F.floor((F.col("n") + 1) / 2) + 1) / 2, F.col("n")
+    wanted = {"lower_hinge": depth, "median": (n + 1) / 2, "upper_hinge": n + 1 - depth}
+    ranks = [F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, d in wanted.items() for r in (F.floor(d), F.ceil(d))]
+    asked = sizes.select(group, F.explode(F.array(*ranks)).alias("r")).select(F.col(group).alias("_g"), "r.*")
+    held = counts.join(asked, (F.col(group) == F.col("_g")) & (F.col("rank") > F.col("_from")) & (F.col("rank") <= F.col("_to")))
+    mid = held.groupBy(group).agg(*[F.avg(F.when(F.col("name") == k, F.col(value))).alias(k) for k in wanted])
+    reach = WHISKER * (F.col("upper_hinge") - F.col("lower_hinge"))
+    inside = (F.col(value) >= F.col("lower_hinge") - reach) & (F.col(value) <= F.col("upper_hinge") + reach)
+    ends = counts.join(mid, group).groupBy(group).agg(F.min(F.when(inside, F.col(value))).alias("low_whisker"), F.max(F.when(inside, F.col(value))).alias("high_whisker"), F.sum(F.when(inside, 0).otherwise(F.col("of"))).cast("long").alias("n_outliers"))
+    return sizes.join(mid, group).join(ends, group).select(group, "n", "low_whisker", "lower_hinge", "median", "upper_hinge", "high_whisker", "n_outliers")
+
+
+def outliers(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, value) of rows beyond their group's whiskers."""
+    box = boxes(rows, group, value).select(F.col(group).alias("_g"), "low_whisker", "high_whisker")
+    return rows.join(box, F.col(group) == F.col("_g")).where((F.col(value) < F.col("low_whisker")) | (F.col(value) > F.col("high_whisker"))).select(group, value)
+
+
+def tail_curves(fits: DataFrame, sample: DataFrame, n: int = 200, group: str = "dataset", value: str = "area_km2") -> DataFrame:
+    """(group, point, area_km2, ccdf): the fitted tail at n places, even in logarithms, from its cutoff to the largest value."""
+    top = sample.groupBy(group).agg(F.max(value).alias("_top"))
+    rows = fits.where("status = 'ok'").join(top, group).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    low = F.log("xmin_km2")
+    x = F.exp(low + (F.log("_top") - low) * F.col("point") / (n - 1))
+    return rows.select(group, "point", x.alias("area_km2"), (F.col("n_tail") / F.col("n") * F.pow(x / F.col("xmin_km2"), 1 - F.col("alpha"))).alias("ccdf"))

@@ -11,15 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from swelter.functions.ordered import totals_by_value
+from swelter.shared import written
+
 
 def cutoff_scan(sample: DataFrame, group: str = "dataset", value: str = "area_km2") -> DataFrame:
     """(group, xmin, n_tail, alpha, ks_distance) for each candidate cutoff of each sample.
 
-    Candidates are the distinct values but the largest; their tails are a theta join.
+    Candidates are the distinct values but the largest. All distances are made, so this
+    sets every cutoff against its tail; fitted() makes few of them.
     """
     rows = sample.select(group, F.col(value).cast("double").alias("v"))
-    top = W.partitionBy(group)
-    cuts = rows.distinct().withColumn("top", F.max("v").over(top)).where("v < top").select(group, F.col("v").alias("xmin"))
+    cuts = rows.distinct().withColumn("top", F.max("v").over(W.partitionBy(group))).where("v < top").select(group, F.col("v").alias("xmin"))
+    return _distances(cuts, rows, group)
+
+
+def _distances(cuts: DataFrame, rows: DataFrame, group: str) -> DataFrame:
+    """(group, xmin, n_tail, alpha, ks_distance) of cutoffs (group, xmin), each with its tail of rows (group, v)."""
     tails = cuts.join(rows, group).where("v >= xmin")
     own = W.partitionBy(group, "xmin")
     tails = tails.withColumns({"n_tail": F.count("*").over(own), "logs": F.sum(F.log(F.col("v") / F.col("xmin"))).over(own), "i": F.row_number().over(own.orderBy("v"))})
@@ -29,13 +37,45 @@ def cutoff_scan(sample: DataFrame, group: str = "dataset", value: str = "area_km
     return tails.withColumn("gap", gap).groupBy(group, "xmin").agg(F.max("n_tail").alias("n_tail"), (1 + F.max(a)).alias("alpha"), F.max("gap").alias("ks_distance"))
 
 
+#: Places of a sample at which every cutoff's distance is looked at.
+MARKS = 64
+
+
+def _sorted_out(sample: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, xmin): the cutoffs that may have the least distance.
+
+    One pass from the largest value down gives every tail's size and logarithms. A
+    cutoff's gaps at MARKS places bound its distance from below; the exact distance of
+    the one with the least bound is one that none of a larger bound can beat.
+    """
+    rows = sample.select(group, F.col(value).cast("double").alias("v"))
+    each, keys = F.struct(group, "v"), (group,)
+    logs = totals_by_value(rows, "v", F.log("v"), down=True, keys=keys).select(each.alias("_e"), (F.col("of") + F.col("before")).cast("double").alias("_logs"))
+    counts = totals_by_value(rows, "v", F.lit(1), keys=keys).select(group, "v", each.alias("_e"), F.col("before").cast("long").alias("_below"), (F.col("before") + F.col("of")).cast("long").alias("_upto"))
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"), F.max("v").alias("_top"), F.percentile_approx("v", [k / MARKS for k in range(1, MARKS + 1)], 10_000).alias("_marks"))
+    values = written(counts.join(logs, "_e").drop("_e").join(sizes, group), "tails")
+    n = (F.col("_n") - F.col("_below")).alias("n_tail")
+    cuts = values.where("v < _top").select(group, F.col("v").alias("xmin"), n, F.col("_below").alias("_first"), ((F.col("_n") - F.col("_below")) / (F.col("_logs") - (F.col("_n") - F.col("_below")) * F.log("v"))).alias("a"))
+    marks = values.where(F.array_contains("_marks", F.col("v"))).select(F.col(group).alias("_g"), F.col("v").alias("_m"), "_below", "_upto")
+    model = 1 - F.pow(F.col("_m") / F.col("xmin"), -F.col("a"))
+    gap = F.greatest((F.col("_upto") - F.col("_first")) / F.col("n_tail") - model, model - (F.col("_below") - F.col("_first")) / F.col("n_tail"))
+    bounds = cuts.join(marks, (F.col(group) == F.col("_g")) & (F.col("_m") >= F.col("xmin"))).groupBy(group, "xmin").agg(F.max(gap).alias("bound"))
+    bounds = written(bounds, "bounds")
+    one = bounds.groupBy(group).agg(F.min_by("xmin", F.struct("bound", "xmin")).alias("xmin"))
+    reached = _distances(one, rows, group).select(F.col(group).alias("_g"), F.col("ks_distance").alias("_d"))
+    return bounds.join(reached, F.col(group) == F.col("_g"), "left").where("_d is null or isnan(_d) or bound is null or isnan(bound) or bound <= _d + 1e-9").select(group, "xmin")
+
+
 def fitted(sample: DataFrame, group: str = "dataset", value: str = "area_km2") -> DataFrame:
     """One row per sample: the cutoff of least distance (the smallest on ties), its tail and likelihood.
 
-    Samples of fewer than two values that differ have no candidates and say so.
+    Distances are made exactly for the cutoffs that may have the least. Samples of fewer
+    than two values that differ have no candidates and say so.
     """
-    scan = cutoff_scan(sample, group, value)
-    best = scan.groupBy(group).agg(F.min(F.struct("ks_distance", "xmin", "n_tail", "alpha")).alias("b"), F.count("*").alias("n_candidates"))
+    rows = sample.select(group, F.col(value).cast("double").alias("v"))
+    scan = _distances(_sorted_out(sample, group, value), rows, group)
+    candidates = rows.groupBy(group).agg((F.count_distinct("v") - 1).alias("n_candidates"))
+    best = scan.groupBy(group).agg(F.min(F.struct("ks_distance", "xmin", "n_tail", "alpha")).alias("b")).join(candidates, group)
     sizes = sample.groupBy(group).agg(F.count("*").alias("n"))
     out = sizes.join(best, group, "left").select(group, "n", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), F.col("b.n_tail").alias("n_tail"), F.col("b.xmin").alias("xmin_km2"), F.col("b.alpha").alias("alpha"), F.col("b.ks_distance").alias("ks_distance"))
     # the logs of a tail sum to n / (alpha - 1)
