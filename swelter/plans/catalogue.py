@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -457,6 +458,110 @@ def intensity_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{k}', {v!r}D)" for k, v in got.items()) + " AS t(parameter, value)")
 
 
+#: The window with each pixel's nearest cell, and what a pixel's area is shared by.
+_QUADRATURE = _POINTS + f""",
+box AS (SELECT min(x_km) - {PIXEL} AS x0, max(x_km) + {PIXEL} AS x1, min(y_km) - {PIXEL} AS y0, max(y_km) + {PIXEL} AS y1 FROM cls),
+px AS (SELECT x0 + {PIXEL / 2} + {PIXEL} * unnest(range(CAST(ceil((x1 - x0 - {PIXEL / 2}) / {PIXEL}) AS BIGINT))) AS x_km FROM box),
+py AS (SELECT y0 + {PIXEL / 2} + {PIXEL} * unnest(range(CAST(ceil((y1 - y0 - {PIXEL / 2}) / {PIXEL}) AS BIGINT))) AS y_km FROM box),
+pixels_ AS (SELECT px.x_km, py.y_km, arg_min(c.cell_id, struct_pack(d := round(sqrt((px.x_km - c.x_km) ** 2 + (py.y_km - c.y_km) ** 2), 9), i := c.cell_id)) AS cell_id, min(sqrt((px.x_km - c.x_km) ** 2 + (py.y_km - c.y_km) ** 2)) AS d FROM px CROSS JOIN py CROSS JOIN cls c GROUP BY ALL),
+win AS MATERIALIZED (SELECT * FROM pixels_ p WHERE d <= {PIXEL + MARGIN} OR EXISTS (SELECT 1 FROM pts WHERE abs(pts.x_km - p.x_km) < {PIXEL / 2} AND abs(pts.y_km - p.y_km) < {PIXEL / 2})),
+tiles AS (SELECT floor(x_km / {PIXEL}) AS i, floor(y_km / {PIXEL}) AS j, count(*) AS m FROM pts GROUP BY ALL),
+quad AS MATERIALIZED (SELECT 0 AS n, {PIXEL * PIXEL} / (1 + coalesce(m, 0)) AS w, mean_tmax AS x, std_tmax AS y FROM win JOIN cls USING (cell_id) LEFT JOIN tiles ON i = floor(win.x_km / {PIXEL}) AND j = floor(win.y_km / {PIXEL})
+  UNION ALL SELECT 1, {PIXEL * PIXEL} / (1 + m), mean_tmax, std_tmax FROM pts JOIN near1 USING (ellipse_id) JOIN cls ON cls.cell_id = nearest_cell_id JOIN tiles ON i = floor(pts.x_km / {PIXEL}) AND j = floor(pts.y_km / {PIXEL}))"""
+
+
+def _newton(turns: int = 16) -> str:
+    """CTEs of Newton's steps for the weighted Poisson regression on two covariates, centred; fit_ has the coefficients."""
+    out = ["mid AS (SELECT avg(x) AS mx, avg(y) AS my FROM quad)", "z AS MATERIALIZED (SELECT n, w, x - mx AS x, y - my AS y FROM quad CROSS JOIN mid)", "b0 AS MATERIALIZED (SELECT ln(sum(n) / sum(w)) AS p, 0.0::DOUBLE AS q, 0.0::DOUBLE AS r FROM z)"]
+    for k in range(turns):
+        out += [
+            f"s{k} AS (SELECT any_value(p) AS p, any_value(q) AS q, any_value(r) AS r, sum(v) AS a, sum(v * x) AS b, sum(v * y) AS c, sum(v * x * x) AS d, sum(v * x * y) AS e, sum(v * y * y) AS f, sum(n - v) AS g, sum((n - v) * x) AS h, sum((n - v) * y) AS i FROM (SELECT z.*, p, q, r, w * exp(p + q * x + r * y) AS v FROM z CROSS JOIN b{k}))",
+            f"b{k + 1} AS MATERIALIZED (SELECT p + (g * (d * f - e * e) - b * (h * f - e * i) + c * (h * e - d * i)) / det AS p, q + (a * (h * f - e * i) - g * (b * f - e * c) + c * (b * i - h * c)) / det AS q, r + (a * (d * i - h * e) - b * (b * i - h * c) + g * (b * e - d * c)) / det AS r FROM (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det FROM s{k}))",
+        ]
+    return ", ".join([*out, f"fit_ AS MATERIALIZED (SELECT p - q * mx - r * my AS p, q, r FROM b{turns} CROSS JOIN mid)"])
+
+
+_TREND = f"{_QUADRATURE}, {_newton()}"
+CLIMATE = ("mean_tmax", "std_tmax")
+
+
+class Process:
+    """The point process of one run's centroids on two covariates of their cells, up to its fitted trend."""
+
+    def __init__(self, run: Run, covariates: tuple[str, ...] = CLIMATE):
+        self.cells, self.points = _cells(run), _centroids(run)
+        values = self.cells.select(F.col("cell_id").alias("nearest_cell_id"), "mean_tmax", "std_tmax")
+        self.pixels = written(point_process.window(self.cells, self.points, 4.5, 4.5, PIXEL, MARGIN).join(values, "nearest_cell_id"), "pixels")
+        self.held = written(point_process.nearest_cell(self.points, self.cells, PIXEL + MARGIN, "ellipse_id").join(values, "nearest_cell_id"), "held")
+        self.covariates = covariates
+
+    @cached_property
+    def trend(self) -> dict[str, float]:
+        return point_process.trend(written(point_process.quadrature(self.pixels, self.held, self.covariates, PIXEL), "quadrature"), self.covariates)
+
+    @cached_property
+    def intensity(self) -> DataFrame:
+        return written(point_process.intensities(self.cells, self.trend), "intensity")
+
+    def k(self, intensity: Column, reach: float, n: int) -> DataFrame:
+        rows = self.held.withColumn("intensity", intensity)
+        return point_process.inhomogeneous_k(rows, point_process.overlaps(self.pixels, PIXEL, reach), PIXEL, reach, n)
+
+
+@query(sql(_TREND, "SELECT unnest(['(Intercept)', 'mean_tmax', 'std_tmax']) AS parameter, unnest([round(p, 4), round(q, 5), round(r, 5)]) AS value FROM fit_"))
+def climate_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log-linear intensity on the cells' mean and deviation of tmax; the SQL makes Newton's steps."""
+    got = Process(Run(spark, sf_dir)).trend
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{k}', {round(v, 4 if k == '(Intercept)' else 5)!r}D)" for k, v in got.items()) + " AS t(parameter, value)")
+
+
+@query(sql(_TREND, "SELECT cell_id, round(ln(lam), 4) AS log_intensity, round(rank() OVER (ORDER BY lam) / count(*) OVER (), 6) AS concentration_rank FROM (SELECT cell_id, exp(p + q * mean_tmax + r * std_tmax) AS lam FROM cls CROSS JOIN fit_)"))
+def intensity_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted intensity at the cells, and the share of cells that are no more intense."""
+    found = Process(Run(spark, sf_dir)).intensity
+    return found.select("cell_id", F.round(F.log("mean_intensity_per_km2"), 4).alias("log_intensity"), r("concentration_rank"))
+
+
+@query(sql(_TREND, """, cum AS (SELECT cell_id, (sum(cos(radians(lat))) OVER (ORDER BY lam DESC, cell_id) - cos(radians(lat))) / sum(cos(radians(lat))) OVER () AS before FROM (SELECT *, p + q * mean_tmax + r * std_tmax AS lam FROM cls CROSS JOIN fit_)),
+own AS (SELECT before, ellipse_id IN (SELECT largest_ellipse_id FROM evd) AS daily, ellipse_id IN (SELECT largest_ellipse_id FROM ce) AS event FROM near1 JOIN cum ON cell_id = nearest_cell_id),
+grp AS (SELECT before, unnest(['all_centroids', 'daily_largest', 'event_largest']) AS "group", unnest([true, daily, event]) AS mine FROM own)
+SELECT f AS zone_area_fraction, "group", count(*) FILTER (mine) AS n_centroids_in_group, count(*) FILTER (mine AND before < f) AS n_in_zone, round(100 * count(*) FILTER (mine AND before < f) / nullif(count(*) FILTER (mine), 0), 6) AS percent_in_zone FROM grp CROSS JOIN (SELECT unnest([0.2, 0.5])::DOUBLE AS f) GROUP BY ALL""".lstrip()))
+def intensity_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How centroids gather where the fitted intensity is largest."""
+    process = Process(Run(spark, sf_dir))
+    return _rounded(point_process.zones(process.intensity, process.held, 1.0, 1.0))
+
+
+#: Distance and number of steps of the K function's query, and the intensity that weighs its pairs.
+K_REACH, K_STEPS, K_WEIGHTS = 200.0, 16, (-9.0, 0.05)
+
+
+@query(sql(_QUADRATURE, f""", idx AS (SELECT CAST(round((x_km - min(x_km) OVER ()) / {PIXEL}) AS BIGINT) AS px, CAST(round((y_km - min(y_km) OVER ()) / {PIXEL}) AS BIGINT) AS py FROM win),
+shift AS MATERIALIZED (SELECT b.px - a.px AS i, b.py - a.py AS j, count(*) * {PIXEL * PIXEL} AS area FROM idx a JOIN idx b ON abs(b.px - a.px) <= {int(K_REACH / PIXEL) + 1} AND abs(b.py - a.py) <= {int(K_REACH / PIXEL) + 1} GROUP BY ALL),
+weighed AS (SELECT ellipse_id, p.x_km, p.y_km, exp({K_WEIGHTS[0]} + {K_WEIGHTS[1]} * mean_tmax) AS lam FROM pts p JOIN near1 USING (ellipse_id) JOIN cls ON cls.cell_id = nearest_cell_id),
+both_ AS (SELECT sqrt((b.x_km - a.x_km) ** 2 + (b.y_km - a.y_km) ** 2) AS d, CAST(round((b.x_km - a.x_km) / {PIXEL}) AS BIGINT) AS i, CAST(round((b.y_km - a.y_km) / {PIXEL}) AS BIGINT) AS j, a.lam * b.lam AS ll FROM weighed a JOIN weighed b ON a.ellipse_id <> b.ellipse_id),
+parts_ AS (SELECT d, 1 / (ll * area) AS w FROM both_ JOIN shift USING (i, j) WHERE d <= {K_REACH})
+SELECT CAST(k * {K_REACH / K_STEPS} AS DOUBLE) AS r, round((SELECT coalesce(sum(w), 0) FROM parts_ WHERE d <= k * {K_REACH / K_STEPS}), 2) AS k FROM (SELECT unnest(range(1, {K_STEPS + 1})) AS k)""".lstrip()))
+def inhomogeneous_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The K function of the centroids, pairs weighed by an intensity that is given."""
+    found = Process(Run(spark, sf_dir)).k(F.exp(K_WEIGHTS[0] + K_WEIGHTS[1] * F.col("mean_tmax")), K_REACH, K_STEPS)
+    return found.select("r", F.round("k", 2).alias("k"))
+
+
+@query()
+def intensity_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trend and covariance of the centroids' process: variance and scale by minimum contrast of K."""
+    process = Process(Run(spark, sf_dir))
+    near = process.held.join(process.intensity.select(F.col("cell_id").alias("nearest_cell_id"), F.col("mean_intensity_per_km2").alias("intensity")), "nearest_cell_id")
+    extent = process.pixels.agg((F.max("x_km") - F.min("x_km")).alias("x"), (F.max("y_km") - F.min("y_km")).alias("y")).first()
+    reach = max(4 * PIXEL, min(extent.x, extent.y) / 4)
+    # one row a distance
+    k = point_process.inhomogeneous_k(near, point_process.overlaps(process.pixels, PIXEL, reach), PIXEL, reach).orderBy("r").collect()
+    variance, scale, contrast, converged = point_process.minimum_contrast(np.array([x.r for x in k]), np.array([x.k for x in k]))
+    found = process.trend | {"var_sigma2": variance, "scale_km": scale, "mincon_objective": contrast, "mincon_converged": float(converged)}
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{k}', {v!r}D)" for k, v in found.items()) + " AS t(parameter, value)")
+
+
 @query(sql(_COMPOUND, """, best AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY duration_days DESC, largest_ellipse_area_km2 DESC, start_date) AS place FROM ce),
 shown AS (SELECT evd.*, event_type, place, duration_days, [1, 1, 2, 6][event_type] AS n, sum(evd.n_clusters) OVER (PARTITION BY compound_event_id ORDER BY day_in_event ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS held FROM evd JOIN best USING (compound_event_id) WHERE place <= [1, 1, 2, 1][event_type]),
 start_ AS (SELECT compound_event_id, arg_min(day_in_event, struct_pack(a := -held, b := day_in_event)) AS s FROM shown WHERE event_type = 4 AND duration_days > 6 AND day_in_event <= duration_days - 5 GROUP BY 1)
@@ -502,6 +607,110 @@ def area_ccdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(figure_data.ccdf(_samples(Run(spark, sf_dir)).withColumn("area_km2", F.round("area_km2", 6))))
 
 
+_BOXED = _TYPED + """,
+measured AS (SELECT event_type, unnest(['area_million_km2', 'axis_ratio', 'azimuth']) AS measure, unnest([round(area_km2 / 1e6, 9), round(axis_ratio, 9), round(az, 9)]) AS v FROM typed),
+listed AS (SELECT event_type, measure, list_sort(list(v)) AS x, count(*) AS n, (floor((count(*) + 1) / 2) + 1) / 2 AS d FROM measured GROUP BY ALL),
+hinged AS (SELECT *, (x[CAST(floor(d) AS INTEGER)] + x[CAST(ceil(d) AS INTEGER)]) / 2 AS lo, (x[CAST(floor((n + 1) / 2) AS INTEGER)] + x[CAST(ceil((n + 1) / 2) AS INTEGER)]) / 2 AS mid, (x[CAST(floor(n + 1 - d) AS INTEGER)] + x[CAST(ceil(n + 1 - d) AS INTEGER)]) / 2 AS hi FROM listed),
+boxed AS (SELECT *, list_filter(x, lambda v: v >= lo - 1.5 * (hi - lo) AND v <= hi + 1.5 * (hi - lo)) AS inside FROM hinged)"""
+
+
+def _measured(run: Run) -> DataFrame:
+    """(key, v): the three measures of each ellipse, keyed by type and measure."""
+    values = {"area_million_km2": F.col("area_km2") / 1e6, "axis_ratio": F.col("axis_ratio"), "azimuth": F.col("azimuth_north_cw_deg")}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.round(v, 9).alias("v")) for k, v in values.items()]))
+    return written(_typed(run).select("event_type", each.alias("m")).select(F.concat_ws("|", "event_type", "m.measure").alias("key"), "m.v"), "measured")
+
+
+def _by_measure(df: DataFrame) -> DataFrame:
+    parts = F.split("key", r"\|")
+    return _rounded(df.select(parts[0].cast("int").alias("event_type"), parts[1].alias("measure"), *[c for c in df.columns if c != "key"]))
+
+
+@query(sql(_BOXED, "SELECT event_type, measure, n, round(list_min(inside), 6) AS low_whisker, round(lo, 6) AS lower_hinge, round(mid, 6) AS median, round(hi, 6) AS upper_hinge, round(list_max(inside), 6) AS high_whisker, n - len(inside) AS n_outliers FROM boxed"))
+def geometry_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tukey's boxes of areas, axis ratios and azimuths, by type."""
+    return _by_measure(figure_data.boxes(_measured(Run(spark, sf_dir)), "key", "v"))
+
+
+@query(sql(_BOXED, "SELECT event_type, measure, round(v, 6) AS v FROM (SELECT event_type, measure, unnest(x) AS v, lo, hi FROM boxed) WHERE v < lo - 1.5 * (hi - lo) OR v > hi + 1.5 * (hi - lo)"))
+def geometry_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values beyond the boxes' whiskers."""
+    return _by_measure(figure_data.outliers(_measured(Run(spark, sf_dir)), "key", "v"))
+
+
+@query(sql(_TYPED, """, limits AS (SELECT min(round(area_km2, 6)) AS a, max(round(area_km2, 6)) AS b FROM typed)
+SELECT event_type, CAST(CASE WHEN round(area_km2, 6) = b THEN 11 ELSE floor((round(area_km2, 6) - a) / ((b - a) / 12)) END AS INTEGER) AS bin, count(*) AS n FROM typed CROSS JOIN limits GROUP BY ALL""".lstrip()))
+def area_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of ellipses in 12 bins from the least to the largest, by type."""
+    rows = written(_typed(Run(spark, sf_dir)).select("event_type", F.round("area_km2", 6).alias("area_km2")), "areas")
+    span = rows.agg(F.min("area_km2").alias("a"), F.max("area_km2").alias("b")).first()
+    if span.a is None:
+        return figure_data.histogram(rows, "area_km2", 0.0, 1.0, 12, "event_type")
+    low, high = (span.a, span.b) if span.b > span.a else (span.a - 1e5, span.b + 1e5)
+    return figure_data.histogram(rows, "area_km2", low, high, 12, "event_type")
+
+
+@query(sql(_TYPED, "SELECT event_type, CAST(CASE WHEN round(az, 6) = 90 THEN 11 ELSE floor((round(az, 6) + 90) / 15) END AS INTEGER) AS bin, count(*) AS n FROM typed GROUP BY ALL"))
+def azimuth_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Azimuths of ellipses in 12 bins, by type."""
+    rows = _typed(Run(spark, sf_dir)).withColumn("azimuth", F.round("azimuth_north_cw_deg", 6))
+    return figure_data.histogram(rows, "azimuth", -90.0, 90.0, 12, "event_type")
+
+
+@query(sql(_COMPOUND, f""", places AS (SELECT event_type, (axial + 90) / (180 / 599.0) AS u FROM ce WHERE axial IS NOT NULL),
+wide AS (SELECT event_type, stddev_samp(axial) * pow(count(*), -0.2) AS h, count(*) AS n FROM ce WHERE axial IS NOT NULL GROUP BY 1),
+bins AS (SELECT event_type, k, sum(w) AS w FROM (SELECT event_type, floor(u) AS k, 1 - (u - floor(u)) AS w FROM places UNION ALL SELECT event_type, floor(u) + 1, u - floor(u) FROM places) GROUP BY ALL)
+SELECT event_type, round(-90 + p * (180 / 599.0), 6) AS "at", round(sum(w * exp(-0.5 * pow((p - k) * (180 / 599.0) / h, 2)) / (h * n * sqrt(2 * pi()))), 6) AS density FROM bins JOIN wide USING (event_type) CROSS JOIN range(600) r(p) WHERE h > 0 GROUP BY event_type, p""".lstrip()))
+def orientation_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kernel densities of events' mean azimuths, by type."""
+    return _rounded(figure_data.density(Run(spark, sf_dir).compound, "event_type", "axial_mean_azimuth_deg", -90.0, 90.0))
+
+
+@query(sql(_ELLIPSES, """, turned AS (SELECT cluster_id, CAST(k AS INTEGER) AS point, major / 2 * cos(2 * pi() * k / 239) AS u, minor / 2 * sin(2 * pi() * k / 239) AS v, cos(radians(o)) AS e, sin(radians(o)) AS n, wx, wy FROM ell CROSS JOIN range(240) r(k))
+SELECT cluster_id AS ellipse_id, point, round(wx + (u * e - v * n) / (111.320 * cos(radians(wy))), 6) AS lon, round(wy + (u * n + v * e) / 110.574, 6) AS lat FROM turned""".lstrip()))
+def ellipse_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """240 points around each ellipse, in degrees."""
+    return _rounded(figure_data.outlines(Run(spark, sf_dir).ellipses))
+
+
+@query(sql(_ELLIPSES, """, half AS (SELECT cluster_id, unnest(['major', 'minor']) AS axis, unnest([major / 2 * cos(radians(o)), -minor / 2 * sin(radians(o))]) AS x, unnest([major / 2 * sin(radians(o)), minor / 2 * cos(radians(o))]) AS y, wx, wy FROM ell)
+SELECT cluster_id AS ellipse_id, axis, round(wx - x / (111.320 * cos(radians(wy))), 6) AS lon_from, round(wy - y / 110.574, 6) AS lat_from, round(wx + x / (111.320 * cos(radians(wy))), 6) AS lon_to, round(wy + y / 110.574, 6) AS lat_to FROM half""".lstrip()))
+def ellipse_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each ellipse's axes end, in degrees."""
+    return _rounded(figure_data.axes(Run(spark, sf_dir).ellipses))
+
+
+@query(sql(_ELLIPSES, """, fine AS (SELECT x / 4.0 AS lon, y / 4.0 AS lat FROM range(0, 37) a(x) CROSS JOIN range(0, 37) b(y)),
+hit AS (SELECT lon, lat, (lon - wx) * 111.320 * cos(radians(wy)) AS dx, (lat - wy) * 110.574 AS dy, cos(radians(o)) AS e, sin(radians(o)) AS n, major / 2 AS a, minor / 2 AS b FROM fine CROSS JOIN ell),
+counted AS MATERIALIZED (SELECT lon::DOUBLE AS lon, lat::DOUBLE AS lat, count(*) FILTER (pow((dx * e + dy * n) / a, 2) + pow((dy * e - dx * n) / b, 2) <= 1 + 1e-12) AS n_ellipses FROM hit GROUP BY ALL),
+ends AS (SELECT list_sort(list_distinct(list_concat([0.0::DOUBLE], quantile_cont(n_ellipses::DOUBLE, [0.2, 0.4, 0.6, 0.8, 0.9, 0.95, 0.98, 1.0])))) AS b FROM counted)
+SELECT lon, lat, n_ellipses, CAST(greatest(0, least(len(b) - 2, len(list_filter(b, lambda x: x <= n_ellipses)) - 1)) AS INTEGER) AS class FROM counted CROSS JOIN ends""".lstrip()))
+def footprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The footprints in classes that end at their quantiles."""
+    quarter = lambda c: (F.col(c) / 4.0).cast("double")
+    points = spark.range(37).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(36)))).select(quarter("id").alias("lon"), quarter("j").alias("lat"))
+    counts = written(figure_data.footprints(Run(spark, sf_dir).ellipses, points, 0.25), "footprints")
+    return figure_data.classed(counts, "n_ellipses", figure_data.quantile_breaks(counts, "n_ellipses"))
+
+
+@query(sql(_POINTS, "SELECT cell_id, CAST(least(9, len(list_filter(range(1, 10), lambda k: k / 10 <= x))) AS INTEGER) AS rank_class FROM (SELECT cell_id, (rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2) / count(*) OVER () AS x FROM (SELECT cell_id, round(mean_tmax, 10) AS v FROM cls))"))
+def rank_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tenths of the cells' ranks by mean tmax."""
+    cells = _cells(Run(spark, sf_dir)).withColumn("mean_intensity_per_km2", F.col("mean_tmax"))
+    return figure_data.rank_classes(point_process.concentration_ranks(cells)).select("cell_id", "rank_class")
+
+
+@query(sql(_SCAN, """, best AS (SELECT dataset, arg_min(struct_pack(x := xmin, n := n_tail, a := alpha), struct_pack(d := d, x := xmin)) AS b FROM scan GROUP BY 1),
+tops AS (SELECT dataset, count(*) AS n, max(round(v, 6)) AS top FROM areas GROUP BY 1),
+curve AS (SELECT dataset, CAST(k AS INTEGER) AS point, exp(ln(b.x) + (ln(top) - ln(b.x)) * k / 199) AS x, b, n FROM best JOIN tops USING (dataset) CROSS JOIN range(200) r(k))
+SELECT dataset, point, round(x, 3) AS area_km2, round(b.n / n * pow(x / b.x, 1 - b.a), 6) AS ccdf FROM curve""".lstrip()))
+def power_law_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted tails as curves of 200 points."""
+    areas = written(_samples(Run(spark, sf_dir)).withColumn("area_km2", F.round("area_km2", 6)), "areas")
+    curves = figure_data.tail_curves(written(power_law.fitted(areas), "fits"), areas)
+    return curves.select("dataset", "point", F.round("area_km2", 3).alias("area_km2"), r("ccdf"))
+
+
 @query(sql(_COMPOUND, """, top_member AS (SELECT cluster_id, arg_min(struct_pack(cell_id := cell_id, local_event_id := local_event_id), struct_pack(a := -tmax_c, b := cell_id)) AS m, max(tmax_c) AS hottest FROM members WHERE cluster_id IS NOT NULL GROUP BY 1)
 SELECT ce.compound_event_id, ce.start_date, ce.end_date, event_type, daily_cluster_counts, largest_ellipse_id, largest_ellipse_date, d.n_heatwave_cells, d.n_exceeding_cells, CAST(ell.n_member_cells AS BIGINT) AS n_member_cells, m.cell_id AS hottest_cell_id, round(hottest, 6) AS hottest_tmax_c, round(threshold, 6) AS threshold_tmax_c, m.local_event_id, i.start_date AS local_start_date, i.end_date AS local_end_date
 FROM ce JOIN daily d ON d.date = largest_ellipse_date JOIN ell ON ell.cluster_id = largest_ellipse_id JOIN top_member t ON t.cluster_id = largest_ellipse_id JOIN thr ON thr.cell_id = m.cell_id JOIN ids i ON i.local_event_id = m.local_event_id""".lstrip()))
