@@ -14,8 +14,9 @@ the least that they can't be near it (edit distances keep the triangle inequalit
 more differ, the crowd shares a passage of unlike texts, or drifts: it is then dealt to
 blocks of texts of about one length, and a block's words are counted against another's by
 one product of matrices. Similar texts have at least so many words in common as are
-intact, so this shows most pairs unlike without looking at them singly, and the others
-are candidates. No bucket is cut, no text left out and no pair of a bucket lost.
+intact, so this shows most pairs unlike without looking at them singly; of the others
+those are aligned that aren't connected yet, so a block makes no more links than it has
+texts. No bucket is cut, no text left out and no pair of a bucket lost.
 
 Candidates are similar if their words align with a share of at least 0.8 of the longer
 text's words intact (1 - edit distance / length). Classes are the connected components.
@@ -343,11 +344,11 @@ def links(table: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         unproven = ~F.col("similar") | (F.col("dx") - F.col("d") <= bound * longer + 1e-9)
         fits = (F.abs(F.col("n") - F.col("nx")) <= bound * longer + 1e-9) & (F.col("x") != F.col("id"))
         more = known.join(few.withColumnRenamed("h", "_h"), (F.col("h") == F.col("_h")) & fits & unproven).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
+        more = written(more.distinct().join(pairs, ["a", "b"], "left_anti"), "candidates")
+        second = compared(more, words, similarity)
         mixed = known.join(counts.where(F.col("unlike") > SMALL).select("h"), "h").select("h", "id", "n", "similar")
-        more = more.unionByName(_by_words(mixed, words, similarity)).distinct()
-        more = written(more.join(pairs, ["a", "b"], "left_anti"), "candidates")
-        second = written(compared(more, words, similarity), "links")
-        return written(first.unionByName(second).where("similar").select("na", "nb").distinct(), "links", keep=True)
+        found = first.unionByName(second).where("similar").select("na", "nb").unionByName(_by_words(mixed, words, similarity))
+        return written(found.distinct(), "links", keep=True)
 
 
 #: Numbers of a block's matrix, texts of a block at most and at least, and most columns.
@@ -368,11 +369,12 @@ def counted(words: list[bytes], bins: int) -> np.ndarray:
 
 
 def _by_words(crowds: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of a crowd's texts, not both like its least, that have the words for being similar.
+    """(na, nb): nodes of similar texts of a crowd, enough to connect all that are similar.
 
-    crowds: (h, id, n, similar), the texts of crowds but for their leasts, n words long.
-    Texts are dealt by the class of their length (similar ones are of the same class or
-    next to it) and, where a class has more texts than a block, by a hash.
+    crowds: (h, id, n, similar), the texts of crowds but for their leasts, n words long;
+    those that are similar to their least hang together already. Texts are dealt by the
+    class of their length (similar ones are of the same class or next to it) and, where
+    a class has more texts than a block, by a hash.
     """
     step = F.lit(math.log(1 / similarity))
     crowds = crowds.withColumn("cls", F.floor(F.log("n") / step).cast("int"))
@@ -386,25 +388,38 @@ def _by_words(crowds: DataFrame, words: DataFrame, similarity: float) -> DataFra
     nth = lambda n: F.pmod(F.xxhash64("id", "h"), F.col(n)).cast("int")
     asking = own.where("not similar").join(other.where("_all > 0"), beside).select("h", "id", "n", "similar", F.lit(True).alias("asks"), F.col("cls").alias("c1"), nth("unlike").alias("b1"), F.col("_cls").alias("c2"), spread("_all").alias("b2"))
     asked = own.join(other.where("_unlike > 0"), beside).select("h", "id", "n", "similar", F.lit(False).alias("asks"), F.col("_cls").alias("c1"), spread("_unlike").alias("b1"), F.col("cls").alias("c2"), nth("all").alias("b2"))
-    rows = asking.unionByName(asked).join(words.select("id", "words"), "id")
+    rows = asking.unionByName(asked).join(words.select("id", "node", "words"), "id")
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         x, y = block[block["asks"]], block[~block["asks"]]
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        nx, ny = x["n"].to_numpy()[:, None], y["n"].to_numpy()[None, :]
-        bins = int(min(MOST_BINS, 2 ** math.ceil(math.log2(16 * max(nx.max(), ny.max())))))
-        common = counted(x["words"].tolist(), bins) @ counted(y["words"].tolist(), bins).T
-        longer = np.maximum(nx, ny)
-        need = longer - ((1 - similarity) * longer + 1e-9).astype(np.int64)
-        ix, iy = x["id"].to_numpy()[:, None], y["id"].to_numpy()[None, :]
-        # two that are both unlike meet twice
-        once = y["similar"].to_numpy()[None, :] | (ix < iy)
-        i, j = np.nonzero((common >= need) & (np.minimum(nx, ny) >= need) & (ix != iy) & once)
-        a, b = ix[i, 0], iy[0, j]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return rows.groupBy("h", "c1", "b1", "c2", "b2").applyInPandas(compare, "a long, b long")
+        out = []
+        if len(x) and len(y):
+            nx, ny = x["n"].to_numpy()[:, None], y["n"].to_numpy()[None, :]
+            bins = int(min(MOST_BINS, 2 ** math.ceil(math.log2(16 * max(nx.max(), ny.max())))))
+            common = counted(x["words"].tolist(), bins) @ counted(y["words"].tolist(), bins).T
+            longer = np.maximum(nx, ny)
+            most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+            ix, iy = x["id"].to_numpy()[:, None], y["id"].to_numpy()[None, :]
+            like = y["similar"].to_numpy()
+            # two that are both unlike the least meet twice
+            able = (common >= longer - most) & (np.minimum(nx, ny) >= longer - most) & (ix != iy) & (like[None, :] | (ix < iy))
+            # texts with one label are connected; those like the least are from the start
+            ids, at = np.unique(np.r_[ix[:, 0], iy[0]], return_inverse=True)
+            label, px, py = np.arange(len(ids)), at[: len(x)], at[len(x) :]
+            if like.any():
+                label[py[like]] = label[py[like][0]]
+            wx, wy, ax, ay = x["words"].tolist(), y["words"].tolist(), x["node"].tolist(), y["node"].tolist()
+            for i in np.flatnonzero(able.any(axis=1)):
+                left, own = np.flatnonzero(able[i]), unpacked(wx[i])
+                left = left[np.argsort(-common[i, left], kind="stable")]
+                while len(left := left[label[py[left]] != label[px[i]]]):
+                    j, left = left[0], left[1:]
+                    if distance(own, unpacked(wy[j]), int(most[i, j])) <= most[i, j]:
+                        label[label == label[py[j]]] = label[px[i]]
+                        out.append((ax[i], ay[j]))
+        return pd.DataFrame(out, columns=["na", "nb"], dtype=object)
+
+    return rows.groupBy("h", "c1", "b1", "c2", "b2").applyInPandas(compare, "na binary, nb binary")
 
 
 def components(edges: DataFrame, a: str = "na", b: str = "nb") -> DataFrame:
