@@ -49,8 +49,18 @@ def fitted(cells: DataFrame, scale: float = 1.25) -> DataFrame:
     }).drop("sxx", "syy", "sxy")
 
 
-def checked(cells: DataFrame) -> DataFrame:
-    """cells, or an error if a weight is not above zero."""
-    if cells.where("cluster_id is not null and not tmax_c > 0").limit(1).count():
+def checked(cells: DataFrame, grid: DataFrame | None = None) -> DataFrame:
+    """cells, or an error if a weight is not above zero, or a cell is none of the grid's at its place and date.
+
+    grid: (date, cell_id, lon, lat), what the clusters were derived from.
+    """
+    members = cells.where("cluster_id is not null")
+    if grid is not None:
+        own = grid.select("date", "cell_id", F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
+        there = members.select("date", "cell_id", "lon", "lat").join(own, ["date", "cell_id"], "left")
+        near = (F.abs(F.col("lon") - F.col("_lon")) < 1e-8) & (F.abs(F.col("lat") - F.col("_lat")) < 1e-8)
+        if there.where(~F.coalesce(near, F.lit(False))).limit(1).count():
+            raise ValueError("the clusters come from another grid than these temperatures")
+    if members.where("not tmax_c > 0").limit(1).count():
         raise ValueError("centroid weights must be above zero; shift the temperatures")
     return cells

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -39,6 +40,35 @@ def representative_days(events: DataFrame, days: DataFrame) -> DataFrame:
     return rows.where((F.col("day_in_event") >= first) & (F.col("day_in_event") < first + n)).select("event_type", "place", "compound_event_id", "date")
 
 
+def chosen_days(events: DataFrame, days: DataFrame, chosen: dict[int, list[dt.date]]) -> DataFrame:
+    """representative_days() with the given first days in place of those found, for the types that have any.
+
+    A date must lie in an event of its type, two dates in two events, and a type 3 event
+    must have a day after it; else it is an error.
+    """
+    rows = [(k, i, d) for k, dates in chosen.items() for i, d in enumerate(dates, 1)]
+    found = representative_days(events, days)
+    if not rows:
+        return found
+    asked = events.sparkSession.createDataFrame(rows, "asked_type int, place int, first date")
+    inside = (F.col("first") >= F.col("start_date")) & (F.col("first") <= F.col("end_date"))
+    # as many rows as dates were given
+    held = {(r.asked_type, r.place): r for r in asked.join(events.select("compound_event_id", "event_type", "start_date", "end_date"), inside, "left").collect()}
+    for k, i, d in rows:
+        r = held[k, i]
+        if r.event_type != k:
+            raise ValueError(f"{d} is no day of a type {k} event, so it can't represent one")
+        if any(held[x].compound_event_id == r.compound_event_id for x in held if x[0] == k and x[1] < i):
+            raise ValueError(f"the days that represent type {k} must come from several events")
+        if k == 3 and d == r.end_date:
+            raise ValueError(f"{d} is the last day of its type 3 event; two days are shown")
+    own = asked.join(events.select("compound_event_id", "event_type"), F.col("asked_type") == F.col("event_type")).join(days.select("compound_event_id", "date"), "compound_event_id")
+    named = own.join(events.sparkSession.createDataFrame([(*x, r.compound_event_id) for x, r in held.items()], "asked_type int, place int, compound_event_id int"), ["asked_type", "place", "compound_event_id"]).where("date >= first")
+    nth = F.row_number().over(W.partitionBy("event_type", "place").orderBy("date"))
+    shown = named.withColumn("_nth", nth).where(F.col("_nth") <= _by_type(SHOWN_DAYS)).select("event_type", "place", "compound_event_id", "date")
+    return found.where(~F.col("event_type").isin(list(chosen))).unionByName(shown)
+
+
 def footprints(ellipses: DataFrame, points: DataFrame, step: float) -> DataFrame:
     """points (lon, lat) with n_ellipses, the ellipses that cover them; points on a grid of that step.
 

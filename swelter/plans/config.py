@@ -68,7 +68,7 @@ def _months(v) -> str | None:
     if not isinstance(v, list) or not v or any(isinstance(m, bool) or m not in range(1, 13) for m in v):
         return "must list months from 1 to 12"
     if len(set(v)) < len(v):
-        return "must list distinct months"
+        return "names a month twice"
     try:
         season_start(tuple(v))
     except ValueError:
@@ -77,7 +77,7 @@ def _months(v) -> str | None:
 
 
 def _covariates(v) -> str | None:
-    return None if isinstance(v, list) and v and len(set(v)) == len(v) and set(v) <= set(COVARIATES) else f"must list distinct names from {', '.join(COVARIATES)}"
+    return None if isinstance(v, list) and v and len(set(v)) == len(v) and set(v) <= set(COVARIATES) else f"takes {', '.join(COVARIATES)}, each once at most and one at least"
 
 
 def _date(v) -> str | None:
@@ -160,10 +160,10 @@ def read_config(config: str | dict | None = None, input_required: bool = True) -
         out["period"][key] = as_date(out["period"][key])
     first, last = out["period"]["start_date"], out["period"]["end_date"]
     if first and last and first > last:
-        raise ValueError("period: start_date must be on or before end_date; before is not after")
+        raise ValueError("period: end_date lies before start_date")
     named = [v for v in (out["input"][k] for k in ("longitude", "latitude", "time")) if v != "auto"]
     if len(set(named)) < len(named):
-        raise ValueError("input: longitude, latitude and time must be distinct dimensions")
+        raise ValueError("input: one dimension can't serve twice as longitude, latitude or time")
     _check_input(out, input_required)
     if os.path.isfile(out["output"]["directory"]):
         raise ValueError("output: directory is an existing file")
@@ -204,8 +204,12 @@ def check_area(area) -> list[float]:
     return area
 
 
-def template() -> str:
-    """The defaults as YAML, to edit."""
+def as_yaml(settings: dict) -> str:
     import yaml
 
-    return yaml.safe_dump(DEFAULTS, sort_keys=False)
+    return yaml.safe_dump(settings, sort_keys=False)
+
+
+def template() -> str:
+    """The defaults as YAML, to edit."""
+    return as_yaml(DEFAULTS)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import glob
 import os
 from dataclasses import dataclass, field
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swelter.operators import clustering, ellipses, events, figure_data, heatwaves, point_process, power_law, regional
-from swelter.plans.config import read_config
+from swelter.plans.config import as_date, as_yaml, read_config
 from swelter.shared import delete, owned, written
 from swelter.sinks.publish import publish
 from swelter.sources import grid, netcdf
@@ -63,7 +64,7 @@ class Study:
 
     @cached_property
     def ellipses(self) -> DataFrame:
-        members = ellipses.checked(clustering.clustered(self.labels)[1])
+        members = ellipses.checked(clustering.clustered(self.labels)[1], self.grid)
         return written(ellipses.fitted(members, self.config["ellipses"]["scale_factor"]), "ellipses")
 
     @cached_property
@@ -74,6 +75,12 @@ class Study:
     def compound(self) -> DataFrame:
         return written(events.classified(self.event_days, self.ellipses, self.settings), "events")
 
+    @cached_property
+    def chosen(self) -> dict[int, list[dt.date]]:
+        """The days that the settings name to represent a type."""
+        named = {int(k[-1]): v if isinstance(v, list) else [v] for k, v in self.config["figures"]["representative_events"].items() if v is not None}
+        return {k: [as_date(d) for d in v] for k, v in named.items()}
+
     def partial_tables(self) -> dict[str, DataFrame]:
         clusters, members = clustering.clustered(self.labels)
         daily = self.settings.join(self.daily_clusters, "date")
@@ -85,11 +92,12 @@ class Study:
 
     def tables(self) -> dict[str, DataFrame]:
         start = events.season_start(tuple(self.config["period"]["warm_season_months"]))
+        shown = figure_data.chosen_days(self.compound, self.event_days, self.chosen)  # refused before models are fitted
         series = written(events.annual_duration(self.compound, start), "series")
         named = self.event_days.select("date", "compound_event_id").join(self.compound.select("compound_event_id", "event_type"), "compound_event_id")
         out = (
             self.ellipses.join(named, "date"), self.compound, self.event_days, events.type_summary(self.compound), events.annual_counts(self.compound, self.grid.select("date").distinct(), start),
-            series, events.duration_trends(series), self.power_law(), figure_data.representative_days(self.compound, self.event_days),
+            series, events.duration_trends(series), self.power_law(), shown,
         )
         return self.partial_tables() | dict(zip(WHOLE[len(PARTIAL) :], out))
 
@@ -158,9 +166,35 @@ def read_input(spark: SparkSession, config: dict) -> DataFrame:
     return netcdf.read_tmax(spark, paths[0], i["variable"], i["longitude"], i["latitude"], i["time"], i["units"], months, start, end)
 
 
-def report(tables: dict[str, DataFrame], notes: list[str]) -> str:
-    rows = [f"{name}: {df.count():,} rows" for name, df in tables.items()]
-    return "\n".join(["Compound heatwave study", "", *rows, *([""] + notes if notes else [])]) + "\n"
+def report(study: Study, tables: dict[str, DataFrame], notes: list[str], started: dt.datetime) -> str:
+    """The text beside the tables: input, settings, counts, models, tables, warnings and every setting."""
+    c, degrees = study.config, lambda x, signs: f"{abs(x):g} {signs[x < 0]}"
+    g = study.grid.agg(F.count_distinct("cell_id").alias("cells"), F.count_distinct("date").alias("dates"), *[f(x).alias(f"{n}_{x}") for x in ("lon", "lat", "date") for f, n in ((F.min, "first"), (F.max, "last"))]).first()
+    h, area = c["heatwaves"], f"{degrees(g.first_lon, 'EW')} to {degrees(g.last_lon, 'EW')}, {degrees(g.first_lat, 'NS')} to {degrees(g.last_lat, 'NS')}"
+    lines = ["Compound heatwave study", f"Started {started:%Y-%m-%d %H:%M:%S}, took {(dt.datetime.now() - started).total_seconds():.0f} seconds."]
+    lines += ["", "INPUT", f"  {g.cells:,} cells, a step of {study.step:g} degrees, {area}", f"  {g.dates:,} dates from {g.first_date} to {g.last_date}, months {' '.join(map(str, c['period']['warm_season_months']))}"]
+    lines += [
+        "", "MAIN SETTINGS",
+        f"  Local heatwaves: {h['min_duration_days']} days or more on end, {h['min_exceeding_days']} of them at or above the cell's percentile {h['threshold_percentile']:g}",
+        f"  Regional days: more cells than percentile {c['regional_days']['percentile']:g} of the daily counts",
+        f"  Clusters: radius {', '.join(map(str, c['clustering']['eps_values']))}; members {', '.join(map(str, c['clustering']['min_samples_values']))}",
+        f"  Ellipses: scale {c['ellipses']['scale_factor']:g}; refits of the power law: {c['power_law']['bootstrap_repetitions']:,}",
+    ]
+    if study.chosen:
+        lines.append("  Days that were chosen: " + "; ".join(f"type {k}: {', '.join(map(str, v))}" for k, v in sorted(study.chosen.items())))
+    counts = {name: df.count() for name, df in tables.items()}
+    lines += ["", "RESULTS", f"  Local heatwaves: {counts['heatwave_events']:,}", f"  Selected days: {counts['regional_days']:,}", f"  Clusters: {counts['clusters']:,}"]
+    if "compound_events" in tables:
+        kinds = {r.event_type: r["count"] for r in tables["compound_events"].groupBy("event_type").count().collect()}
+        lines.append(f"  Compound events: {counts['compound_events']:,}; " + ", ".join(f"{kinds.get(k, 0)} of type {k}" for k in events.TYPES))
+        lines += ["", "MODELS"]
+        for r in sorted(tables["power_law_fits"].collect(), key=lambda r: r.dataset):
+            p = "undefined" if r.p_value is None else f"{r.p_value:.3f}"
+            lines.append(f"  {r.dataset}: alpha {r.alpha:.3f} above {r.xmin_km2:,.0f} km2, {r.n_tail} of {r.n}, p {p}" if r.status == "ok" else f"  {r.dataset}: no fit ({r.status})")
+        if "intensity_parameters" in tables:
+            lines += [f"  Intensity, {r.parameter}: {r.value:.6g}" for r in tables["intensity_parameters"].collect()]
+    lines += ["", "TABLES", *[f"  {name}: {n:,} rows" for name, n in counts.items()], "", "WARNINGS", *(f"  {n}" for n in notes or ["none"])]
+    return "\n".join([*lines, "", "SETTINGS (YAML)", *("  " + x for x in as_yaml({k: v for k, v in c.items() if k != "output"}).splitlines())]) + "\n"
 
 
 def run(spark: SparkSession, config: str | dict | None = None, cells: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -170,7 +204,7 @@ def run(spark: SparkSession, config: str | dict | None = None, cells: DataFrame
     If no selected day forms a cluster, the tables up to there are published and an error
     is raised. A model that can't be fitted leaves its tables out and a note in the report.
     """
-    settings = read_config(config, cells is None)
+    started, settings = dt.datetime.now(), read_config(config, cells is None)
     p, out = settings["period"], settings["output"]["directory"]
     folder = out if "://" in out else os.path.abspath(out)
     with owned() as mine:
@@ -185,14 +219,14 @@ def run(spark: SparkSession, config: str | dict | None = None, cells: DataFrame
             managed = (*WHOLE, *MODELS, REPORT)
             if not study.daily_clusters.where("n_clusters > 0").limit(1).count():
                 tables = study.partial_tables()
-                publish(spark, tables, {REPORT: report(tables, ["Incomplete: no selected day formed a cluster."])}, folder, managed)
+                publish(spark, tables, {REPORT: report(study, tables, ["Incomplete: no selected day formed a cluster."], started)}, folder, managed)
                 raise ValueError(f"no selected day formed a cluster; the tables up to there are in {out}")
             tables = study.tables()
             try:
                 tables |= study.intensity()
             except ValueError as e:
                 study.notes.append(f"The intensity could not be fitted: {e}")
-            publish(spark, tables, {REPORT: report(tables, study.notes)}, folder, managed)
+            publish(spark, tables, {REPORT: report(study, tables, study.notes, started)}, folder, managed)
         finally:
             delete(spark, mine)
     return {name: spark.read.parquet(f"{folder}/{name}") for name in tables}

@@ -9,8 +9,9 @@ from __future__ import annotations
 import datetime as dt
 import math
 import re
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -104,12 +105,26 @@ def cell_averages(points: DataFrame, size: float, step: float, value: str = "tma
         raise ValueError("the cell size must be a whole multiple of the grid's step")
     k = lambda c: F.floor(F.col(c) / size + 1e-6)
     rows = points.withColumns({"_i": k("lon"), "_j": k("lat")})
-    whole = rows.groupBy("_i", "_j").agg(F.count_distinct("lon").alias("x"), F.count_distinct("lat").alias("y")).where((F.col("x") == per) & (F.col("y") == per)).select("_i", "_j")
+    # a row for each place and not for each reading tells which cells are whole
+    places = rows.select("_i", "_j", "lon", "lat").distinct()
+    whole = places.groupBy("_i", "_j").agg(F.count_distinct("lon").alias("x"), F.count_distinct("lat").alias("y")).where((F.col("x") == per) & (F.col("y") == per)).select("_i", "_j")
     out = rows.join(whole, ["_i", "_j"], "left_semi").groupBy("date", "_i", "_j").agg(F.avg(value).alias("tmax"))
     centre = lambda c: (F.col(c) + 0.5) * size
     return out.select("date", centre("_i").alias("lon"), centre("_j").alias("lat"), "tmax")
 
 
+def from_array(spark: SparkSession, values: Sequence, dates: Sequence[dt.date], lons: Sequence[float], lats: Sequence[float], units: str = "degC", **period) -> DataFrame:
+    """A grid out of an array in memory, [date][lon][lat]; NaN and None are missing. For small inputs: it goes through the driver."""
+    if len(values) != len(dates) or any(len(day) != len(lons) or any(len(row) != len(lats) for row in day) for day in values):
+        raise ValueError(f"the array must be {len(dates)} dates by {len(lons)} longitudes by {len(lats)} latitudes")
+    if len(set(dates)) != len(dates):
+        raise ValueError("dates must not repeat")
+    grid_step(sorted(lons), "longitude")
+    grid_step(sorted(lats), "latitude")
+    rows = [(d, float(x), float(y), None if v is None or v != v else float(v)) for d, day in zip(dates, values) for x, row in zip(lons, day) for y, v in zip(lats, row)]
+    return complete(from_rows(spark.createDataFrame(rows, "date date, lon double, lat double, value double"), units, **period))
+
+
 def from_rows(rows: DataFrame, units: str = "degC", months: tuple[int, ...] = tuple(range(1, 13)), start: str | None = None, end: str | None = None) -> DataFrame:
     """A grid from (date, lon, lat, value): period first, then places without any value go.
 
@@ -134,14 +149,24 @@ def in_period(grid: DataFrame, months: tuple[int, ...] = tuple(range(1, 13)), st
 
 
 def complete(grid: DataFrame) -> DataFrame:
-    """The grid itself, or an error that names a place with missing or infinite values."""
-    n_dates = grid.agg(F.count_distinct("date")).first()[0]
-    usable = F.count(F.when(F.abs("tmax_c") < float("inf"), 1))
-    bad = grid.groupBy("cell_id").agg(usable.alias("n"), F.count_distinct("date").alias("d")).where((F.col("n") != n_dates) | (F.col("d") != n_dates)).limit(1).collect()
-    if bad:
-        raise ValueError(f"cell {bad[0].cell_id} has {bad[0].n} values for {n_dates} dates")
-    if grid.select("cell_id").distinct().limit(2).count() < 2:
+    """The grid itself, or an error that names a place with missing or infinite values.
+
+    One aggregate over the cells and one action: all cells must have the same dates, told
+    by their number and the sum of their hashes, and a value for each.
+    """
+    usable = F.abs("tmax_c") < float("inf")
+    dates = F.sum(F.when(usable, F.xxhash64("date").cast("decimal(38,0)")))
+    cells = grid.groupBy("cell_id").agg(F.count_if(F.coalesce(usable, F.lit(False))).alias("n"), F.count_distinct("date").alias("d"), dates.alias("h"))
+    most = F.max(F.struct("d", "h"))
+    whole = cells.agg(most.alias("top"), F.min(F.struct("d", "h")).alias("least"), F.count("*").alias("cells"), F.min(F.struct((F.col("n") == F.col("d")).alias("whole"), "cell_id", "n", "d")).alias("first")).first()
+    if not whole.cells or whole.cells < 2:
         raise ValueError("a grid needs two cells at least")
+    if not whole.first.whole:
+        raise ValueError(f"cell {whole.first.cell_id} has {whole.first.n} values for {whole.first.d} dates")
+    if whole.top != whole.least:
+        n_dates = grid.agg(F.count_distinct("date")).first()[0]
+        bad = cells.where((F.col("n") != n_dates) | (F.col("h") != F.lit(str(whole.top.h)).cast("decimal(38,0)"))).orderBy("cell_id").first()
+        raise ValueError(f"cell {bad.cell_id} has {bad.n} values for {n_dates} dates")
     return grid
 
 
