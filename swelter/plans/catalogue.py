@@ -16,7 +16,7 @@ from swelter.functions import projection
 from swelter.functions.projection import E1, E2, forward
 from swelter.operators import clustering, ellipses, events, figure_data, heatwaves, point_process, power_law, regional
 from swelter.shared import written
-from swelter.sources import grid
+from swelter.sources import grid, requests
 
 LOCAL, REGIONAL, DP = 80.0, 90.0, 6
 SEASON = (4, 5, 6, 7, 8, 9)
@@ -758,3 +758,35 @@ def power_law_summary(spark: SparkSession, sf_dir: str, reps: int = BOOTSTRAP_RE
     areas, draws = _bootstraps(spark, sf_dir, reps)
     seeds = F.create_map(*[F.lit(x) for kv in BOOTSTRAP_SEEDS.items() for x in kv])
     return power_law.summary(written(draws, "refits"), power_law.fitted(written(areas, "areas"))).withColumn("seed", seeds[F.col("dataset")])
+
+
+#: North, west, south and east of the area that the planned requests are for.
+AREA = (50, -130, 25, -58)
+
+
+@query("""WITH RECURSIVE p AS (SELECT CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders),
+m AS (SELECT CAST(unnest(generate_series(date_trunc('month', a), b, INTERVAL 1 MONTH)) AS DATE) AS m, a, b FROM p),
+r AS (SELECT CAST(year(m) AS INTEGER) AS year, CAST(month(m) AS INTEGER) AS month, greatest(m, a) AS first, least(last_day(m), b) AS last FROM m WHERE month(m) BETWEEN 4 AND 9),
+d AS (SELECT *, printf('%02d', month) AS mm, array_to_string(list_transform(generate_series(day(first), day(last)), lambda k: printf('%02d', k)), ',') AS days FROM r)
+SELECT year, month, first, last, mm AS months, days, 'era5_daily_tmax_N50_W-130_S25_E-58_' || first || '_' || last || '.nc' AS file_name,
+'derived-era5-single-levels-daily-statistics|reanalysis|2m_temperature|daily_maximum|utc+00:00|1_hourly|area=50,-130,25,-58|year=' || year || '|month=' || mm || '|day=' || days AS key FROM d""")
+def request_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests that would fetch the warm seasons of the orders' period, month by month."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    period = orders.agg(F.to_date(F.min("o_orderdate")).alias("start"), F.to_date(F.max("o_orderdate")).alias("end"))
+    out = requests.named(requests.plan(period, SEASON), AREA)
+    return out.select("year", "month", "first", "last", F.array_join("months", ",").alias("months"), F.array_join("days", ",").alias("days"), "file_name", "key")
+
+
+@query("""WITH RECURSIVE p AS (SELECT CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders),
+m AS (SELECT CAST(unnest(generate_series(date_trunc('month', a), b, INTERVAL 1 MONTH)) AS DATE) AS m, a, b FROM p),
+r AS (SELECT CAST(year(m) AS INTEGER) AS year, CAST(month(m) AS INTEGER) AS month, greatest(m, a) AS first, least(last_day(m), b) AS last FROM m WHERE month(m) BETWEEN 4 AND 9),
+y AS (SELECT year, min(first) AS first, max(last) AS last, string_agg(printf('%02d', month), '-' ORDER BY month) AS mm, CAST(sum(day(last_day(first))) AS INTEGER) AS n_dates FROM r GROUP BY 1)
+SELECT year, first, last, replace(mm, '-', ',') AS months, n_dates, 'era5_daily_tmax_N50_W-130_S25_E-58_' || year || '_months' || mm || '.nc' AS file_name FROM y""")
+def request_plan_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by year: whole months, and how many days those have."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    period = orders.agg(F.to_date(F.min("o_orderdate")).alias("start"), F.to_date(F.max("o_orderdate")).alias("end"))
+    out = requests.named(requests.plan(period, SEASON, "year"), AREA)
+    whole = F.when(F.size("months") > 1, F.col("file_name")).otherwise(F.concat(F.lit("era5_daily_tmax_N50_W-130_S25_E-58_"), "year", F.lit("_months"), F.array_join("months", "-"), F.lit(".nc")))
+    return out.select("year", "first", "last", F.array_join("months", ",").alias("months"), F.size("dates").alias("n_dates"), whole.alias("file_name"))
