@@ -16,13 +16,38 @@ from swelter.operators import clustering, ellipses, events, figure_data, heatwav
 from swelter.plans.config import as_date, as_yaml, read_config
 from swelter.shared import delete, owned, written
 from swelter.sinks.publish import publish
-from swelter.sources import grid, netcdf
+from swelter.sources import grid, netcdf, requests
 
 #: All tables and texts that a study may publish.
 PARTIAL = ("heatwave_events", "cell_thresholds", "daily_extent", "regional_days", "regional_day_cells", "clusters", "cluster_cells", "daily_settings", "sequences")
 WHOLE = (*PARTIAL, "ellipses", "compound_events", "event_days", "event_type_summary", "annual_counts", "annual_duration", "duration_trends", "power_law_fits", "representative_days")
 MODELS = ("intensity_parameters", "intensity", "centroids", "centroid_concentration")
 REPORT = "README.txt"
+#: What the tables hold, for the report.
+DESCRIPTIONS = {
+    "heatwave_events": "every local heatwave: cell, first and last day, exceeding and bridged days, peak",
+    "cell_thresholds": "every cell: threshold, number of heatwaves and their days",
+    "daily_extent": "every date: cells that exceed and cells in a heatwave",
+    "regional_days": "the dates that were selected, with their shares",
+    "regional_day_cells": "the cells in a heatwave on selected dates",
+    "clusters": "every cluster: date, number within the day, members, core cells, settings",
+    "cluster_cells": "every cell of a selected date: its cluster, or noise",
+    "daily_settings": "the settings found for each selected date and those of its sequence",
+    "sequences": "runs of consecutive selected dates and their pooled settings",
+    "ellipses": "every cluster's ellipse: axes, area, orientation, centroids",
+    "compound_events": "every compound event: span, type, counts, mean geometry, largest ellipse",
+    "event_days": "every day of the compound events and its largest ellipse",
+    "event_type_summary": "events, days and ellipses of each type",
+    "annual_counts": "events of each type by season year",
+    "annual_duration": "mean durations of multi-day events by type and season year",
+    "duration_trends": "slopes, tests and verdicts of those",
+    "power_law_fits": "cutoffs, exponents and p values of the largest areas of days and of events",
+    "representative_days": "the days that show each type",
+    "intensity_parameters": "trend and covariance of the centroids' point process",
+    "intensity": "every cell: fitted intensity and rank",
+    "centroids": "every centroid on the equal-area plane and its nearest cell",
+    "centroid_concentration": "how many centroids lie in the most intense parts of the area",
+}
 
 
 @dataclass
@@ -146,11 +171,23 @@ class Study:
         return dict(zip(MODELS, (made, ranked, at, point_process.zones(ranked, at, self.step, self.step))))
 
 
-def read_input(spark: SparkSession, config: dict) -> DataFrame:
-    """The grid that the settings name; a folder stands for its .nc files in order of name."""
+def read_input(spark: SparkSession, config: dict, backend: requests.Backend | None = None) -> DataFrame:
+    """The grid that the settings name; a folder stands for its .nc files in order of name.
+
+    source: cds asks the backend for what its cache lacks, and keeps the grid in processed_file.
+    """
     i, p = config["input"], config["period"]
     if i["source"] == "cds":
-        raise ValueError("downloads need a client for the data service; read its files with source: file")
+        if backend is None:
+            raise ValueError("downloads need a backend that talks to the data service")
+        own, months, days = i["cds"], p["warm_season_months"], (p["start_date"], p["end_date"])
+        wanted = requests.listed(requests.plan(spark.createDataFrame([days], "start date, end date"), months, own["request_period"]), own["area"])
+        if not wanted:
+            raise ValueError("no day of the warm season lies in the period")
+        files = requests.Cache(own["cache_directory"]).complete(wanted, backend)
+        out = netcdf.read_era5(spark, files, months=months, start=days[0].isoformat(), end=days[1].isoformat(), cell_size=i["era5_cell_size_deg"])
+        netcdf.write_tmax(out, own["processed_file"], overwrite=True)
+        return out
     files = [i["file"]] if isinstance(i["file"], str) else i["file"]
     paths = [f for x in files for f in (sorted(glob.glob(os.path.join(x, "*.[nN][cC]"))) if os.path.isdir(x) else [x])]
     if not paths:
@@ -193,14 +230,15 @@ def report(study: Study, tables: dict[str, DataFrame], notes: list[str], started
             lines.append(f"  {r.dataset}: alpha {r.alpha:.3f} above {r.xmin_km2:,.0f} km2, {r.n_tail} of {r.n}, p {p}" if r.status == "ok" else f"  {r.dataset}: no fit ({r.status})")
         if "intensity_parameters" in tables:
             lines += [f"  Intensity, {r.parameter}: {r.value:.6g}" for r in tables["intensity_parameters"].collect()]
-    lines += ["", "TABLES", *[f"  {name}: {n:,} rows" for name, n in counts.items()], "", "WARNINGS", *(f"  {n}" for n in notes or ["none"])]
+    lines += ["", "TABLES", *[f"  {name}: {n:,} rows; {DESCRIPTIONS[name]}" for name, n in counts.items()], "", "WARNINGS", *(f"  {n}" for n in notes or ["none"])]
     return "\n".join([*lines, "", "SETTINGS (YAML)", *("  " + x for x in as_yaml({k: v for k, v in c.items() if k != "output"}).splitlines())]) + "\n"
 
 
-def run(spark: SparkSession, config: str | dict | None = None, cells: DataFrame | None = None) -> dict[str, DataFrame]:
+def run(spark: SparkSession, config: str | dict | None = None, cells: DataFrame | None = None, backend: requests.Backend | None = None) -> dict[str, DataFrame]:
     """Runs a study and publishes its tables as Parquet in output: directory.
 
     cells: a grid to use in place of the input file; its period is cut to the settings'.
+    backend: what source: cds asks for files.
     If no selected day forms a cluster, the tables up to there are published and an error
     is raised. A model that can't be fitted leaves its tables out and a note in the report.
     """
@@ -210,7 +248,7 @@ def run(spark: SparkSession, config: str | dict | None = None, cells: DataFrame
     with owned() as mine:
         try:
             if cells is None:
-                cells = read_input(spark, settings)
+                cells = read_input(spark, settings, backend)
             else:
                 cells = grid.in_period(cells, tuple(p["warm_season_months"]), *(d and d.isoformat() for d in (p["start_date"], p["end_date"])))
             study = Study(written(cells, "grid"), settings)

@@ -67,6 +67,28 @@ def test_written_grids_are_read_back(spark, tmp_path, precision, off):
         netcdf.read_tmax(spark, path, variable="x")
 
 
+def test_a_failed_task_leaves_no_file(spark, tmp_path):
+    rows = [(DAY + dt.timedelta(d), x, y, 20.0) for d in range(4) for x in (10.5, 11.5) for y in (40.5, 41.5)]
+    made = spark.createDataFrame(rows, "date date, lon double, lat double, tmax_c double")
+    path = str(tmp_path / "t.nc")
+    fails = made.withColumn("tmax_c", F.when((F.col("date") == DAY) & F.raise_error(F.lit("no value")).isNull(), 1.0).otherwise(F.col("tmax_c")))
+    options = {"lons": "[10.5, 11.5]", "lats": "[40.5, 41.5]", "dates": str([str(DAY + dt.timedelta(d)) for d in range(4)]).replace("'", '"')}
+    save = lambda df: df.repartition("date").write.format("swelter-grid").options(**options).mode("append").save(path)
+    spark.dataSource.register(netcdf.GridSource)
+    for df, says in ((fails, "no value"), (made.where(F.col("date") > DAY), "3 of 4 dates")):
+        with pytest.raises(Exception, match=says):
+            save(df)
+        assert list(tmp_path.iterdir()) == []
+    save(made)
+    assert [x.name for x in tmp_path.iterdir()] == ["t.nc"]
+    back = netcdf.read_tmax(spark, path)
+    assert back.count() == 16 and back.agg(F.min("tmax_c"), F.max("tmax_c")).first() == (20.0, 20.0)
+    # an overwrite that fails leaves what was there
+    with pytest.raises(Exception, match="no value"):
+        fails.repartition("date").write.format("swelter-grid").options(**options).mode("overwrite").save(path)
+    assert netcdf.read_tmax(spark, path).count() == 16 and len(list(tmp_path.iterdir())) == 1
+
+
 def hours(path, days, first=DAY, scale=1.0, lons=(359.25, 359.5, 359.75, 0.0), drop=0):
     """Hourly K values over 4 x 4 points, two versions, time unlimited."""
     n, lats = 24 * days - drop, (40.75, 40.5, 40.25, 40.0)

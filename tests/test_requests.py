@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 
 from hdf5_files import netcdf4
-from swelter.sources import requests
+from swelter.plans import study
+from swelter.plans.config import read_config
+from swelter.sources import netcdf, requests
 
 AREA = (40.5, -100.0, 40.0, -99.5)
 
@@ -118,3 +120,16 @@ def test_old_files_answer_no_other_request(spark, tmp_path):
     assert os.path.exists(cache.path(shorter, ".invalid")) and cache.problem(shorter) is None and "set aside" in said[0]
     open(cache.path(shorter), "w").close()
     assert cache.problem(shorter) == "it is empty"
+
+
+def test_settings_with_a_service(spark, tmp_path):
+    config = read_config({
+        "input": {"source": "cds", "era5_cell_size_deg": 0.25, "cds": {"area": list(AREA), "cache_directory": str(tmp_path / "c"), "processed_file": str(tmp_path / "grid.nc")}},
+        "period": {"start_date": "2001-04-05", "end_date": "2001-05-02"},
+    })
+    with pytest.raises(ValueError, match="backend"):
+        study.read_input(spark, config)
+    service = Service(("successful",))
+    got = study.read_input(spark, config, service)
+    assert got.count() == 28 * 9 and len(service.asked) == 2 and got.select("cell_id").distinct().count() == 9
+    assert {round(r.tmax_c, 2) for r in netcdf.read_tmax(spark, str(tmp_path / "grid.nc")).select("tmax_c").distinct().collect()} == {16.85}

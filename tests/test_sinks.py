@@ -31,6 +31,47 @@ def test_workbook_parts_and_values(spark, tmp_path):
     assert [workbook.column_letters(n) for n in (1, 26, 27, 52, 53, 702, 703)] == ["A", "Z", "AA", "AZ", "BA", "ZZ", "AAA"]
 
 
+def test_archives_are_checked(spark, tmp_path):
+    path, bad = str(tmp_path / "b.xlsx"), str(tmp_path / "bad.xlsx")
+    workbook.write_workbook(path, {"first": spark.createDataFrame([(1, None), (2, 0.5)], "a int, b double").coalesce(1), "none": spark.range(0)})
+    assert workbook.problems(path) == []
+    with zipfile.ZipFile(path) as z:
+        parts = {n: z.read(n).decode() for n in z.namelist()}
+
+    def damaged(**changes):
+        with zipfile.ZipFile(bad, "w") as z:
+            for n, text in parts.items():
+                key = n if n.endswith(".rels") else n.rpartition("/")[2].split(".")[0].strip("[]")
+                new = changes.get(key, lambda t: t)(text)
+                if new is not None:
+                    z.writestr(n, new)
+        return " ".join(workbook.problems(bad))
+
+    assert damaged() == ""
+    assert "sheet2.xml, which is not there" in damaged(sheet2=lambda t: None)
+    assert "sheet1.xml has no content type" in damaged(Content_Types=lambda t: t.replace("sheet1.xml", "sheet9.xml"))
+    assert "two sheets are called first" in damaged(workbook=lambda t: t.replace('"none"', '"First"'))
+    assert "sheet none has no link" in damaged(workbook=lambda t: t.replace("rId2", "rId77"))
+    assert "it says A1:B9 and has B3" in damaged(sheet1=lambda t: t.replace('dimension ref="A1:B3"', 'dimension ref="A1:B9"'))
+    assert "row 3 follows row 1" in damaged(sheet1=lambda t: re.sub('<row r="2">.*?</row>', "", t))
+    assert "says another row" in damaged(sheet1=lambda t: t.replace('r="A2"', 'r="A5"'))
+    (tmp_path / "text.xlsx").write_text("no archive")
+    assert "no archive" in workbook.problems(str(tmp_path / "text.xlsx"))[0]
+    whole = open(path, "rb").read()
+    (tmp_path / "cut.xlsx").write_bytes(whole[: len(whole) // 2])
+    assert workbook.problems(str(tmp_path / "cut.xlsx"))
+
+
+def test_numbers_are_shown_by_their_size(spark, tmp_path):
+    assert [workbook.number_style(x) for x in (0.0, -2e6, 123.4, 5.5, -0.25, 0.01)] == [4, 3, 4, 5, 5, 6]
+    path = str(tmp_path / "b.xlsx")
+    workbook.write_workbook(path, {"s": spark.createDataFrame([(0.01, 1)], "a_column_of_a_long_name double, b int")})
+    with zipfile.ZipFile(path) as z:
+        sheet, styles = ET.fromstring(z.read("xl/worksheets/sheet1.xml")), ET.fromstring(z.read("xl/styles.xml"))
+    assert [c.get("s") for c in sheet.iter(f"{{{NS['m']}}}c")][2:] == ["6", None] and len(styles.find("m:cellXfs", NS)) == 7
+    assert [int(c.get("width")) for c in sheet.iter(f"{{{NS['m']}}}col")] == [len("a_column_of_a_long_name") + 3, 9]
+
+
 def test_tables_beyond_a_sheet_are_refused(spark, tmp_path):
     path = tmp_path / "b.xlsx"
     with pytest.raises(ValueError, match="1048576 rows"):
