@@ -159,13 +159,23 @@ ROOT, DISTANCES = 0.25, 64
 
 
 def overlaps(window_pixels: DataFrame, size: float, reach: float) -> DataFrame:
-    """(i, j, area): how much of the window falls on itself when shifted by i, j pixels, within reach."""
+    """(i, j, area): how much of the window falls on itself when shifted by i, j pixels, within reach.
+
+    Rows of the window are runs of pixels; two runs, one shifted along the other, overlap
+    by what their ends tell, so runs are set against runs of the rows within reach, not
+    pixels against pixels.
+    """
     most = math.ceil(reach / size) + 1
     corner = window_pixels.agg(F.min("x_km").alias("x0"), F.min("y_km").alias("y0"))
     at = window_pixels.join(F.broadcast(corner)).select(F.round((F.col("x_km") - F.col("x0")) / size).cast("long").alias("px"), F.round((F.col("y_km") - F.col("y0")) / size).cast("long").alias("py"))
-    steps = F.sequence(F.lit(-most), F.lit(most))
-    moved = at.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).select((F.col("px") + F.col("i")).alias("px"), (F.col("py") + F.col("j")).alias("py"), "i", "j")
-    return moved.join(at, ["px", "py"]).groupBy("i", "j").agg((F.count("*") * (size * size)).alias("area"))
+    # pixels that follow each other keep their distance from their place in the row
+    runs = at.withColumn("_r", F.col("px") - F.row_number().over(W.partitionBy("py").orderBy("px"))).groupBy("py", "_r").agg(F.min("px").alias("a"), F.max("px").alias("b"))
+    moved = runs.withColumn("j", F.explode(F.sequence(F.lit(-most), F.lit(most)))).select((F.col("py") + F.col("j")).alias("py"), "a", "b", "j")
+    there = runs.select("py", F.col("a").alias("c"), F.col("b").alias("d"))
+    shifts = F.sequence(F.greatest(F.col("c") - F.col("b"), F.lit(-most).cast("long")), F.least(F.col("d") - F.col("a"), F.lit(most).cast("long")))
+    pairs = moved.join(there, "py").where((F.col("c") - F.col("b") <= most) & (F.col("d") - F.col("a") >= -most)).withColumn("i", F.explode(shifts))
+    shared = F.least(F.col("b") + F.col("i"), F.col("d")) - F.greatest(F.col("a") + F.col("i"), F.col("c")) + 1
+    return pairs.groupBy("i", "j").agg((F.sum(shared) * (size * size)).alias("area"))
 
 
 def inhomogeneous_k(points: DataFrame, shifts: DataFrame, size: float, reach: float, n: int = DISTANCES, key: str = "ellipse_id") -> DataFrame:

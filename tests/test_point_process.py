@@ -40,6 +40,17 @@ def test_k_equals_brute_force(spark):
         assert r.k == pytest.approx(want, rel=1e-9)
 
 
+def test_overlaps_of_a_window_with_holes(spark):
+    rng = np.random.default_rng(8)
+    held = {(x, y) for x in range(14) for y in range(11) if rng.random() < 0.6}
+    pixels = spark.createDataFrame([(x * 10.0 + 5, y * 10.0 - 40) for x, y in held], "x_km double, y_km double")
+    got = {(r.i, r.j): r.area for r in pp.overlaps(pixels, 10.0, 30.0).collect()}
+    x0, y0 = min(x for x, _ in held), min(y for _, y in held)
+    assert x0 == y0 == 0
+    want = {(i, j): 100.0 * n for i in range(-4, 5) for j in range(-4, 5) if (n := sum((x + i, y + j) in held for x, y in held))}
+    assert got == want
+
+
 def test_contrast_finds_the_model():
     r = np.linspace(5, 400, 64)
     variance, scale, contrast, converged = pp.minimum_contrast(r, pp.model_k(r, 1.3, 70.0))
