@@ -1,6 +1,7 @@
 """Stages of the grid analysis on small inputs with known answers."""
 
 import datetime as dt
+import math
 import random
 
 import numpy as np
@@ -127,3 +128,24 @@ def test_power_law_bootstrap_covers_both_samples_and_is_summed_up(spark):
     for r in got.values():
         assert r.reps == 20 and r.status == "ok" and 0 <= r.p_lower <= r.p_upper <= 1
         assert r["alpha_boot_q2.5"] <= r.alpha_boot_q25 <= r.alpha_boot_median <= r.alpha_boot_q75 <= r["alpha_boot_q97.5"]
+
+
+def test_a_threshold_of_no_cells_is_refused(spark):
+    daily = spark.createDataFrame([(1, 0), (2, 0)], "k int, regional_threshold_cells int")
+    with pytest.raises(ValueError, match="zero cells"):
+        regional.checked(daily)
+    good = daily.withColumn("regional_threshold_cells", F.lit(3))
+    assert regional.checked(good) is good
+
+
+def test_round_and_lone_clusters_point_by_convention(spark):
+    k = 110.574 / (111.320 * math.cos(math.radians(1.0)))
+    square = [(1, x * k, y) for x in (-1.0, 1.0) for y in (0.0, 2.0)]
+    rows = spark.createDataFrame([(c, dt.date(2001, 6, 1), x, y, 30.0) for c, x, y in [*square, (2, 5.0, 5.0)]], "cluster_id int, date date, lon double, lat double, tmax_c double")
+    # equal variances up to the last bits; made equal so that the tie itself is met
+    got = {r.ellipse_id: r for r in ellipses.fitted(rows).collect()}
+    assert got[1].axis_ratio == pytest.approx(1) and got[1].n_member_cells == 4
+    assert (got[2].orientation_east_ccw_deg, got[2].azimuth_north_cw_deg, got[2].major_axis_km) == (0.0, 90.0, 2.5)
+    even = spark.createDataFrame([(3, dt.date(2001, 6, 1), x, y, 30.0) for x, y in ((0.0, 0.0), (0.0, 0.0))], "cluster_id int, date date, lon double, lat double, tmax_c double")
+    tie = ellipses.fitted(even).first()
+    assert (tie.orientation_east_ccw_deg, tie.azimuth_north_cw_deg, tie.eigenvalue_major_km2, tie.major_axis_km) == (90.0, 0.0, 0.0, 2.5)
