@@ -107,8 +107,18 @@ def ccdf(sample: DataFrame, group: str = "dataset", value: str = "area_km2") ->
 
 
 def ecdf(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, value, ecdf): the share of values at or below each distinct one."""
-    return rows.withColumn("ecdf", F.cume_dist().over(W.partitionBy(group).orderBy(value))).select(group, value, "ecdf").distinct()
+    """(group, value, ecdf): the share of values at or below each distinct one; null is no value."""
+    counts = totals_by_value(rows, value, F.lit(1), keys=(group,))
+    sizes = rows.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("_n"))
+    return counts.join(sizes, group).select(group, value, ((F.col("before") + F.col("of")).cast("double") / F.col("_n")).alias("ecdf"))
+
+
+def snapshots(shown: DataFrame, cells: DataFrame) -> DataFrame:
+    """The cells of the days that are shown, each in its cluster or noise.
+
+    shown: (event_type, place, compound_event_id, date); cells: (date, cell_id, lon, lat, cluster_id, is_noise).
+    """
+    return shown.join(cells.select("date", "cell_id", "lon", "lat", "cluster_id", "is_noise"), "date")
 
 
 def density(rows: DataFrame, group: str, value: str, low: float, high: float, n: int = 600) -> DataFrame:

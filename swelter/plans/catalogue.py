@@ -571,6 +571,23 @@ def representative_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return figure_data.representative_days(run.compound, run.event_days)
 
 
+@query(SQL["representative_days"].replace("SELECT event_type, CAST(place AS INTEGER) AS place, compound_event_id, date FROM shown LEFT JOIN start_ USING (compound_event_id) WHERE",
+    "SELECT event_type, CAST(place AS INTEGER) AS place, compound_event_id, m.date, cell_id, lon, lat, cluster_id, CAST(dbscan_label < 0 AS INTEGER) AS is_noise FROM shown LEFT JOIN start_ USING (compound_event_id) JOIN members m ON m.date = shown.date WHERE"))
+def snapshot_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells in a heatwave on the days that represent each type, by cluster."""
+    run = Run(spark, sf_dir)
+    return figure_data.snapshots(figure_data.representative_days(run.compound, run.event_days), clustering.clustered(run.labels)[1])
+
+
+@query(sql(_COMPOUND, """, each AS (SELECT event_type, unnest(['mean_area_km2', 'mean_axis_ratio']) AS measure, unnest([round(mean_area_km2, 6), round(mean_axis_ratio, 6)]) AS v FROM ce)
+SELECT event_type, measure, v, round(cume_dist() OVER (PARTITION BY event_type, measure ORDER BY v), 6) AS ecdf FROM each QUALIFY row_number() OVER (PARTITION BY event_type, measure, v) = 1""".lstrip()))
+def event_ecdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distributions of events' mean areas and axis ratios, by type."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.round(c, 6).alias("v")) for c in ("mean_area_km2", "mean_axis_ratio")]))
+    rows = Run(spark, sf_dir).compound.select("event_type", each.alias("m")).select(F.concat_ws("|", "event_type", "m.measure").alias("key"), "m.v")
+    return _by_measure(figure_data.ecdf(written(rows, "measured"), "key", "v"))
+
+
 @query(sql(_ELLIPSES, """, fine AS (SELECT x / 4.0 AS lon, y / 4.0 AS lat FROM range(0, 37) a(x) CROSS JOIN range(0, 37) b(y)),
 hit AS (SELECT lon, lat, (lon - wx) * 111.320 * cos(radians(wy)) AS dx, (lat - wy) * 110.574 AS dy, cos(radians(o)) AS e, sin(radians(o)) AS n, major / 2 AS a, minor / 2 AS b FROM fine CROSS JOIN ell)
 SELECT lon::DOUBLE AS lon, lat::DOUBLE AS lat, count(*) FILTER (pow((dx * e + dy * n) / a, 2) + pow((dy * e - dx * n) / b, 2) <= 1 + 1e-12) AS n_ellipses FROM hit GROUP BY ALL""".lstrip()))
