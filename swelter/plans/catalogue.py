@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from swelter.functions import projection
 from swelter.functions.projection import E1, E2, forward
 from swelter.operators import clustering, ellipses, events, figure_data, heatwaves, point_process, power_law, regional
-from swelter.shared import written
+from swelter.shared import owning, written
 from swelter.sources import grid, requests
 
 LOCAL, REGIONAL, DP = 80.0, 90.0, 6
@@ -90,7 +90,7 @@ QUERIES, SQL = {}, {}
 
 def query(sql: str | None = None):
     def register(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = owning(f)
         if sql:
             SQL[f.__name__] = sql
         return f

@@ -1,18 +1,20 @@
 """Intermediate tables in the folder that driver and executors share.
 
 A table is written as Parquet, which cuts the lineage and survives lost executors, and is
-deleted when its scope ends: scratch() opens one, and what lies in none goes when the
-session's Python ends.
+deleted when its scope ends: scratch() opens one. A query's result owns what it reads
+(owning()) until close() is called on it; what lies in no scope, or is never closed, goes
+when the session's Python ends.
 """
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -84,18 +86,57 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     delete(spark, mine)
 
 
+def owning(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f, whose result owns the tables that were written for it and not deleted since."""
+
+    @functools.wraps(f)
+    def made(*args, **kwargs) -> DataFrame:
+        with owned() as mine:
+            out = f(*args, **kwargs)
+        out._tables = mine
+        atexit.register(delete, out.sparkSession, mine)
+        return out
+
+    return made
+
+
+def close(result: DataFrame) -> None:
+    """Deletes the tables that an owning function's result reads; neither it nor what was made of it can be read then."""
+    delete(result.sparkSession, result._tables)
+
+
 #: Spark's setting by which an execution's shuffle files go when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+#: By session: how many writes are under way, and the setting before the first of them.
+_writes: dict[str, tuple[int, str]] = {}
+
+
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """The setting is on while any thread of the session writes; the last to end sets it back."""
+    session = spark._jsparkSession.sessionUUID()
+    with _lock:
+        n, before = _writes.get(session, (0, ""))
+        if not n:
+            before = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        _writes[session] = (n + 1, before)
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _writes.pop(session)
+            if n > 1:
+                _writes[session] = (n - 1, before)
+            else:
+                spark.conf.set(CLEANUP, before)
 
 
 def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder; its shuffle files go once it is written."""
     spark = df.sparkSession
     path = new_path(spark, label, keep)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
