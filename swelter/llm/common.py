@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swelter.shared import delete, new_path, owned, scratch, written  # noqa: F401
+from swelter.shared import delete, new_path, owned, owning, scratch, written  # noqa: F401
 
 #: Words of the engine: runs of anything but ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"

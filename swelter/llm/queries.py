@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swelter.llm import ann, convnet, fim, license, linededup, minhash, mixing, packing, quality, toxicity, urlfilter, variants, warc
-from swelter.llm.common import new_path, table, written
+from swelter.llm.common import new_path, owning, table, written
 from swelter.llm.oracle import SQL  # noqa: F401
 
 
@@ -118,6 +118,6 @@ def op13_quality_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f
+    f.__name__: owning(f)
     for f in (op1_warc_transactions, op2_line_dedup, op3_mixing, op4_packing, op5_toxicity, op6_url_filter, op7_order_minhash, op8_quality_rules, op9_license_scan, op10_forest_search, op11_spelling_variants, op12_fill_in_middle, op13_quality_convnet)
 }
