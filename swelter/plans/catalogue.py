@@ -6,6 +6,10 @@ percentiles, at which all kinds of event occur in the order-line grid.
 
 from __future__ import annotations
 
+import atexit
+import functools
+import threading
+import weakref
 from functools import cached_property
 
 import numpy as np
@@ -15,7 +19,7 @@ from pyspark.sql import functions as F
 from swelter.functions import projection
 from swelter.functions.projection import E1, E2, forward
 from swelter.operators import clustering, ellipses, events, figure_data, heatwaves, point_process, power_law, regional
-from swelter.shared import owning, written
+from swelter.shared import delete, exists, owned, owning, written
 from swelter.sources import grid, requests
 
 LOCAL, REGIONAL, DP = 80.0, 90.0, 6
@@ -35,37 +39,50 @@ class Run:
 
     What several later stages read is written in the shared folder where a stage ends, once
     a run and when first asked for: each stage starts from a scan, its plan stays small, and
-    a lost executor costs no more than a stage.
+    a lost executor costs no more than a stage. The tables are the run's own and stay till
+    close(), or till Python ends.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, local: float = LOCAL, percentile: float = REGIONAL):
         self.grid = grid.lattice(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
         self.local, self.percentile = local, percentile
+        self.tables: list[str] = []
+        self.input = _state_of(spark, f"{sf_dir}/lineitem.parquet")
+        atexit.register(delete, spark, self.tables)
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        with owned() as mine:
+            out = written(df, label)
+        self.tables += mine
+        return out
+
+    def close(self) -> None:
+        delete(self.grid.sparkSession, self.tables)
 
     @cached_property
     def days(self) -> DataFrame:
         """Marked days, written, with ids that a row per cell gives them."""
-        return heatwaves.with_ids(written(heatwaves.marked_days(self.grid, self.local), "days"))
+        return heatwaves.with_ids(self.written(heatwaves.marked_days(self.grid, self.local), "days"))
 
     @cached_property
     def daily(self) -> DataFrame:
-        return written(regional.daily_extent(self.days, self.percentile), "daily")
+        return self.written(regional.daily_extent(self.days, self.percentile), "daily")
 
     @cached_property
     def cells(self) -> DataFrame:
-        return written(regional.selected_cells(self.days, self.daily), "cells")
+        return self.written(regional.selected_cells(self.days, self.daily), "cells")
 
     @cached_property
     def counts(self) -> DataFrame:
-        return written(clustering.cluster_counts(self.cells), "counts")
+        return self.written(clustering.cluster_counts(self.cells), "counts")
 
     @cached_property
     def settings(self) -> DataFrame:
-        return written(clustering.pooled(clustering.daily_settings(self.counts, self.cells)), "settings")
+        return self.written(clustering.pooled(clustering.daily_settings(self.counts, self.cells)), "settings")
 
     @cached_property
     def labels(self) -> DataFrame:
-        return written(clustering.labelled(self.cells, self.settings), "labels")
+        return self.written(clustering.labelled(self.cells, self.settings), "labels")
 
     @cached_property
     def daily_clusters(self) -> DataFrame:
@@ -74,23 +91,59 @@ class Run:
 
     @cached_property
     def ellipses(self) -> DataFrame:
-        return written(ellipses.fitted(clustering.clustered(self.labels)[1]), "ellipses")
+        return self.written(ellipses.fitted(clustering.clustered(self.labels)[1]), "ellipses")
 
     @cached_property
     def event_days(self) -> DataFrame:
-        return written(events.event_days(self.daily_clusters, self.ellipses), "event-days")
+        return self.written(events.event_days(self.daily_clusters, self.ellipses), "event-days")
 
     @cached_property
     def compound(self) -> DataFrame:
-        return written(events.classified(self.event_days, self.ellipses, self.settings), "events")
+        return self.written(events.classified(self.event_days, self.ellipses, self.settings), "events")
 
 
 QUERIES, SQL = {}, {}
+#: Runs that a result still holds, by session and folder, and those that the query under way has asked for.
+_live: weakref.WeakValueDictionary[tuple, Run] = weakref.WeakValueDictionary()
+_asked = threading.local()
+
+
+def _state_of(spark: SparkSession, path: str) -> tuple:
+    """What changes when a table is written anew: its time, size and number of files."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = fs.getContentSummary(at)
+    return fs.getFileStatus(at).getModificationTime(), whole.getLength(), whole.getFileCount()
+
+
+def run_over(spark: SparkSession, sf_dir: str) -> Run:
+    """The run over a folder that the result of another query holds, if its input and tables are as they were; else a new one."""
+    key = (spark._jsparkSession.sessionUUID(), sf_dir)
+    run = _live.get(key)
+    if run is None or run.input != _state_of(spark, f"{sf_dir}/lineitem.parquet") or not all(exists(spark, p) for p in run.tables):
+        run = _live[key] = Run(spark, sf_dir)
+    if hasattr(_asked, "runs"):
+        _asked.runs.append(run)
+    return run
 
 
 def query(sql: str | None = None):
+    """Registers a query. Its result holds the runs it reads, so that queries after it need not repeat their stages."""
+
     def register(f):
-        QUERIES[f.__name__] = owning(f)
+        made = owning(f)
+
+        @functools.wraps(f)
+        def holding(*args, **kwargs) -> DataFrame:
+            _asked.runs = []
+            try:
+                out = made(*args, **kwargs)
+                out._runs = _asked.runs
+            finally:
+                del _asked.runs
+            return out
+
+        QUERIES[f.__name__] = holding
         if sql:
             SQL[f.__name__] = sql
         return f
@@ -197,48 +250,48 @@ def cell_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(_EVENTS, "SELECT * FROM catalog1"))
 def local_heatwaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(heatwaves.catalogue(Run(spark, sf_dir).days))
+    return _rounded(heatwaves.catalogue(run_over(spark, sf_dir).days))
 
 
 @query(sql(_MARKED, "SELECT cell_id, date, CAST(local_event_id AS INTEGER) AS local_event_id, exceeds FROM hw WHERE local_event_id IS NOT NULL"))
 def heatwave_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Run(spark, sf_dir).days.where("local_event_id is not null").select("cell_id", "date", "local_event_id", "exceeds")
+    return run_over(spark, sf_dir).days.where("local_event_id is not null").select("cell_id", "date", "local_event_id", "exceeds")
 
 
 @query(sql(_MARKED, "SELECT cell_id, any_value(lat) AS lat, any_value(lon) AS lon, round(any_value(threshold), 6) AS threshold_tmax_c, count(*) FILTER (exceeds) AS n_exceeding_days, count(local_event_id) AS n_heatwave_days, count(DISTINCT local_event_id) AS n_local_events FROM hw GROUP BY cell_id"))
 def cell_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(heatwaves.cell_summary(Run(spark, sf_dir).days))
+    return _rounded(heatwaves.cell_summary(run_over(spark, sf_dir).days))
 
 
 @query(sql(_DAILY, "SELECT * REPLACE (round(heatwave_fraction_of_domain, 6) AS heatwave_fraction_of_domain, round(heatwave_share_of_exceeding_cells, 6) AS heatwave_share_of_exceeding_cells) FROM daily"))
 def daily_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(Run(spark, sf_dir).daily)
+    return _rounded(run_over(spark, sf_dir).daily)
 
 
 @query(sql(_DAILY, "SELECT date, n_heatwave_cells, round(heatwave_fraction_of_domain, 6) AS heatwave_fraction_of_domain, n_exceeding_cells, n_heatwave_and_exceeding_cells, round(heatwave_share_of_exceeding_cells, 6) AS heatwave_share_of_exceeding_cells FROM daily WHERE selected = 1"))
 def regional_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = regional.checked(Run(spark, sf_dir).daily).where("selected = 1")
+    daily = regional.checked(run_over(spark, sf_dir).daily).where("selected = 1")
     return _rounded(daily.select("date", "n_heatwave_cells", "heatwave_fraction_of_domain", "n_exceeding_cells", "n_heatwave_and_exceeding_cells", "heatwave_share_of_exceeding_cells"))
 
 
 @query(sql(_DAILY, "SELECT date, cell_id, lat, lon, local_event_id FROM sc"))
 def regional_day_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Run(spark, sf_dir).cells.drop("tmax_c")
+    return run_over(spark, sf_dir).cells.drop("tmax_c")
 
 
 @query(sql(_COUNTS, "SELECT * FROM counts"))
 def dbscan_cluster_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Run(spark, sf_dir).counts
+    return run_over(spark, sf_dir).counts
 
 
 @query(sql(_SETTINGS, "SELECT settings.* REPLACE (round(daily_eps, 6) AS daily_eps, round(daily_min_samples_mean, 6) AS daily_min_samples_mean, round(sequence_eps, 6) AS sequence_eps), n AS n_heatwave_cells FROM settings JOIN (SELECT date, count(*) AS n FROM sc GROUP BY 1) USING (date)"))
 def daily_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(Run(spark, sf_dir).settings)
+    return _rounded(run_over(spark, sf_dir).settings)
 
 
 @query(sql(_SETTINGS, "SELECT DISTINCT sequence_start_date, sequence_end_date AS end_date, sequence_days AS n_days, round(sequence_eps, 6) AS sequence_eps, sequence_min_samples FROM settings"))
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = Run(spark, sf_dir).settings
+    out = run_over(spark, sf_dir).settings
     return _rounded(out.select("sequence_start_date", F.col("sequence_end_date").alias("end_date"), F.col("sequence_days").alias("n_days"), "sequence_eps", "sequence_min_samples").distinct())
 
 
@@ -247,44 +300,44 @@ _CELLS = "date, cell_id, lat, lon, local_event_id, dbscan_label, cluster_id, is_
 
 @query(sql(_LABELS, f"SELECT {_CELLS} FROM members"))
 def cluster_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.clustered(Run(spark, sf_dir).labels)[1].select(*_CELLS.split(", "))
+    return clustering.clustered(run_over(spark, sf_dir).labels)[1].select(*_CELLS.split(", "))
 
 
 @query(sql(_LABELS, "SELECT cluster_id, m.date, dbscan_label AS cluster_number_in_day, dbscan_label, count(*) AS n_member_cells, CAST(sum(is_core_cell) AS BIGINT) AS n_core_cells, round(max(eps_applied), 6) AS eps_applied, max(min_samples_applied) AS min_samples_applied, max(n_clusters) AS n_clusters_on_day, max(noise) AS n_noise_cells_on_day FROM members m JOIN per_day p ON p.date = m.date WHERE cluster_id IS NOT NULL GROUP BY ALL"))
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = clustering.clustered(Run(spark, sf_dir).labels)[0]
+    out = clustering.clustered(run_over(spark, sf_dir).labels)[0]
     return _rounded(out)
 
 
 @query(sql(_ELLIPSES, """SELECT cluster_id, date, n_member_cells, round(mx, 6) AS centroid_lon_unweighted, round(my, 6) AS centroid_lat_unweighted, round(l1, 6) AS eigenvalue_major_km2, round(l2, 6) AS eigenvalue_minor_km2, round(major, 6) AS major_axis_km, round(minor, 6) AS minor_axis_km,
 round(area_km2, 4) AS area_km2, round(axis_ratio, 6) AS axis_ratio, round(o, 6) AS orientation_east_ccw_deg, round(az, 6) AS azimuth_north_cw_deg, cluster_id AS ellipse_id, round(cos(radians(o)), 6) AS major_axis_east, round(sin(radians(o)), 6) AS major_axis_north, round(wx, 6) AS centroid_lon_weighted, round(wy, 6) AS centroid_lat_weighted, round(ws, 6) AS tmax_weight_sum_c, round(wmin, 6) AS tmax_min_c, round(wmax, 6) AS tmax_max_c FROM ell"""))
 def fitted_ellipses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = Run(spark, sf_dir).ellipses
+    out = run_over(spark, sf_dir).ellipses
     return _rounded(out.withColumn("area_km2", F.round("area_km2", 4)))
 
 
 @query(sql(_COMPOUND, "SELECT * REPLACE (round(largest_ellipse_area_km2, 4) AS largest_ellipse_area_km2) FROM evd"))
 def event_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Run(spark, sf_dir).event_days.withColumn("largest_ellipse_area_km2", F.round("largest_ellipse_area_km2", 4))
+    return run_over(spark, sf_dir).event_days.withColumn("largest_ellipse_area_km2", F.round("largest_ellipse_area_km2", 4))
 
 
 @query(sql(_COMPOUND, """SELECT compound_event_id, start_date, end_date, duration_days, duration_days AS n_selected_days, round(event_eps, 6) AS event_eps, event_min_samples, round(CASE WHEN axial <= -90 THEN axial + 180 ELSE axial END, 5) AS axial_mean_azimuth_deg, event_type, ['Widespread (Isolated)', 'Spatially Clustered', 'Temporally Clustered', 'Compound Clustering (Multi-Type)'][event_type] AS event_type_name, daily_cluster_counts, total_clusters, min_daily_clusters, max_daily_clusters, n_single_cluster_days, n_multi_cluster_days,
 round(mean_area_km2, 4) AS mean_area_km2, round(mean_axis_ratio, 6) AS mean_axis_ratio, round(sqrt(c * c + s * s), 6) AS axial_resultant_length, largest_ellipse_id, largest_ellipse_date, round(largest_ellipse_area_km2, 4) AS largest_ellipse_area_km2 FROM ce"""))
 def compound_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = Run(spark, sf_dir).compound
+    out = run_over(spark, sf_dir).compound
     return _rounded(out.withColumns({c: F.round(c, 4) for c in ("mean_area_km2", "largest_ellipse_area_km2")} | {"axial_mean_azimuth_deg": F.round("axial_mean_azimuth_deg", 5)}))
 
 
 @query(sql(_COMPOUND, """SELECT ['Type 1: Widespread (Isolated)', 'Type 2: Spatially Clustered', 'Type 3: Temporally Clustered', 'Type 4: Compound Clustering (Multi-Type)'][t] AS compound_heatwave_type, coalesce(CAST(sum(duration_days) AS BIGINT), 0) AS selected_event_days, count(compound_event_id) AS number_of_compound_events, max(duration_days) AS longest_event_days, round(avg(duration_days), 2) AS mean_duration_days_per_event, round(avg(total_clusters), 2) AS mean_ellipses_per_event,
 min(total_clusters) AS minimum_ellipses_per_event, max(total_clusters) AS maximum_ellipses_per_event FROM range(1, 5) x(t) LEFT JOIN ce ON event_type = t GROUP BY t"""))
 def event_type_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.type_summary(Run(spark, sf_dir).compound)
+    return events.type_summary(run_over(spark, sf_dir).compound)
 
 
 @query(sql(_COMPOUND, """, ys AS (SELECT DISTINCT CAST(year(date) AS INTEGER) AS year FROM grid)
 SELECT ys.year, count(*) FILTER (event_type = 1) AS type_1_events, count(*) FILTER (event_type = 2) AS type_2_events, count(*) FILTER (event_type = 3) AS type_3_events, count(*) FILTER (event_type = 4) AS type_4_events, count(event_type) AS all_events FROM ys LEFT JOIN ce ON year(start_date) = ys.year GROUP BY ys.year""".lstrip()))
 def annual_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = Run(spark, sf_dir)
+    run = run_over(spark, sf_dir)
     return events.annual_counts(run.compound, run.grid.select("date").distinct(), events.season_start(SEASON))
 
 
@@ -294,7 +347,7 @@ series AS (SELECT event_type, CAST(year(start_date) AS INTEGER) AS year, avg(dur
 
 @query(sql(_SERIES, "SELECT event_type, year, round(y, 6) AS mean_duration_days FROM series"))
 def annual_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(events.annual_duration(Run(spark, sf_dir).compound, events.season_start(SEASON)))
+    return _rounded(events.annual_duration(run_over(spark, sf_dir).compound, events.season_start(SEASON)))
 
 
 # two-sided p of a normal z and of a t with n - 2 degrees, by Simpson's rule on the density
@@ -313,7 +366,7 @@ round(CASE WHEN vals = 1 THEN 0 ELSE 10 * t.b END, 6) AS ols_slope_days_per_deca
 s AS mann_kendall_s, round(z, 6) AS mann_kendall_z, round(mk_p, 6) AS mann_kendall_p_value, CASE WHEN t.n IS NULL THEN 'too few years' WHEN mk_p < 0.05 AND z > 0 THEN 'increasing' WHEN mk_p < 0.05 AND z < 0 THEN 'decreasing' ELSE 'no significant trend' END AS mann_kendall_result
 FROM range(3, 5) x(k) LEFT JOIN ols o ON o.event_type = x.k LEFT JOIN tested t ON t.event_type = x.k""".lstrip()))
 def duration_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = written(events.annual_duration(Run(spark, sf_dir).compound, events.season_start(SEASON)), "series")
+    series = written(events.annual_duration(run_over(spark, sf_dir).compound, events.season_start(SEASON)), "series")
     return _rounded(events.duration_trends(series))
 
 
@@ -334,14 +387,14 @@ scan AS (SELECT dataset, xmin, max(n) AS n_tail, 1 + max(n / logs) AS alpha, max
 
 @query(sql(_SCAN, "SELECT dataset, xmin, n_tail, round(alpha, 6) AS alpha, round(d, 6) AS ks_distance FROM scan"))
 def power_law_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    areas = written(_samples(Run(spark, sf_dir)).withColumn("area_km2", F.round("area_km2", 6)), "areas")
+    areas = written(_samples(run_over(spark, sf_dir)).withColumn("area_km2", F.round("area_km2", 6)), "areas")
     return _rounded(power_law.cutoff_scan(areas))
 
 
 @query(sql(_SCAN, """, best AS (SELECT dataset, arg_min(struct_pack(x := xmin, n := n_tail, a := alpha, d := d), struct_pack(d := d, x := xmin)) AS b, count(*) AS n_candidates FROM scan GROUP BY 1)
 SELECT dataset, count(*) AS n, n_candidates, b.n AS n_tail, b.x AS xmin_km2, round(b.a, 6) AS alpha, round(b.d, 6) AS ks_distance, round(b.n * ln((b.a - 1) / b.x) - b.a * b.n / (b.a - 1), 4) AS loglik, 'ok' AS status FROM areas JOIN best USING (dataset) GROUP BY ALL""".lstrip()))
 def power_law_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    areas = written(_samples(Run(spark, sf_dir)).withColumn("area_km2", F.round("area_km2", 6)), "areas")
+    areas = written(_samples(run_over(spark, sf_dir)).withColumn("area_km2", F.round("area_km2", 6)), "areas")
     return _rounded(power_law.fitted(areas).withColumn("loglik", F.round("loglik", 4)))
 
 
@@ -391,7 +444,7 @@ def _centroids(run: Run) -> DataFrame:
 @query(sql(_POINTS, "SELECT ellipse_id, round(x_km, 6) AS x_km, round(y_km, 6) AS y_km FROM pts"))
 def laea_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster centroids on the equal-area plane around the lattice's middle."""
-    found = Run(spark, sf_dir).ellipses
+    found = run_over(spark, sf_dir).ellipses
     x, y = forward(F.col("centroid_lon_weighted"), F.col("centroid_lat_weighted"), 4.5, 4.5)
     return _rounded(found.select("ellipse_id", x.alias("x_km"), y.alias("y_km")))
 
@@ -399,7 +452,7 @@ def laea_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql(_ELLIPSES, "SELECT cluster_id AS ellipse_id, round(wx, 6) AS lon, round(wy, 6) AS lat FROM ell"))
 def laea_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centroids to the plane and back: the SQL has the places they came from."""
-    found = Run(spark, sf_dir).ellipses
+    found = run_over(spark, sf_dir).ellipses
     x, y = forward(F.col("centroid_lon_weighted"), F.col("centroid_lat_weighted"), 4.5, 4.5)
     lon, lat = projection.inverse(F.col("x_km"), F.col("y_km"), 4.5, 4.5)
     return _rounded(found.select("ellipse_id", x.alias("x_km"), y.alias("y_km")).select("ellipse_id", lon.alias("lon"), lat.alias("lat")))
@@ -408,7 +461,7 @@ def laea_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql(_POINTS, "SELECT ellipse_id, nearest_cell_id, round(d, 6) AS nearest_cell_distance_km FROM near1"))
 def nearest_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cell nearest to each centroid."""
-    run = Run(spark, sf_dir)
+    run = run_over(spark, sf_dir)
     out = point_process.nearest_cell(_centroids(run), _cells(run), PIXEL + MARGIN, "ellipse_id")
     return _rounded(out.select("ellipse_id", "nearest_cell_id", "nearest_cell_distance_km"))
 
@@ -421,7 +474,7 @@ SELECT round(x_km, 6) AS x_km, round(y_km, 6) AS y_km, round(d, 6) AS nearest_ce
   OR EXISTS (SELECT 1 FROM pts WHERE abs(pts.x_km - near2p.x_km) < {PIXEL / 2} AND abs(pts.y_km - near2p.y_km) < {PIXEL / 2})""".lstrip()))
 def pixel_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The observation window of the point process."""
-    run = Run(spark, sf_dir)
+    run = run_over(spark, sf_dir)
     out = point_process.window(_cells(run), _centroids(run), 4.5, 4.5, PIXEL, MARGIN)
     return _rounded(out.select("x_km", "y_km", "nearest_cell_distance_km"))
 
@@ -432,7 +485,7 @@ grp AS (SELECT before, unnest(['all_centroids', 'daily_largest', 'event_largest'
 SELECT f AS zone_area_fraction, "group", count(*) FILTER (mine) AS n_centroids_in_group, count(*) FILTER (mine AND before < f) AS n_in_zone, round(100 * count(*) FILTER (mine AND before < f) / nullif(count(*) FILTER (mine), 0), 6) AS percent_in_zone FROM grp CROSS JOIN (SELECT unnest([0.2, 0.5])::DOUBLE AS f) GROUP BY ALL""".lstrip()))
 def concentration_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How centroids gather in the most intense cells; mean tmax stands for the intensity here."""
-    run = Run(spark, sf_dir)
+    run = run_over(spark, sf_dir)
     cells = _cells(run).withColumn("mean_intensity_per_km2", F.col("mean_tmax"))
     points = point_process.nearest_cell(_centroids(run), cells, PIXEL + MARGIN, "ellipse_id")
     return _rounded(point_process.zones(cells, points, 1.0, 1.0))
@@ -441,14 +494,14 @@ def concentration_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql(_POINTS, "SELECT cell_id, round((rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2) / count(*) OVER (), 6) AS concentration_rank FROM (SELECT cell_id, round(mean_tmax, 10) AS v FROM cls)"))
 def concentration_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks of the cells by intensity, ties averaged; mean tmax stands for it here."""
-    cells = _cells(Run(spark, sf_dir)).withColumn("mean_intensity_per_km2", F.col("mean_tmax"))
+    cells = _cells(run_over(spark, sf_dir)).withColumn("mean_intensity_per_km2", F.col("mean_tmax"))
     return _rounded(point_process.concentration_ranks(cells).select("cell_id", "concentration_rank"))
 
 
 @query()
 def intensity_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coefficients of the log-linear intensity of centroids over the window."""
-    run = Run(spark, sf_dir)
+    run = run_over(spark, sf_dir)
     covariates = ("lon", "lat", "mean_tmax", "std_tmax")
     cells, points = _cells(run), _centroids(run)
     values = cells.select(F.col("cell_id").alias("nearest_cell_id"), "mean_tmax", "std_tmax")
@@ -511,14 +564,14 @@ class Process:
 @query(sql(_TREND, "SELECT unnest(['(Intercept)', 'mean_tmax', 'std_tmax']) AS parameter, unnest([round(p, 4), round(q, 5), round(r, 5)]) AS value FROM fit_"))
 def climate_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log-linear intensity on the cells' mean and deviation of tmax; the SQL makes Newton's steps."""
-    got = Process(Run(spark, sf_dir)).trend
+    got = Process(run_over(spark, sf_dir)).trend
     return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{k}', {round(v, 4 if k == '(Intercept)' else 5)!r}D)" for k, v in got.items()) + " AS t(parameter, value)")
 
 
 @query(sql(_TREND, "SELECT cell_id, round(ln(lam), 4) AS log_intensity, round(rank() OVER (ORDER BY lam) / count(*) OVER (), 6) AS concentration_rank FROM (SELECT cell_id, exp(p + q * mean_tmax + r * std_tmax) AS lam FROM cls CROSS JOIN fit_)"))
 def intensity_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fitted intensity at the cells, and the share of cells that are no more intense."""
-    found = Process(Run(spark, sf_dir)).intensity
+    found = Process(run_over(spark, sf_dir)).intensity
     return found.select("cell_id", F.round(F.log("mean_intensity_per_km2"), 4).alias("log_intensity"), r("concentration_rank"))
 
 
@@ -528,7 +581,7 @@ grp AS (SELECT before, unnest(['all_centroids', 'daily_largest', 'event_largest'
 SELECT f AS zone_area_fraction, "group", count(*) FILTER (mine) AS n_centroids_in_group, count(*) FILTER (mine AND before < f) AS n_in_zone, round(100 * count(*) FILTER (mine AND before < f) / nullif(count(*) FILTER (mine), 0), 6) AS percent_in_zone FROM grp CROSS JOIN (SELECT unnest([0.2, 0.5])::DOUBLE AS f) GROUP BY ALL""".lstrip()))
 def intensity_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How centroids gather where the fitted intensity is largest."""
-    process = Process(Run(spark, sf_dir))
+    process = Process(run_over(spark, sf_dir))
     return _rounded(point_process.zones(process.intensity, process.held, 1.0, 1.0))
 
 
@@ -544,14 +597,14 @@ parts_ AS (SELECT d, 1 / (ll * area) AS w FROM both_ JOIN shift USING (i, j) WHE
 SELECT CAST(k * {K_REACH / K_STEPS} AS DOUBLE) AS r, round((SELECT coalesce(sum(w), 0) FROM parts_ WHERE d <= k * {K_REACH / K_STEPS}), 2) AS k FROM (SELECT unnest(range(1, {K_STEPS + 1})) AS k)""".lstrip()))
 def inhomogeneous_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The K function of the centroids, pairs weighed by an intensity that is given."""
-    found = Process(Run(spark, sf_dir)).k(F.exp(K_WEIGHTS[0] + K_WEIGHTS[1] * F.col("mean_tmax")), K_REACH, K_STEPS)
+    found = Process(run_over(spark, sf_dir)).k(F.exp(K_WEIGHTS[0] + K_WEIGHTS[1] * F.col("mean_tmax")), K_REACH, K_STEPS)
     return found.select("r", F.round("k", 2).alias("k"))
 
 
 @query()
 def intensity_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trend and covariance of the centroids' process: variance and scale by minimum contrast of K."""
-    process = Process(Run(spark, sf_dir))
+    process = Process(run_over(spark, sf_dir))
     near = process.held.join(process.intensity.select(F.col("cell_id").alias("nearest_cell_id"), F.col("mean_intensity_per_km2").alias("intensity")), "nearest_cell_id")
     extent = process.pixels.agg((F.max("x_km") - F.min("x_km")).alias("x"), (F.max("y_km") - F.min("y_km")).alias("y")).first()
     reach = max(4 * PIXEL, min(extent.x, extent.y) / 4)
@@ -567,7 +620,7 @@ shown AS (SELECT evd.*, event_type, place, duration_days, [1, 1, 2, 6][event_typ
 start_ AS (SELECT compound_event_id, arg_min(day_in_event, struct_pack(a := -held, b := day_in_event)) AS s FROM shown WHERE event_type = 4 AND duration_days > 6 AND day_in_event <= duration_days - 5 GROUP BY 1)
 SELECT event_type, CAST(place AS INTEGER) AS place, compound_event_id, date FROM shown LEFT JOIN start_ USING (compound_event_id) WHERE day_in_event BETWEEN coalesce(s, 1) AND coalesce(s, 1) + n - 1""".lstrip()))
 def representative_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = Run(spark, sf_dir)
+    run = run_over(spark, sf_dir)
     return figure_data.representative_days(run.compound, run.event_days)
 
 
@@ -575,7 +628,7 @@ def representative_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT event_type, CAST(place AS INTEGER) AS place, compound_event_id, m.date, cell_id, lon, lat, cluster_id, CAST(dbscan_label < 0 AS INTEGER) AS is_noise FROM shown LEFT JOIN start_ USING (compound_event_id) JOIN members m ON m.date = shown.date WHERE"))
 def snapshot_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells in a heatwave on the days that represent each type, by cluster."""
-    run = Run(spark, sf_dir)
+    run = run_over(spark, sf_dir)
     return figure_data.snapshots(figure_data.representative_days(run.compound, run.event_days), clustering.clustered(run.labels)[1])
 
 
@@ -584,7 +637,7 @@ SELECT event_type, measure, v, round(cume_dist() OVER (PARTITION BY event_type,
 def event_ecdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distributions of events' mean areas and axis ratios, by type."""
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.round(c, 6).alias("v")) for c in ("mean_area_km2", "mean_axis_ratio")]))
-    rows = Run(spark, sf_dir).compound.select("event_type", each.alias("m")).select(F.concat_ws("|", "event_type", "m.measure").alias("key"), "m.v")
+    rows = run_over(spark, sf_dir).compound.select("event_type", each.alias("m")).select(F.concat_ws("|", "event_type", "m.measure").alias("key"), "m.v")
     return _by_measure(figure_data.ecdf(written(rows, "measured"), "key", "v"))
 
 
@@ -595,7 +648,7 @@ def ellipse_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many ellipses cover each point of a grid four times as fine as the lattice."""
     quarter = lambda c: (F.col(c) / 4.0).cast("double")
     points = spark.range(37).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(36)))).select(quarter("id").alias("lon"), quarter("j").alias("lat"))
-    return figure_data.footprints(Run(spark, sf_dir).ellipses, points, 0.25)
+    return figure_data.footprints(run_over(spark, sf_dir).ellipses, points, 0.25)
 
 
 _TYPED = _COMPOUND + """,
@@ -609,19 +662,19 @@ def _typed(run: Run) -> DataFrame:
 @query(sql(_TYPED, "SELECT event_type, CAST(CASE WHEN axis_ratio = 1 THEN 19 ELSE floor(axis_ratio / 0.05) END AS INTEGER) AS bin, count(*) AS n FROM typed GROUP BY ALL"))
 def geometry_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Axis ratios of ellipses in 20 bins, by type."""
-    return figure_data.histogram(_typed(Run(spark, sf_dir)), "axis_ratio", 0.0, 1.0, 20, "event_type")
+    return figure_data.histogram(_typed(run_over(spark, sf_dir)), "axis_ratio", 0.0, 1.0, 20, "event_type")
 
 
 @query(sql(_TYPED, "SELECT event_type, az AS azimuth, cume_dist() OVER (PARTITION BY event_type ORDER BY az) AS ecdf FROM (SELECT event_type, round(az, 6) AS az FROM typed) QUALIFY row_number() OVER (PARTITION BY event_type, az) = 1"))
 def geometry_ecdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distribution of azimuths, by type."""
-    rows = _typed(Run(spark, sf_dir)).withColumn("azimuth", F.round("azimuth_north_cw_deg", 6))
+    rows = _typed(run_over(spark, sf_dir)).withColumn("azimuth", F.round("azimuth_north_cw_deg", 6))
     return figure_data.ecdf(rows, "event_type", "azimuth")
 
 
 @query(sql(_AREAS, "SELECT dataset, round(v, 6) AS area_km2, round(1 - (row_number() OVER (PARTITION BY dataset ORDER BY round(v, 6)) - 1) / count(*) OVER (PARTITION BY dataset), 6) AS ccdf FROM areas"))
 def area_ccdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(figure_data.ccdf(_samples(Run(spark, sf_dir)).withColumn("area_km2", F.round("area_km2", 6))))
+    return _rounded(figure_data.ccdf(_samples(run_over(spark, sf_dir)).withColumn("area_km2", F.round("area_km2", 6))))
 
 
 _BOXED = _TYPED + """,
@@ -646,20 +699,20 @@ def _by_measure(df: DataFrame) -> DataFrame:
 @query(sql(_BOXED, "SELECT event_type, measure, n, round(list_min(inside), 6) AS low_whisker, round(lo, 6) AS lower_hinge, round(mid, 6) AS median, round(hi, 6) AS upper_hinge, round(list_max(inside), 6) AS high_whisker, n - len(inside) AS n_outliers FROM boxed"))
 def geometry_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tukey's boxes of areas, axis ratios and azimuths, by type."""
-    return _by_measure(figure_data.boxes(_measured(Run(spark, sf_dir)), "key", "v"))
+    return _by_measure(figure_data.boxes(_measured(run_over(spark, sf_dir)), "key", "v"))
 
 
 @query(sql(_BOXED, "SELECT event_type, measure, round(v, 6) AS v FROM (SELECT event_type, measure, unnest(x) AS v, lo, hi FROM boxed) WHERE v < lo - 1.5 * (hi - lo) OR v > hi + 1.5 * (hi - lo)"))
 def geometry_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The values beyond the boxes' whiskers."""
-    return _by_measure(figure_data.outliers(_measured(Run(spark, sf_dir)), "key", "v"))
+    return _by_measure(figure_data.outliers(_measured(run_over(spark, sf_dir)), "key", "v"))
 
 
 @query(sql(_TYPED, """, limits AS (SELECT min(round(area_km2, 6)) AS a, max(round(area_km2, 6)) AS b FROM typed)
 SELECT event_type, CAST(CASE WHEN round(area_km2, 6) = b THEN 11 ELSE floor((round(area_km2, 6) - a) / ((b - a) / 12)) END AS INTEGER) AS bin, count(*) AS n FROM typed CROSS JOIN limits GROUP BY ALL""".lstrip()))
 def area_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas of ellipses in 12 bins from the least to the largest, by type."""
-    rows = written(_typed(Run(spark, sf_dir)).select("event_type", F.round("area_km2", 6).alias("area_km2")), "areas")
+    rows = written(_typed(run_over(spark, sf_dir)).select("event_type", F.round("area_km2", 6).alias("area_km2")), "areas")
     span = rows.agg(F.min("area_km2").alias("a"), F.max("area_km2").alias("b")).first()
     if span.a is None:
         return figure_data.histogram(rows, "area_km2", 0.0, 1.0, 12, "event_type")
@@ -670,7 +723,7 @@ def area_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql(_TYPED, "SELECT event_type, CAST(CASE WHEN round(az, 6) = 90 THEN 11 ELSE floor((round(az, 6) + 90) / 15) END AS INTEGER) AS bin, count(*) AS n FROM typed GROUP BY ALL"))
 def azimuth_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Azimuths of ellipses in 12 bins, by type."""
-    rows = _typed(Run(spark, sf_dir)).withColumn("azimuth", F.round("azimuth_north_cw_deg", 6))
+    rows = _typed(run_over(spark, sf_dir)).withColumn("azimuth", F.round("azimuth_north_cw_deg", 6))
     return figure_data.histogram(rows, "azimuth", -90.0, 90.0, 12, "event_type")
 
 
@@ -680,21 +733,21 @@ bins AS (SELECT event_type, k, sum(w) AS w FROM (SELECT event_type, floor(u) AS
 SELECT event_type, round(-90 + p * (180 / 599.0), 6) AS "at", round(sum(w * exp(-0.5 * pow((p - k) * (180 / 599.0) / h, 2)) / (h * n * sqrt(2 * pi()))), 6) AS density FROM bins JOIN wide USING (event_type) CROSS JOIN range(600) r(p) WHERE h > 0 GROUP BY event_type, p""".lstrip()))
 def orientation_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kernel densities of events' mean azimuths, by type."""
-    return _rounded(figure_data.density(Run(spark, sf_dir).compound, "event_type", "axial_mean_azimuth_deg", -90.0, 90.0))
+    return _rounded(figure_data.density(run_over(spark, sf_dir).compound, "event_type", "axial_mean_azimuth_deg", -90.0, 90.0))
 
 
 @query(sql(_ELLIPSES, """, turned AS (SELECT cluster_id, CAST(k AS INTEGER) AS point, major / 2 * cos(2 * pi() * k / 239) AS u, minor / 2 * sin(2 * pi() * k / 239) AS v, cos(radians(o)) AS e, sin(radians(o)) AS n, wx, wy FROM ell CROSS JOIN range(240) r(k))
 SELECT cluster_id AS ellipse_id, point, round(wx + (u * e - v * n) / (111.320 * cos(radians(wy))), 6) AS lon, round(wy + (u * n + v * e) / 110.574, 6) AS lat FROM turned""".lstrip()))
 def ellipse_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """240 points around each ellipse, in degrees."""
-    return _rounded(figure_data.outlines(Run(spark, sf_dir).ellipses))
+    return _rounded(figure_data.outlines(run_over(spark, sf_dir).ellipses))
 
 
 @query(sql(_ELLIPSES, """, half AS (SELECT cluster_id, unnest(['major', 'minor']) AS axis, unnest([major / 2 * cos(radians(o)), -minor / 2 * sin(radians(o))]) AS x, unnest([major / 2 * sin(radians(o)), minor / 2 * cos(radians(o))]) AS y, wx, wy FROM ell)
 SELECT cluster_id AS ellipse_id, axis, round(wx - x / (111.320 * cos(radians(wy))), 6) AS lon_from, round(wy - y / 110.574, 6) AS lat_from, round(wx + x / (111.320 * cos(radians(wy))), 6) AS lon_to, round(wy + y / 110.574, 6) AS lat_to FROM half""".lstrip()))
 def ellipse_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each ellipse's axes end, in degrees."""
-    return _rounded(figure_data.axes(Run(spark, sf_dir).ellipses))
+    return _rounded(figure_data.axes(run_over(spark, sf_dir).ellipses))
 
 
 @query(sql(_ELLIPSES, """, fine AS (SELECT x / 4.0 AS lon, y / 4.0 AS lat FROM range(0, 37) a(x) CROSS JOIN range(0, 37) b(y)),
@@ -706,14 +759,14 @@ def footprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The footprints in classes that end at their quantiles."""
     quarter = lambda c: (F.col(c) / 4.0).cast("double")
     points = spark.range(37).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(36)))).select(quarter("id").alias("lon"), quarter("j").alias("lat"))
-    counts = written(figure_data.footprints(Run(spark, sf_dir).ellipses, points, 0.25), "footprints")
+    counts = written(figure_data.footprints(run_over(spark, sf_dir).ellipses, points, 0.25), "footprints")
     return figure_data.classed(counts, "n_ellipses", figure_data.quantile_breaks(counts, "n_ellipses"))
 
 
 @query(sql(_POINTS, "SELECT cell_id, CAST(least(9, len(list_filter(range(1, 10), lambda k: k / 10 <= x))) AS INTEGER) AS rank_class FROM (SELECT cell_id, (rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2) / count(*) OVER () AS x FROM (SELECT cell_id, round(mean_tmax, 10) AS v FROM cls))"))
 def rank_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tenths of the cells' ranks by mean tmax."""
-    cells = _cells(Run(spark, sf_dir)).withColumn("mean_intensity_per_km2", F.col("mean_tmax"))
+    cells = _cells(run_over(spark, sf_dir)).withColumn("mean_intensity_per_km2", F.col("mean_tmax"))
     return figure_data.rank_classes(point_process.concentration_ranks(cells)).select("cell_id", "rank_class")
 
 
@@ -723,7 +776,7 @@ curve AS (SELECT dataset, CAST(k AS INTEGER) AS point, exp(ln(b.x) + (ln(top) -
 SELECT dataset, point, round(x, 3) AS area_km2, round(b.n / n * pow(x / b.x, 1 - b.a), 6) AS ccdf FROM curve""".lstrip()))
 def power_law_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fitted tails as curves of 200 points."""
-    areas = written(_samples(Run(spark, sf_dir)).withColumn("area_km2", F.round("area_km2", 6)), "areas")
+    areas = written(_samples(run_over(spark, sf_dir)).withColumn("area_km2", F.round("area_km2", 6)), "areas")
     curves = figure_data.tail_curves(written(power_law.fitted(areas), "fits"), areas)
     return curves.select("dataset", "point", F.round("area_km2", 3).alias("area_km2"), r("ccdf"))
 
@@ -733,7 +786,7 @@ SELECT ce.compound_event_id, ce.start_date, ce.end_date, event_type, daily_clust
 FROM ce JOIN daily d ON d.date = largest_ellipse_date JOIN ell ON ell.cluster_id = largest_ellipse_id JOIN top_member t ON t.cluster_id = largest_ellipse_id JOIN thr ON thr.cell_id = m.cell_id JOIN ids i ON i.local_event_id = m.local_event_id""".lstrip()))
 def event_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each compound event back through the stages: its day, its largest ellipse, that one's hottest cell, the local heatwave there."""
-    run = Run(spark, sf_dir)
+    run = run_over(spark, sf_dir)
     members = clustering.clustered(run.labels)[1].where("cluster_id is not null")
     top = members.groupBy("cluster_id").agg(F.max(F.struct("tmax_c", (-F.col("cell_id")).alias("back"), "cell_id", "local_event_id")).alias("m"))
     local = run.days.where("local_event_id is not null").groupBy("local_event_id").agg(F.min("date").alias("local_start_date"), F.max("date").alias("local_end_date"), F.first("threshold").alias("threshold_tmax_c"))
@@ -755,7 +808,7 @@ def _bootstraps(spark: SparkSession, sf_dir: str, reps: int) -> tuple[DataFrame,
 
     A sample has one number per selected day or event; it goes to every task that refits.
     """
-    run = Run(spark, sf_dir)
+    run = run_over(spark, sf_dir)
     areas = _samples(run)
     ordered = {"daily_maxima": run.event_days.where("largest_ellipse_id is not null").orderBy("date"), "event_maxima": run.compound.orderBy("compound_event_id")}
     values = {k: [x.largest_ellipse_area_km2 for x in df.select("largest_ellipse_area_km2").collect()] for k, df in ordered.items()}

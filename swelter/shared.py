@@ -64,6 +64,11 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
             at.getFileSystem(conf).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 @contextlib.contextmanager
 def owned() -> Iterator[list[str]]:
     """Collects the paths made inside and not kept from; whoever opened it deletes them."""
