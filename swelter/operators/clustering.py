@@ -166,6 +166,8 @@ def cluster_counts(cells: DataFrame, step: float = 1.0, eps: tuple[float, ...] =
     local, keys = written(local, "tiles"), ["date", "eps", "min_samples"]
     inside = local.groupBy(*keys).agg(F.sum("n").alias("inside"))
     told = local.where("node is not null")
+    if told.isEmpty():  # no tile has cells beside another's
+        return inside.withColumnRenamed("inside", "n_clusters").withColumn("n_clusters", F.col("n_clusters").cast("int"))
     merged = _merged(told.select(*keys, "node", "place"), keys)
     # of components told of, those that weren't merged into another one
     across = told.select(*keys, "node").distinct().join(merged, [*keys, "node"], "left").where("root is null or root = node").groupBy(*keys).agg(F.count("*").alias("across"))
@@ -236,8 +238,12 @@ def labelled(cells: DataFrame, settings: DataFrame, step: float = 1.0, reach: in
     local = written(dealt.groupBy("date", "ti", "tj").applyInPandas(label, _LOCAL), "tiles")
     node = lambda comp: F.concat_ws(" ", "ti", "tj", comp)
     cores = local.where("is_core_cell = 1").withColumn("node", node(F.get("comps", F.lit(0))))
-    merged = _merged(cores.where("shared").select("date", F.concat_ws(" ", "x", "y").alias("place"), "node"), ["date"])
-    nodes = cores.groupBy("date", "node").agg(F.min(F.struct("x", "y")).alias("first")).join(merged, ["date", "node"], "left").withColumn("root", F.coalesce("root", "node"))
+    nodes, told = cores.groupBy("date", "node").agg(F.min(F.struct("x", "y")).alias("first")), cores.where("shared")
+    if told.isEmpty():  # no tile has cells beside another's
+        nodes = nodes.withColumn("root", F.col("node"))
+    else:
+        merged = _merged(told.select("date", F.concat_ws(" ", "x", "y").alias("place"), "node"), ["date"])
+        nodes = nodes.join(merged, ["date", "node"], "left").withColumn("root", F.coalesce("root", "node"))
     firsts = nodes.groupBy("date", "root").agg(F.min("first").alias("first"))
     # one row for each cluster
     numbered = firsts.withColumn("label", F.row_number().over(W.partitionBy("date").orderBy("first")) - 1)
