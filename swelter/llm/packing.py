@@ -20,7 +20,8 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -34,6 +35,10 @@ LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 #: Places at which every byte-level pre-tokenizer cuts: before the last of a run of white space, before
 #: such a run, and behind Latin letters that an ASCII mark or the end follows.
 CHUNKS = re.compile(f"[{WHITE}]?[{LETTERS}]++(?=[\\x00-\\x40\\x5b-\\x60\\x7b-\\x7f]|\\Z)|[{WHITE}]?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])")
+#: A space inside a run of white space, or at its end where the text ends: no pre-tokenizer need cut before it.
+INNER_SPACE = f"[{WHITE}] ([{WHITE}]|\\z)"
+#: Bytes of texts whose parts are told apart together, and distinct parts that are looked up together.
+BLOCK_BYTES, SLICE_PARTS = 1 << 25, 1 << 14
 #: Rows of one length that are numbered in one part.
 RANK_ROWS = 1 << 16
 #: Chunks whose ids a worker remembers, and the longest such chunk.
@@ -60,7 +65,8 @@ class Encoder:
     only where the pre-tokenizer's pattern must cut too (CHUNKS), and the tokenizer
     encodes each chunk, so a chunk that was seen before needs no second look. Texts that
     hold one of the tokenizer's added tokens are encoded whole. Another pre-tokenizer, or
-    a normalizer, is an error.
+    a normalizer, is an error. Many texts at once (each) are first cut before every space,
+    and only their distinct parts are cut into chunks.
     """
 
     def __init__(self, path: str):
@@ -77,10 +83,52 @@ class Encoder:
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.known = ChunkIds(self.tokenizer)
 
+        self.tokens = added
+
     def __call__(self, text: str) -> np.ndarray:
+        return np.frombuffer(self._whole(text), dtype="<u4")
+
+    def _whole(self, text: str) -> bytes:
         if self.added and self.added.search(text):
-            return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-        return np.frombuffer(b"".join(map(self.known.__getitem__, CHUNKS.findall(text))), dtype="<u4")
+            return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+        return self._chunked(text)
+
+    def _chunked(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, CHUNKS.findall(text)))
+
+    def each(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of every text in turn; null texts have none."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            upto = max(at + 1, int(np.searchsorted(ends, BLOCK_BYTES + (ends[at - 1] if at else 0), "right")))
+            yield from self._block(pc.fill_null(texts.slice(at, upto - at), ""))
+            at = upto
+
+    def _block(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Distinct parts are looked up once, and Arrow puts their ids in the texts' order.
+
+        A part begins with its space, but for a text's first. A text that may not be cut
+        before each of its spaces is one part.
+        """
+        uncut = pc.match_substring_regex(texts, INNER_SPACE)
+        for token in self.tokens:
+            uncut = pc.or_(uncut, pc.match_substring(texts, token))
+        cut = pc.split_pattern(pc.if_else(uncut, "", texts), " ")
+        words, bounds = cut.values.dictionary_encode(), cut.offsets.to_numpy()
+        first = pc.if_else(uncut, texts, cut.values.take(cut.offsets[:-1]))
+        ids = []
+        for at in range(0, len(words.dictionary), SLICE_PARTS):  # few are Python's own strings at a time
+            some = words.dictionary.slice(at, SLICE_PARTS).to_numpy(zero_copy_only=False)
+            ids.append(pa.array([self._chunked(" " + w) for w in some], pa.large_binary()))
+        ids.append(pa.array([self._whole(x) for x in first.to_numpy(zero_copy_only=False)], pa.large_binary()))
+        part = words.indices.to_numpy().copy()
+        part[bounds[:-1]] = np.arange(len(words.dictionary), len(words.dictionary) + len(texts))
+        _, ends, data = pa.concat_arrays(ids).take(pa.array(part)).buffers()
+        ends = np.frombuffer(ends, dtype="int64", count=len(part) + 1)[bounds] // 4
+        data = np.frombuffer(data, dtype="<u4", count=ends[-1]) if ends[-1] else np.empty(0, "<u4")
+        for a, b in zip(ends, ends[1:]):
+            yield data[a:b]
 
 
 def encoder(path: str) -> Encoder:
@@ -105,17 +153,16 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: st
     rows apart. The CRC is over little-endian unsigned 32-bit ids.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for b in batches:
-            out = []
-            for k, row, text in zip(b["key"].tolist(), b["row"].tolist(), b["text"]):
-                out.extend((k, row, *p) for p in pieces(encode(text or ""), capacity))
-            made = pd.DataFrame(out, columns=["key", "row", "piece", "start", "length", "ids_crc32"])
-            yield made.astype({"key": "Int64"})
+            made = [(i, *p) for i, ids in enumerate(encode.each(b["text"])) for p in pieces(ids, capacity)]
+            of, piece, start, length, crc = np.array(made, dtype="int64").reshape(-1, 5).T
+            rows = b.select(["key", "row"]).take(pa.array(of))
+            yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, (piece.astype("int32"), start, length, crc))], ["key", "row", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    return rows.mapInPandas(cut, "key long, row long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(cut, "key long, row long, piece int, start long, length long, ids_crc32 long")
 
 
 def pieces(ids: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:

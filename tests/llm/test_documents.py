@@ -249,6 +249,45 @@ def test_ids_equal_a_plain_encode_for_every_code_point():
         assert ours(x).tolist() == plain(x), x
 
 
+@pytest.mark.parametrize("block", [packing.BLOCK_BYTES, 200])
+def test_texts_together_have_the_ids_of_a_plain_encode(block, monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "BLOCK_BYTES", block)  # a long text is more than a block
+    monkeypatch.setattr(packing, "SLICE_PARTS", 50)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, ours, rng = Tokenizer.from_file(path), packing.Encoder(path), random.Random(21)
+    signs = "a b é ñ 1 ' s . , ! \n \t \x1c \x85 \xa0 \u2003 中 ़ ٣ 😀 <|endoftext|> word".split(" ") + [" "] * 6
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(0, 30))) for _ in range(4000)]
+    texts += [None, "", " ", "  ", "   ", "a  ", "a  b", "a   b", " a", "  a", "a \n \n b", "a \xa0 ", "x y " * 500, "z" * 3000, " " * 3000]
+    for kind in (pa.string(), pa.large_string()):
+        got = list(ours.each(pa.array(texts, kind)))
+        assert len(got) == len(texts)
+        for x, ids in zip(texts, got):
+            assert ids.tolist() == t.encode(x or "", add_special_tokens=False).ids, x
+    assert list(ours.each(pa.array([], pa.string()))) == [] and [len(x) for x in ours.each(pa.array([None, None], pa.string()))] == [0, 0]
+
+
+def test_a_word_that_many_texts_hold_is_looked_up_once():
+    import public_tokenizers
+    import pyarrow as pa
+
+    ours, asked = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json")), Counter()
+
+    class Counted(packing.ChunkIds):
+        def __getitem__(self, chunk):
+            asked[chunk] += 1
+            return super().__getitem__(chunk)
+
+    ours.known = Counted(ours.tokenizer)
+    assert all(ids.tolist() == ours("one two three two").tolist() for ids in ours.each(pa.array(["one two three two"] * 300)))
+    asked.clear()
+    list(ours.each(pa.array(["one two three two"] * 300)))
+    assert asked[" two"] == asked[" three"] == 1
+
+
 def fewest(xs, capacity):
     """The least number of bins, by trying all."""
     xs, best = sorted(xs, reverse=True), [len(xs)]
